@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, secrets, sharding
 from .common import read
 
 
@@ -12,8 +12,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hilbert_shards(read(spark, sf_dir, "documents"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_hilbert_shards": op7_hilbert_shards,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES = {
