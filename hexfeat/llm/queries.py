@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, secrets, sharding
+from . import exact_dedup, packing, quality_rules, secrets, sharding, tree_bpe
 from .common import read
 
 
@@ -12,6 +12,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
+def op4_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.harmonic_pack(read(spark, sf_dir, "documents"))
+
+
+def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.encode_decode(read(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(read(spark, sf_dir, "documents"))
 
@@ -21,6 +33,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op4_harmonic_pack": op4_harmonic_pack,
+    "op5_tree_bpe": op5_tree_bpe,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_secret_scans": op10_secret_scans,
