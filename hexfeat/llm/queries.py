@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality_rules, secrets, sharding, tree_bpe
+from . import exact_dedup, packing, quality_rules, secrets, sharding, toxicity, tree_bpe
 from .common import read
 
 
@@ -24,6 +24,11 @@ def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encode_decode(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(read(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_harmonic_pack": op4_harmonic_pack,
     "op5_tree_bpe": op5_tree_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_secret_scans": op10_secret_scans,
