@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality_rules, secrets, sharding, toxicity, tree_bpe
+from . import exact_dedup, licenses, packing, quality_classifier, quality_rules, secrets, sharding, toxicity, tree_bpe
 from .common import read
 
 
@@ -12,6 +12,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.score_quality(docs, quality_classifier.fit(docs))
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"), licenses.fit(spark))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -38,6 +47,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_license_scans": op2_license_scans,
     "op3_quality_rules": op3_quality_rules,
     "op4_harmonic_pack": op4_harmonic_pack,
     "op5_tree_bpe": op5_tree_bpe,
