@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, packing, quality_classifier, quality_rules, secrets, sharding, toxicity, tree_bpe
+from . import exact_dedup, licenses, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, toxicity, tree_bpe
 from .common import read
 
 
@@ -42,6 +42,10 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_secret_scans": op10_secret_scans,
 }
 
