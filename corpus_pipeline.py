@@ -1,19 +1,62 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: toxicity, exact dedup, n-gram join, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept; its result is written as Parquet
+and read again as the next stage's docs. All stages but the last return the columns of docs, extra ones included.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hexfeat.llm import common, exact_dedup, ngram_join, packing, secrets, toxicity
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids (column doc_id), one of each doc_id and text. Rows without a doc_id go."""
+    columns = docs.columns
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold; null and empty texts stay."""
+    model = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
+    return docs.filter(toxicity.scores("text", model) < toxicity.TOXIC_FROM)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
 
-STAGES: list = []
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component of near copies."""
+    return _only(docs, ngram_join.jaccard_join(docs).filter("doc_id = component_id"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts masked; n_chars, where there is one, follows the text."""
+    columns = docs.columns
+    out = docs.withColumn("text", secrets.without_secrets("text"))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.harmonic_pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("secret_scans", mask_secrets), ("packing", pack)]
+
+#: SQL has no tokenizer and no trained model; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    from hexfeat.llm.common import read, stored
-
-    docs = read(spark, sf_dir, "documents")
+    docs = common.read(spark, sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if not at else stored(docs), sf_dir)
+        docs = stage(spark, common.stored(docs) if at else docs, sf_dir)
     return docs

@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
@@ -104,6 +105,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     return model
 
 
+def scores(text: str, model: Model) -> Column:
+    """The score of a text column, for use beside other columns of a row."""
+
+    @F.pandas_udf("double")
+    def score(values: pd.Series) -> pd.Series:
+        return pd.Series([model.score(x or "") for x in values], dtype=float)
+
+    return score(text)
+
+
 def score_toxicity(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text).
 
@@ -112,9 +123,5 @@ def score_toxicity(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM
     are not read. Long texts are read whole; rows are independent and nothing is shuffled.
     """
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([model.score(x.as_py()) for x in batch.column("text")], pa.float64())], ["doc_id", "held_out", "score"])
-
-    scored = common.id_and_text(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double")
+    scored = common.id_and_text(docs).select("doc_id", held_out().alias("held_out"), scores("text", model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxic_from).cast("int"))
