@@ -27,11 +27,12 @@ def wind_run() -> Column:
 
 def drought_index(soil: Column, temperature: Column, days: Column) -> Column:
     """In [0, 1], each missing part counted as one half."""
-    def share(x: Column) -> Column:
-        return F.coalesce(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    def share(x: Column, turned: bool = False) -> Column:
+        clipped = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))  # these skip nulls, so a null is told apart first
+        return F.when(x.isNull(), 0.5).otherwise(1 - clipped if turned else clipped)
 
     a, b, c = DROUGHT
-    return F.least(F.greatest(a * (F.when(soil.isNull(), 0.5).otherwise(1 - share(soil / 0.5))) + b * share(temperature / 45.0) + c * share(days / 90.0), F.lit(0.0)), F.lit(1.0))
+    return F.least(F.greatest(a * share(soil / 0.5, turned=True) + b * share(temperature / 45.0) + c * share(days / 90.0), F.lit(0.0)), F.lit(1.0))
 
 
 def with_rain_known(df: DataFrame, scope: list[str]) -> DataFrame:
