@@ -69,7 +69,7 @@ def test_every_stage_keeps_what_it_should(spark, tmp_path):
     rows, labels = corpus(spark)
     base = rows.selectExpr("doc_id", "text", "lang", "source", "length(text) as n_chars", "'x' as digest", "doc_id % 2 = 0 as kept")
     more = base.filter("doc_id < 5").selectExpr("doc_id + 5000 as doc_id", "concat(text, ' ') as text", "lang", "source", "n_chars", "digest", "kept").unionByName(
-        spark.createDataFrame([(7000, "the password=abcdef123456 is here", "en", "s", 33, "x", True), (7001, None, None, None, None, None, None), (None, "without id", "en", "s", 1, "x", True)], base.schema)
+        spark.createDataFrame([(7000, "the password=abcdef123456 is here", "en", "s", 33, "x", True), (7001, None, None, None, None, None, None), (None, "without id", "en", "s", 1, "x", True)], "doc_id long, text string, lang string, source string, n_chars int, digest string, kept boolean")
     )
     base.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
