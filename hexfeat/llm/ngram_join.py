@@ -38,7 +38,9 @@ SHINGLE, PERCENT = 4, 85
 #: Entries of the table of heavy shingles, repeats within a batch from which one is counted, highest level.
 HEAVY, REPEATED, LEVELS = 1 << 16, 4, 8
 #: Postings of a block, buckets of the filter on candidate ids (both bound memory, not results).
-BLOCK, BUCKETS = 1_000_000, 1 << 18
+BLOCK, BUCKETS = 2_000_000, 1 << 18
+#: Bits for what a set lacks of its hub; places of longer hubs fall together, which only weakens the bound.
+FOLD = 1024
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SIGNATURES = [(np.uint64(2 * k + 0x1F123BB5159A55E5), np.uint64(2 * k + 0x2545F4914F6CDD1D)) for k in range(4)]
 _MASK = (1 << 64) - 1
@@ -273,23 +275,58 @@ def hub_pairs(classes: DataFrame) -> DataFrame:
     return pairs.filter(_linkable(F.col("n"), F.col("n_b"), F.least(F.col("n") - F.col("unshared"), F.col("n_b") - F.col("u_b")))).select(F.col("rep").alias("a"), "b").distinct()
 
 
-def prefix_pairs(sets: DataFrame, known: DataFrame) -> DataFrame:
+def beside_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (a, hub b): n_a, n_b, how many shingles they have in common, the places in b of those that a lacks as FOLD bits, and
+    how many of the unshared shingles of a surely lie outside of b (`alone`): all but those that b holds but doesn't show."""
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "unshared", F.col("tokens").alias("x"))
+    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("lacks", F.array_except("y", "x")).withColumn("places", F.transform("lacks", lambda t: F.array_position("y", t)))
+    bits = [F.aggregate(F.filter("places", lambda t, k=k: F.pmod(F.shiftright(t, 6), F.lit(FOLD // 64)) == k), F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))).alias(f"bits{k}") for k in range(FOLD // 64)]
+    hidden = F.size(F.array_intersect(F.expr("slice(x, 1, int(floor(16 * n_a / 100)))"), F.expr("slice(y, int(least(n_b, ceil(29 * n_b / 100) + 1)) + 1, int(n_b))")))
+    return both.select("a", "b", "n_a", "n_b", F.greatest(F.col("unshared") - hidden, F.lit(0)).cast("long").alias("alone"), (F.col("n_b") - F.size("lacks")).cast("long").alias("common"), *bits)
+
+
+def home(beside: DataFrame) -> DataFrame:
+    """rep, hub, n_hub, bits and free of every class that has a hub or is one; of several hubs the one with most members.
+
+    free bounds the shingles outside of the hub that the class can share with any other class that it can be linked with.
+    """
+    bits = [f"bits{k}" for k in range(FOLD // 64)]
+    outside = F.col("n_a") - F.col("common")
+    members = beside.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.col("n_b").alias("n_hub"), *bits, F.greatest(outside - F.col("alone"), F.lit(0)).cast("long").alias("free"))
+    hubs = beside.groupBy("b").agg(F.max("n_b").alias("n_hub")).select(F.col("b").alias("rep"), F.col("b").alias("hub"), "n_hub", *[F.lit(0).cast("long").alias(x) for x in bits], F.lit(0).cast("long").alias("free"))
+    sizes = beside.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("of"))
+    largest = F.max_by(F.struct("hub", "n_hub", *bits, "free"), F.struct("of", -F.col("hub")))
+    return members.unionByName(hubs).join(sizes, "hub").groupBy("rep").agg(largest.alias("x")).select("rep", "x.*")
+
+
+def prefix_pairs(sets: DataFrame, known: DataFrame, homes: DataFrame) -> DataFrame:
     """Pairs of different components (known: node, component) that share as many prefix shingles as the lower level of the two asks for.
 
     For a shingle, the component with most of its postings is never paired with itself, nor is any other: postings of
-    that component only meet those outside of it.
+    that component only meet those outside of it. Two sets with the same hub h share at most |h| - (shingles of h that
+    either lacks) + (shingles outside of h that both can share): that rules out most members of a family that differ
+    from it in different places, before they become a row.
     """
+    bits = [f"bits{k}" for k in range(FOLD // 64)]
+    extra = ["hub", "n_hub", *bits, "free"]
     base = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100).cast("long")
-    labelled = sets.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", "unshared", "level", F.coalesce("component", "rep").alias("component"), base.alias("base"), F.expr("slice(tokens, 1, int(n - ceil(85 * n / 100) + level))").alias("prefix"))
-    postings = common.stored(labelled.select("rep", "n", "unshared", "level", "component", "base", F.posexplode("prefix").alias("at", "token")).select("rep", "n", "unshared", "level", "component", "token", F.greatest(F.lit(1), F.col("at") + 1 - F.col("base")).alias("from")))
+    labelled = sets.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumns({"component": F.coalesce("component", "rep"), "base": base})
+    prefix = labelled.select("rep", "component", "base", F.expr("slice(tokens, 1, int(n - ceil(85 * n / 100) + level))").alias("prefix"))
+    postings = common.stored(prefix.select("rep", "component", "base", F.posexplode("prefix").alias("at", "token")).select("rep", "component", "token", F.greatest(F.lit(1), F.col("at") + 1 - F.col("base")).alias("from")))
     counted = postings.groupBy("token", "component").agg(F.count("*").alias("of"))
     active = counted.groupBy("token").agg(F.max(F.struct("of", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1").select("token", F.col("most.component").alias("main"))
-    live = postings.join(active, "token")
-    a = live.filter("component <> main").select("token", "main", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("unshared").alias("u_a"), F.col("level").alias("l_a"), F.col("component").alias("c_a"), F.col("from").alias("f_a"))
-    b = live.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("unshared").alias("u_b"), F.col("level").alias("l_b"), F.col("component").alias("c_b"), F.col("from").alias("f_b"))
+    live = postings.join(active, "token").join(sets.select("rep", "n", "unshared", "level"), "rep").join(homes, "rep", "left")
+    live = common.stored(live)
+    named = {"rep": "", "n": "n", "unshared": "u", "level": "l", "component": "c", "from": "f", **{x: x for x in extra}}
+    side = lambda rows, k: rows.select("token", *[F.col(c).alias(f"{v}_{k}" if v else k) for c, v in named.items()], *(["main"] if k == "a" else []))
+    a, b = side(live.filter("component <> main"), "a"), side(live, "b")
     needed = F.least("l_a", "l_b")
     near = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.greatest("f_a", "f_b") <= needed)
     near &= (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & _linkable(F.col("n_a"), F.col("n_b"), F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b")))
+    lacked = sum((F.bit_count(F.col(f"{x}_a").bitwiseOR(F.col(f"{x}_b"))) for x in bits), F.lit(0))
+    within = F.col("n_hub_a") - lacked + F.least("free_a", "free_b")
+    near &= ~F.coalesce(F.col("hub_a") == F.col("hub_b"), F.lit(False)) | _linkable(F.col("n_a"), F.col("n_b"), within)
     met = a.join(b, "token").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), needed.alias("needed"))
     return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("needed").alias("needed")).filter("met >= needed").select("a", "b")
 
@@ -315,9 +352,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     kept = classes.filter("rep is not null").join(shared, "lo", "left").withColumn("unshared", F.greatest(unshared, F.lit(0)).cast("long")).drop("shared")
     chosen = common.stored(kept.filter(F.lit(100) * (F.col("n") - F.col("unshared")) >= F.lit(PERCENT) * F.col("n")))
     sets = common.stored(ordered_sets(rows, chosen, order))
-    first = common.stored(verified(hub_pairs(chosen), sets))
+    beside = common.stored(beside_hubs(hub_pairs(chosen), sets))
+    first = beside.filter(_linkable(F.col("n_a"), F.col("n_b"), F.col("common"))).select("a", "b")
     known = components(first)
-    second = verified(prefix_pairs(sets, known), sets)
+    second = verified(prefix_pairs(sets, known, home(beside)), sets)
     linked = components(first.unionByName(second))
     labels = classes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     out = profile.join(labels, ["hi", "lo"], "left")
