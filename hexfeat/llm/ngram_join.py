@@ -281,7 +281,9 @@ def beside_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "unshared", F.col("tokens").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("lacks", F.array_except("y", "x")).withColumn("places", F.transform("lacks", lambda t: F.array_position("y", t)))
-    bits = [F.aggregate(F.filter("places", lambda t, k=k: F.pmod(F.shiftright(t, 6), F.lit(FOLD // 64)) == k), F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))).alias(f"bits{k}") for k in range(FOLD // 64)]
+    word = lambda k: F.filter("places", lambda t: F.pmod(F.shiftright(t, 6), F.lit(FOLD // 64)) == k)
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))
+    bits = [F.aggregate(word(k), F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(bit(t))).alias(f"bits{k}") for k in range(FOLD // 64)]
     hidden = F.size(F.array_intersect(F.expr("slice(x, 1, int(floor(16 * n_a / 100)))"), F.expr("slice(y, int(least(n_b, ceil(29 * n_b / 100) + 1)) + 1, int(n_b))")))
     return both.select("a", "b", "n_a", "n_b", F.greatest(F.col("unshared") - hidden, F.lit(0)).cast("long").alias("alone"), (F.col("n_b") - F.size("lacks")).cast("long").alias("common"), *bits)
 
