@@ -255,8 +255,9 @@ def ordered_sets(docs: DataFrame, chosen: DataFrame, order) -> DataFrame:
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("bucket")
     buckets = chosen.select(bucket("rep")).distinct()  # at most BUCKETS rows
     thin = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text")
-    texts = thin.join(chosen.select(F.col("rep").alias("doc_id"), "hi", "lo", "unshared"), "doc_id")
-    return texts.mapInArrow(place, "rep long, n long, unshared long, level long, tokens array<long>").dropDuplicates(["rep"])
+    # Rows that repeat go where the join has put them. A set comes twice only if its id repeats with other spellings of it.
+    texts = thin.join(chosen.select(F.col("rep").alias("doc_id"), "hi", "lo", "unshared"), "doc_id").dropDuplicates(["doc_id", "text"])
+    return texts.mapInArrow(place, "rep long, n long, unshared long, level long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -352,7 +353,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     shared = shared_counts(rows, order, max(8, -(-int(shown) // BLOCK)))
     unshared = F.floor(F.col("n") * 16 / 100) - F.coalesce("shared", F.lit(0))
     kept = classes.filter("rep is not null").join(shared, "lo", "left").withColumn("unshared", F.greatest(unshared, F.lit(0)).cast("long")).drop("shared")
-    chosen = common.stored(kept.filter(F.lit(100) * (F.col("n") - F.col("unshared")) >= F.lit(PERCENT) * F.col("n")))
+    able = kept.filter(F.lit(100) * (F.col("n") - F.col("unshared")) >= F.lit(PERCENT) * F.col("n"))
+    one = F.min(F.struct("hi", "lo", "n", "unshared", "s0", "s1", "s2", "s3")).alias("x")  # ids that repeat with different texts
+    chosen = common.stored(able.groupBy("rep").agg(one).select("rep", "x.*"))
     sets = common.stored(ordered_sets(rows, chosen, order))
     beside = common.stored(beside_hubs(hub_pairs(chosen), sets))
     first = beside.filter(_linkable(F.col("n_a"), F.col("n_b"), F.col("common"))).select("a", "b")

@@ -85,3 +85,12 @@ def test_levels_grow_with_cost():
 
 def test_empty(empty):
     assert ngram_join.jaccard_join(empty).count() == 0
+
+
+def test_an_id_with_several_texts(spark):
+    """One of its texts is compared; spellings of the same set are one text."""
+    base = [f"w{k}" for k in range(120)]
+    near = " ".join([*base[:60], "changed", *base[61:]])
+    rows = [(1, " ".join(base)), (1, " ".join(base).upper()), (2, near), (3, near.upper()), (4, "one two three four five"), (4, "six seven eight nine ten")]
+    found = {tuple(r) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {(1, 117, 1), (2, 117, 1), (3, 117, 1), (4, 2, 4)}
