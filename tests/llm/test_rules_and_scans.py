@@ -98,3 +98,16 @@ def test_quality_classifier_learns_without_labels(spark, docs, texts):
     assert quality_classifier.score_quality(docs, scorer).count() == len(texts)
     none = quality_classifier.fit(docs.filter("false"))
     assert quality_classifier.score_quality(docs.filter("false"), none).count() == 0
+
+
+def test_short_secrets_in_one_case_are_found():
+    """Recall at 20, 32 and 40 characters for each encoding; assignments of any name are split at their =."""
+    rng, digits, upper, lower = random.Random(6), string.digits, string.ascii_uppercase, string.ascii_lowercase
+    for alphabet in (upper + "234567", digits + "ABCDEF", digits + "abcdef", lower + digits, upper + digits, upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_"):
+        for n, least in ((20, 80), (32, 97), (40, 97)):
+            hits = sum(bool(secrets.all_spans("here it is: " + "".join(rng.choice(alphabet) for _ in range(n)) + " ok")[1]) for _ in range(100))
+            assert hits >= least, (alphabet, n, hits)
+    key = "Q7XK2MVB5ZJW3RTP6LHD4NYC"
+    assert secrets.masked(f"sessionid={key}&page=3") == "sessionid=[SECRET]&page=3"
+    ordinary = ["DEFAULT_MAXIMUM_CONNECTION_TIMEOUT_2", "donaudampfschifffahrtsgesellschaft2", "MINISTERIODERELACIONESEXTERIORES24", "ACGTTGCAACGTAGCTAGCTAGGATCCA", "chapter12section04paragraph007", "version-2024-11-05-release-candidate-2", "anticonstitutionnellement1789"]
+    assert not [t for t in ordinary if secrets.all_spans(t)[1]]
