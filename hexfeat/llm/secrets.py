@@ -11,6 +11,8 @@ Each gives a p-value under the hypothesis "this is ordinary text", computed for
 short string needs a stronger signal. Fisher's method combines them. They say little of strings in one case, so a fourth
 test scores the neighbouring characters: what the string costs in bits under a model of text, less what it costs in each
 of the alphabets of secrets. Text gains b bits with a probability of 2^-b at most. The smaller p-value counts, doubled.
+A run of up to 256 characters is reported whole. Of a longer run all characters are scored, and the stretches that stand
+out are reported, so that a key is found wherever it lies and the ordinary rest of the run stays.
 Strings of letters in one case only are not tested: no test tells them from words of a foreign language. Within a document the candidates are accepted
 by the Benjamini-Hochberg rule with weights that grow with length: at most `rate` of the accepted are expected to be text.
 """
@@ -100,6 +102,10 @@ for _name in (_DIGITS + "abcdef", _DIGITS + "ABCDEF", "234567" + _UPPER, _DIGITS
     _RANDOM.append((_mask, math.log2(min(len(_name), 64))))
 #: A stretch that the model names has so many characters, and so many different ones.
 LEAST, LEAST_DIFFERENT = 16, 8
+#: Runs of more than LONG characters are reported by stretches, with at most EDGE alphanumeric characters more on either
+#: side: the ends of a secret can look like text.
+LONG, EDGE = 256, 8
+_EDGE = re.compile(r"[A-Za-z0-9]*")
 
 
 def _normal_tail(z: float) -> float:
@@ -126,7 +132,7 @@ def text_p_value(text: str) -> float | None:
     that counts, alternates or repeats.
     """
     kind = encoding(text)
-    body = text.rstrip("=")[:4096]  # the tests decide long before; spans always cover the whole run
+    body = text.rstrip("=")
     if kind is None or len(body) < 20:
         return None
     n, fine = len(body), [_CLASS[c] for c in body]
@@ -207,11 +213,28 @@ def _varied(codes: np.ndarray) -> bool:
     return abs((off[1:] * off[:-1]).sum() / (off * off).sum()) <= 2 * TEXT_SERIAL
 
 
-def run_p_value(run: str) -> float:
-    """The p-value of a run: the smaller one of its tests, doubled; 1 if there is nothing to test."""
+def run_tests(run: str) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) of the parts of a run that may be secret: the run, or the stretches of a long one.
+
+    The p-value of a run is the smaller one of its tests, doubled.
+    """
     body = run.rstrip("=")
-    found = [p for *_, p in stretches(body)] + [p for p in [text_p_value(run)] if p is not None]
-    return min(1.0, 2 * min(found, default=1.0))
+    found = stretches(body)
+    if len(body) <= LONG:
+        p = 2 * min([p for *_, p in found] + [p for p in [text_p_value(run)] if p is not None], default=1.0)
+        return [(0, len(run), p)] if p < 1 else []
+    out: list[tuple[int, int, float]] = []
+    for a, b, p in found:
+        part = body[a:b]
+        a, b = a + len(part) - len(part.lstrip("+/_-")), b - len(part) + len(part.rstrip("+/_-"))
+        a -= len(_EDGE.match(body[max(0, a - EDGE) : a][::-1])[0])
+        b += len(_EDGE.match(body[b : b + EDGE])[0])
+        b = len(run) if b == len(body) else b
+        if out and a < out[-1][1]:
+            a, _, q = out.pop()
+            p = min(p, q)
+        out.append((a, b, 2 * p))
+    return out
 
 
 def accepted(p_values: list[float], lengths: list[int], rate: float) -> list[int]:
@@ -236,7 +259,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def all_spans(text: str, rate: float = RATE) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Spans of the base, and those with what the tests add outside of them."""
     base = base_spans(text)
-    tested = [(m.start(), m.end(), p) for m in CANDIDATE.finditer(text) if (p := run_p_value(m[0])) < 1]
+    tested = [(m.start() + a, m.start() + b, p) for m in CANDIDATE.finditer(text) for a, b, p in run_tests(m[0])]
     extra = [tested[i] for i in accepted([t[2] for t in tested], [t[1] - t[0] for t in tested], rate)]
     added = [(a, b, "random") for a, b, _ in extra if not any(a < e and s < b for s, e, _ in base)]
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))

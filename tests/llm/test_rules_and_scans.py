@@ -111,3 +111,20 @@ def test_short_secrets_in_one_case_are_found():
     assert secrets.masked(f"sessionid={key}&page=3") == "sessionid=[SECRET]&page=3"
     ordinary = ["DEFAULT_MAXIMUM_CONNECTION_TIMEOUT_2", "donaudampfschifffahrtsgesellschaft2", "MINISTERIODERELACIONESEXTERIORES24", "ACGTTGCAACGTAGCTAGCTAGGATCCA", "chapter12section04paragraph007", "version-2024-11-05-release-candidate-2", "anticonstitutionnellement1789"]
     assert not [t for t in ordinary if secrets.all_spans(t)[1]]
+
+
+def test_keys_anywhere_in_a_long_run():
+    """A run without blanks is scored to its end, and only what looks random in it is reported."""
+    rng, letters = random.Random(7), string.ascii_letters + string.digits
+    ordinary = lambda n: "/".join(rng.choice(CLEAN.replace(".", "").replace(",", "").split()) for _ in range(n))
+    for head, tail in ((3000, 5), (5, 3000), (1500, 1500), (100, 100)):
+        for alphabet, n in ((letters, 40), (string.ascii_uppercase + "234567", 32)):
+            before, key, after = ordinary(head) + "/", "".join(rng.choice(alphabet) for _ in range(n)), "/" + ordinary(tail)
+            out = secrets.masked(before + key + after)
+            assert out.startswith(before[:-10]) and out.endswith(after[10:]) and out.count("[SECRET]") == 1 and key[:4] not in out and key[-4:] not in out
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(60)]
+    assert secrets.masked(ordinary(500) + "/" + "/x/".join(k + "/" + ordinary(50) for k in keys)).count("[SECRET]") == len(keys)
+    blob = "".join(rng.choice(letters + "+/") for _ in range(20_000))
+    rest = ordinary(2000)
+    assert secrets.masked(blob + "/" + rest).endswith(rest[40:]) and len(secrets.masked(blob + "/" + rest)) < len(rest) + 60
+    assert secrets.all_spans(ordinary(20_000))[1] == []
