@@ -36,6 +36,13 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def without(sql: str, part: str) -> str:
+    """sql without a part that it has once: the SQL of a whole table from that of a subset."""
+    if sql.count(part) != 1:
+        raise ValueError(f"{part!r} is not in the SQL once")
+    return sql.replace(part, "")
+
+
 def num(*names: str) -> str:
     """SQL of the same rounding."""
     return ", ".join(f"round({n}::double, 6) + 0.0::double as {n.split('.')[-1]}" for n in names)

@@ -9,7 +9,7 @@ from ..operators import cells as cell_ops
 from ..operators import clean, fire, gates
 from ..operators import reports
 from . import fixtures as fx
-from .define import num, registrar, tidy, ts
+from .define import num, registrar, tidy, ts, without
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,8 +85,17 @@ _INDUSTRY = """industrial as (select 32.53::double+(s_suppkey%38)*0.25::double a
 @query(_D + fx.GRID + "," + _INDUSTRY + """ select grid_id from grid g where not exists (select 1 from industrial i where
  2*6371*asin(sqrt(pow(sin(radians(s_lat-latitude)/2),2)+cos(radians(latitude))*cos(radians(s_lat))*pow(sin(radians(s_lon-longitude)/2),2))) <= radius_km)""")
 def gate4_industrial(spark, d):
+    return _gate4(spark, d, fx.table(spark, d, "supplier").filter("s_suppkey % 10 = 0"))
+
+
+@query(without(ORACLES["gate4_industrial"], " where s_suppkey%10=0"))
+def gate4_industrial_all(spark, d):
+    return _gate4(spark, d, fx.table(spark, d, "supplier"))
+
+
+def _gate4(spark, d, suppliers):
     k = F.col("s_suppkey")
-    sources = fx.table(spark, d, "supplier").filter(k % 10 == 0).select((F.lit(32.53) + (k % 38) * F.lit(0.25)).alias("s_lat"), (F.lit(-124.48) + ((k * 7) % 41) * F.lit(0.25)).alias("s_lon"), F.when(k % 20 == 0, 30.0).otherwise(2.0).alias("radius_km"))
+    sources = suppliers.select((F.lit(32.53) + (k % 38) * F.lit(0.25)).alias("s_lat"), (F.lit(-124.48) + ((k * 7) % 41) * F.lit(0.25)).alias("s_lon"), F.when(k % 20 == 0, 30.0).otherwise(2.0).alias("radius_km"))
     return gates.gate4_industrial(fx.cells(spark, d), sources).select("grid_id")
 
 
@@ -165,5 +174,14 @@ def scalar_formulas(spark, d):
 @query(_D + """ select seq::varchar as name, case when event = 'error' then 'emergency' when event = 'view' then 'active' else 'quiet' end as mode, case event when 'error' then 0 when 'view' then 1 else 99 end::int as priority
  from (select seq, sensor_source as event from detections where seq % 7 = 3) order by priority, name limit 1""")
 def trigger_priority(spark, d):
-    rows = fx.detections(spark, d).filter("seq % 7 = 3").select(F.col("seq").cast("string").alias("name"), F.when(F.col("sensor_source") == "error", "emergency").when(F.col("sensor_source") == "view", "active").otherwise("quiet").alias("mode"))
+    return _trigger(fx.detections(spark, d).filter("seq % 7 = 3"))
+
+
+@query(without(ORACLES["trigger_priority"], " where seq % 7 = 3"))
+def trigger_priority_all(spark, d):
+    return _trigger(fx.detections(spark, d))
+
+
+def _trigger(detections):
+    rows = detections.select(F.col("seq").cast("string").alias("name"), F.when(F.col("sensor_source") == "error", "emergency").when(F.col("sensor_source") == "view", "active").otherwise("quiet").alias("mode"))
     return reports.next_trigger(rows)

@@ -8,7 +8,7 @@ from ..functions import scalar
 from ..operators import fuse, priority, weather
 from ..registry import Registry
 from . import fixtures as fx
-from .define import num, registrar, tidy, ts
+from .define import num, registrar, tidy, ts, without
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -83,8 +83,17 @@ def forward_fill(spark, d):
 
 @query("with t as (select distinct ts as t from events), c as (select distinct date_trunc('hour', ts)::timestamp as cycle from events where event_id % 3 = 0) select " + ts("t") + ", strftime((select max(cycle) from c where cycle <= t.t and cycle > date_trunc('hour', t.t) - interval 3 hour), '%Y-%m-%d %H:%M:%S') as cycle from t")
 def asof_cycle(spark, d):
+    return _asof(spark, d, "event_id % 3 = 0")
+
+
+@query(without(ORACLES["asof_cycle"], " where event_id % 3 = 0"))
+def asof_cycle_all(spark, d):
+    return _asof(spark, d, "true")
+
+
+def _asof(spark, d, which):
     e = fx.table(spark, d, "events")
-    cycles = e.filter("event_id % 3 = 0").select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("cycle"))
+    cycles = e.filter(which).select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("cycle"))
     return tidy(weather.newest_cycle(e.select(F.col("ts").alias("t")).distinct(), cycles))
 
 
@@ -160,7 +169,15 @@ _TRUTH = """truth as (select seq, latitude+0.01::double as lat, longitude-0.01::
   on abs(latitude-lat) <= 1 and sqrt(pow(latitude-lat,2)+pow(longitude-lon,2)) <= 5.0::double/111 and abs(epoch(t.t)::bigint - epoch(f.window_ts)::bigint) <= 21600 group by all)
  select f.grid_id, {ts('f.window_ts')}, coalesce(c, active_fire_count) as active_fire_count, {num('mean_frp')}, case when c is not null then 1 else 2 end as data_source_priority from (select f.* exclude (mean_frp), n.c, coalesce(n.m, f.mean_frp) as mean_frp from fused f left join near n using (grid_id, window_ts)) f""")
 def priority_override(spark, d):
-    rows = fx.detections(spark, d).filter("sensor_source = 'purchase' and seq % 10 = 0")
+    return _override(spark, d, fx.detections(spark, d).filter("sensor_source = 'purchase' and seq % 10 = 0"))
+
+
+@query(without(ORACLES["priority_override"], " and seq % 10 = 0"))
+def priority_override_all(spark, d):
+    return _override(spark, d, fx.detections(spark, d).filter("sensor_source = 'purchase'"))
+
+
+def _override(spark, d, rows):
     truth = rows.select("seq", (F.col("latitude") + 0.01).alias("latitude"), (F.col("longitude") - 0.01).alias("longitude"), F.date_trunc("SECOND", "acq_ts").cast("timestamp_ntz").alias("timestamp"), (F.col("seq") % 40).cast("int").alias("active_fire_count"), F.when(F.col("seq") % 100 != 0, F.col("frp") * 2).alias("mean_frp"))
     return tidy(priority.priority_override(fx.fused(spark, d), truth).select("grid_id", "window_ts", "active_fire_count", "mean_frp", "data_source_priority"))
 

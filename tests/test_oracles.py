@@ -49,3 +49,16 @@ def test_no_python_worker_in_batch_queries(spark):
     for name in ("aggregate_fire", "nearest_fire", "fuse_features", "priority_override", "emergency_fsm", "kl_divergence"):
         plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "CartesianProduct" not in plan
+
+
+WHOLE = ("asof_cycle", "backfill_pending", "gate4_industrial", "nws_parse", "openmeteo_explode", "priority_override", "trigger_priority")
+
+
+def test_whole_tables_are_taken(spark):
+    """The queries over a subset of ids have a twin over all rows; test_query holds it against its own SQL."""
+    assert all(f"{n}_all" in catalog.QUERIES and "% 50" not in catalog.ORACLES[f"{n}_all"] for n in WHOLE)
+    n = spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert catalog.QUERIES["openmeteo_explode_all"](spark, DATA).count() == 3 * n
+    assert catalog.QUERIES["nws_parse_all"](spark, DATA).count() == 2 * n
+    told = {name: catalog.QUERIES[name](spark, DATA).filter("data_source_priority = 1").count() for name in ("priority_override", "priority_override_all")}
+    assert told["priority_override_all"] > told["priority_override"]
