@@ -56,6 +56,13 @@ def bias_slices(df: DataFrame, label: str, dimensions: dict[str, str]) -> DataFr
     return out.select("slice_dimension", "slice_value", "row_count", F.round(F.col("row_count") / F.col("n_all") * 100, 4).alias("pct_of_total"), F.round("fire_rate", 6).alias("fire_rate"), F.round(gap, 6).alias("fire_rate_disparity"), (gap > MAX_DISPARITY).alias("fire_rate_biased"))
 
 
+def slice_null_rates(df: DataFrame, columns: list[str], dimensions: dict[str, str]) -> DataFrame:
+    """null_rate (four decimals) of each feature in each slice of at least 10 rows, all dimensions in one pass."""
+    rates = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.avg(F.col(c).isNull().cast("double")), 4).alias("null_rate")) for c in columns])
+    out = df.select(*columns, _slices(dimensions).alias("s")).select(*columns, "s.*").filter("slice_value is not null").groupBy("slice_dimension", "slice_value").agg(F.count("*").alias("row_count"), rates.alias("rates"))
+    return out.filter(F.col("row_count") >= MIN_ROWS).select("slice_dimension", "slice_value", F.explode("rates").alias("x")).select("slice_dimension", "slice_value", "x.*")
+
+
 def findings(slices: DataFrame, divergences: DataFrame) -> DataFrame:
     """One sentence for each biased slice and feature, or a single one if there is none."""
     shifted = divergences.filter(F.col("kl") > MAX_KL).select("slice_dimension", "slice_value", F.format_string("%s = %s: %s is distributed differently from the whole (KL %.3f, limit %.1f)", "slice_dimension", "slice_value", "feature", "kl", F.lit(MAX_KL)).alias("finding"))

@@ -94,7 +94,7 @@ _DIMENSIONS = {"geographic_region": "region", "data_quality_tier": "tier", "fuel
 
 def _sliced(spark, d):
     f = fx.fused(spark, d)
-    return f.withColumns({"tier": scalar.quality_tier(F.col("data_quality_flag")), "fuel": scalar.fuel_tier(F.col("fuel_model_fbfm40")), "strong": (F.col("mean_frp") >= 60).cast("int")})
+    return f.withColumns({"season": scalar.season(F.col("window_ts")), "tier": scalar.quality_tier(F.col("data_quality_flag")), "fuel": scalar.fuel_tier(F.col("fuel_model_fbfm40")), "strong": (F.col("mean_frp") >= 60).cast("int")})
 
 
 _TIER_SQL = "case " + " ".join(f"when fuel_model_fbfm40 in ({', '.join(map(str, codes))}) then '{tier}'" for tier, codes in scalar.FUEL_TIERS.items()) + " else 'unknown' end"
@@ -121,10 +121,30 @@ def kl_divergence(spark, d):
     return tidy(bias.kl_divergence(_sliced(spark, d), _COLUMNS, _DIMENSIONS))
 
 
+#: The four dimensions of the whole analysis; the SQL of the two queries above holds the first three.
+_ALL_DIMENSIONS = _DIMENSIONS | {"fire_season": "season"}
+_ALL_DIMS_SQL = _DIMS_SQL + " union all select 'fire_season' as slice_dimension, case when month(window_ts) between 6 and 11 then 'fire_season' else 'off_season' end as slice_value, * from sliced where window_ts is not null"
+
+
+@query(ORACLES["bias_slices"].replace(_DIMS_SQL, _ALL_DIMS_SQL))
+def bias_slices_all(spark, d):
+    return bias.bias_slices(_sliced(spark, d), "strong", _ALL_DIMENSIONS)
+
+
+@query(ORACLES["kl_divergence"].replace(_DIMS_SQL, _ALL_DIMS_SQL))
+def kl_divergence_all(spark, d):
+    return tidy(bias.kl_divergence(_sliced(spark, d), _COLUMNS, _ALL_DIMENSIONS))
+
+
+@query(_U + "," + _SLICED + f", dims as ({_ALL_DIMS_SQL}) " + " union all ".join(f"select slice_dimension, slice_value, '{c}' as feature, round(avg(({c} is null)::int), 4) as null_rate from dims group by slice_dimension, slice_value having count(*) >= 10" for c in _COLUMNS))
+def slice_null_rates(spark, d):
+    return bias.slice_null_rates(_sliced(spark, d), _COLUMNS, _ALL_DIMENSIONS)
+
+
 @query()
 def findings_text(spark, d):
     s = _sliced(spark, d)
-    return bias.findings(bias.bias_slices(s, "strong", _DIMENSIONS), bias.kl_divergence(s, _COLUMNS, _DIMENSIONS))
+    return bias.findings(bias.bias_slices(s, "strong", _ALL_DIMENSIONS), bias.kl_divergence(s, _COLUMNS, _ALL_DIMENSIONS))
 
 
 @query("select p_partkey, case when p_size % 10 = 9 then 'unknown' else " + _TIER_SQL.replace("fuel_model_fbfm40", "code") + " end as tier from (select p_partkey, p_size, list_value(" + ", ".join(map(str, fx.FUELS)) + ")[p_size % 10 + 1] as code from part)")

@@ -194,3 +194,19 @@ def test_counts_are_conserved(spark, values):
         out = fire.aggregate_fire(rows.withColumn("grid_id", grid.cell_of(F.col("latitude"), F.col("longitude"), level)), ["grid_id"])
         assert out.agg(F.sum("active_fire_count")).first()[0] == len(values)
     assert not math.isnan(rows.agg(F.avg("frp")).first()[0])
+
+
+def test_seasons_are_sliced(spark, monkeypatch):
+    """Fires of one season only: its disparity, divergence, null rates and findings appear."""
+    from hexfeat.plans import quality_queries as q
+
+    rows = [(f"2024-{1 if i < 60 else 8:02d}-01 00:00:00", "texas", 0, 101, 10.0 + i % 5 if i < 60 else 90.0 + i % 5, 50.0, None if i % 4 == 0 else 100.0) for i in range(100)]
+    fused = spark.createDataFrame(rows, "t string, region string, data_quality_flag int, fuel_model_fbfm40 int, mean_frp double, max_confidence double, elevation_m double").withColumn("window_ts", F.col("t").cast("timestamp_ntz"))
+    monkeypatch.setattr(q.fx, "fused", lambda *_: fused)
+    slices = {(r.slice_dimension, r.slice_value): r for r in q.QUERIES["bias_slices_all"](spark, "").collect()}
+    assert slices["fire_season", "fire_season"].fire_rate_biased and slices["fire_season", "off_season"].row_count == 60
+    kl = {(r.slice_dimension, r.slice_value, r.feature): r.kl for r in q.QUERIES["kl_divergence_all"](spark, "").collect()}
+    assert kl["fire_season", "fire_season", "mean_frp"] > 0.1
+    rates = {(r.slice_dimension, r.slice_value, r.feature): r.null_rate for r in q.QUERIES["slice_null_rates"](spark, "").collect()}
+    assert rates["fire_season", "off_season", "elevation_m"] == 0.25 and rates["geographic_region", "texas", "mean_frp"] == 0
+    assert any(r.slice_dimension == "fire_season" for r in q.QUERIES["findings_text"](spark, "").collect())
