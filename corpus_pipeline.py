@@ -6,16 +6,19 @@ and read again as the next stage's docs. All stages but the last return the colu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexfeat.llm import common, exact_dedup, ngram_join, packing, secrets, toxicity
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (column doc_id), one of each doc_id and text. Rows without a doc_id go."""
-    columns = docs.columns
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns)
+def _only(docs: DataFrame, chosen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of docs that chosen picks from rows (doc_id, text): there, doc_id is a key of each row's own."""
+    rows, key = common.keyed(docs)
+    ids = chosen(rows.select(F.col(key).alias("doc_id"), "text"))
+    return rows.join(ids.select(F.col("doc_id").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    """One document of each group of equal texts: the longest, then the one with the smallest doc_id, none being the largest."""
+    return _only(docs, lambda rows: exact_dedup.exact_dedup(rows).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies."""
-    return _only(docs, ngram_join.jaccard_join(docs).filter("doc_id = component_id"))
+    """The document with the smallest doc_id of each component of near copies, none being the largest."""
+    return _only(docs, lambda rows: ngram_join.jaccard_join(rows).filter("doc_id = component_id"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,24 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, str]:
+    """columns of docs (all of them if None) with a key of each row's own, and the key's name.
+
+    doc_id is the key if no row lacks or shares one. If any does, the rows are written once with a new column that
+    follows the order of doc_id, rows without one last; equal ids are ordered by the hash of their texts.
+    """
+    columns = columns or docs.columns
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("of")).filter("of > 1 or doc_id is null")
+    if dict(docs.dtypes)["doc_id"] == "bigint" and shared.isEmpty():
+        return docs.select(*columns), "doc_id"
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    dealt = docs.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local master gets one of its own."""
     sc = spark.sparkContext

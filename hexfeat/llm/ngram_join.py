@@ -338,12 +338,29 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links lead to, itself included. Documents without a word have no shingles
-    and no links; a null text counts as empty. A null doc_id stays null, its component is the smallest other id of equal
-    texts, or null. Rows that repeat a doc_id are answered one by one; with different texts only one of the texts is compared with
-    others, and each keeps the links of equal texts. An empty table gives an empty result; other columns are not read.
+    and no links; a null text counts as empty. A null doc_id stays null; rows without one are compared like others, and
+    their component is null if no row in it has an id. Rows that repeat a doc_id are answered one by one, each text is
+    compared, and all of them are one node: what links one links the others. An empty table gives an empty result;
+    other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = common.id_and_text(docs)
+    rows, key = common.keyed(common.id_and_text(docs))
+    if key == "doc_id":
+        return _joined(rows)
+    found = common.stored(_joined(rows.select(F.col(key).alias("doc_id"), "text")))
+    ids = rows.select(F.col(key).alias("key"), F.col("doc_id").alias("id"))
+    answered = common.stored(found.withColumnRenamed("doc_id", "key").join(ids, "key"))
+    several = answered.filter("n_shingles > 0 and id is not null").select("id", "component_id").distinct()
+    first = several.groupBy("id").agg(F.min("component_id").alias("a"), F.count("*").alias("of")).filter("of > 1")
+    merged = components(several.join(first, "id").select("a", F.col("component_id").alias("b")).filter("a <> b"))
+    labelled = answered.join(merged.withColumnRenamed("node", "component_id"), "component_id", "left").withColumn("component", F.coalesce("component", "component_id"))
+    # Keys follow the order of the ids, those without one last: the smallest key of a component has its smallest id.
+    lowest = labelled.join(ids.select(F.col("key").alias("component"), F.col("id").alias("low")), "component")
+    return lowest.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """The same for rows with a doc_id of their own each."""
+    spark = rows.sparkSession
     found = common.stored(profiles(rows))
     heavy = found.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(HEAVY).collect()
     order = spark.sparkContext.broadcast(Order({r["doc_id"] + (1 << 63): r["n"] for r in heavy}))

@@ -94,3 +94,15 @@ def test_an_id_with_several_texts(spark):
     rows = [(1, " ".join(base)), (1, " ".join(base).upper()), (2, near), (3, near.upper()), (4, "one two three four five"), (4, "six seven eight nine ten")]
     found = {tuple(r) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert found == {(1, 117, 1), (2, 117, 1), (3, 117, 1), (4, 2, 4)}
+
+
+def test_rows_without_and_with_repeated_ids(spark):
+    """Every text is compared, whatever its id: rows without one are linked, and all texts of an id lead on."""
+    rng = random.Random(9)
+    texts = [[f"t{t}w{rng.randrange(900)}" for _ in range(110)] for t in range(6)]
+    near = lambda t: " ".join([*texts[t][:50], "changed", *texts[t][51:]])
+    whole = lambda t: " ".join(texts[t])
+    rows = [(9, whole(0)), (9, whole(1)), (9, whole(2)), (5, near(0)), (4, near(1)), (30, near(2)), (None, whole(3)), (None, near(3)), (None, whole(4)), (20, near(4)), (7, whole(5)), (7, None), (None, "")]
+    for n in (1, 4):
+        got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows)

@@ -99,3 +99,17 @@ def test_registered_queries_cover_the_table(spark, name):
     d = "/root/testdata/sf0.001"
     n = common.read(spark, d, "documents").count()
     assert entry.queries()[name](spark, d).select("doc_id").distinct().count() == n
+
+
+def test_stages_keep_rows_without_or_with_repeated_ids(spark):
+    """One row of each group stays, whatever its doc_id; extra columns may have any name."""
+    base = [f"w{k}" for k in range(120)]
+    near, other = " ".join([*base[:60], "changed", *base[61:]]), "a text of its own"
+    rows = [(None, " ".join(base) + "  "), (1, " ".join(base)), (2, " ".join(base)), (3, near), (3, other), (3, other), (3, near + " "), (None, "alone"), (None, None), (None, "alone "), (4, "one two three")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key string").repartition(3)
+    unique = common.stored(corpus_pipeline.drop_copies(spark, docs, ""))
+    want = [(None, " ".join(base) + "  "), (3, near + " "), (3, other), (None, "alone "), (None, None), (4, "one two three")]
+    assert unique.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in unique.collect()), key=str) == sorted(want, key=str)
+    apart = corpus_pipeline.drop_near_copies(spark, unique, "")
+    assert sorted(((r.doc_id, r.text) for r in apart.collect()), key=str) == sorted(want[1:], key=str)
