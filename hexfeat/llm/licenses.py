@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 DIMENSIONS, TARGET_PRECISION, CONFIRMED_FROM = 1 << 14, 0.99, 0.5
-#: Words without which no notice is written.
-ANCHORS = ("license", "licensed", "licence", "licenced", "licenses", "licensing", "copyright", "copyleft", "permission", "redistribution", "redistribute", "warranty", "warranties", "spdx", "cc", "creative", "gpl", "lgpl", "agpl", "mit", "bsd", "apache", "mozilla", "mpl", "isc", "unlicense", "reserved", "proprietary", "domain", "gnu")
+#: Beginnings of the words without which no notice is written, in lower case; lines are filtered and features made by the same.
+ANCHOR = r"(?:licen[cs]|copy(?:right|left)|permission|redistribut|warrant|spdx|creative|apache|mozilla|reserved|proprietary|domain|[al]?gpl|unlicense|gnu|(?:cc|mit|bsd|mpl|isc)(?:v?\d|\b))"
+#: Names that are written in one word with their version: gplv3, lgpl2, cc0.
+_VERSIONED = r"\b([al]?gpl|mpl|bsd|cc)[_]?(v?\d)"
 #: Notices of each family, and sentences of none, by which the model is trained.
 NOTICES = {
     "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Distributed under the MIT License. See LICENSE for details."],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004", "This software is released under the Apache 2.0 license.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "Released under the GNU GPL v3.", "You should have received a copy of the GNU General Public License along with this program.", "Licensed under the GNU General Public License version 2 or later."],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.", "Released under the LGPL v3."],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "Released under the GNU GPL v3.", "Released under GPLv3.", "GPLv2 or later", "You should have received a copy of the GNU General Public License along with this program.", "Licensed under the GNU General Public License version 2 or later."],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.", "Released under the LGPL v3.", "Released under LGPLv3.", "under LGPLv3"],
     "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "Released under the GNU AGPL v3.", "Free software under the terms of the GNU Affero General Public License."],
     "bsd": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Use of this source code is governed by a BSD-style license.", "Released under the BSD 2-Clause license."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0.", "Released under the MPL 2.0."],
@@ -34,21 +36,20 @@ NOTICES = {
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0", "This article is distributed under the terms of the Creative Commons Attribution License.", "Available under CC BY 3.0."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike License.", "Available under CC BY-SA 3.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Available under CC BY-NC 3.0.", "Shared under the Creative Commons Attribution-NonCommercial license."],
-    "public-domain": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense", "This work has been dedicated to the public domain.", "Released into the public domain under CC0 1.0 Universal."],
+    "public-domain": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense", "This work has been dedicated to the public domain.", "Released into the public domain under CC0 1.0 Universal.", "Released under CC0 1.0."],
     "proprietary": ["All rights reserved.", "Copyright 2020 by the authors. All rights reserved.", "This document is proprietary and confidential.", "No part of this publication may be reproduced without the prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying is prohibited."],
     UNKNOWN: ["He lost his driver license last week.", "She asked for permission to leave the room early.", "The restaurant was denied a liquor license by the city.", "The warranty covers parts for two years.", "A table was reserved for four people.", "The domain name expired in March.", "Students at MIT built a creative robot.", "The apache helicopter landed near the base.", "A licensed physician must sign the form.", "Copyright law is taught in the second year.", "The poetic licence of the author is wide.", "You need a fishing license at this lake.", "The license plate was stolen.", "The licensing board met on Monday.", "Mail was sent with a cc to the manager.", "Permission was refused by the council.", "The gnu is a large animal of the plains.", "Redistribution of income was debated.", "Proprietary drugs cost more than generic ones.", "They licensed the song for a film.", "The license of the software is not stated.", "The domain of the function is the set of real numbers.", "She spoke with the permission of the court and the reserved seats were full."],
 }
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), _VERSIONED, "$1 $2"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
 def grams(tokens: str) -> Column:
     """Distinct n-grams of one to three words, those within two words of an anchor. tokens is a column, not an expression: lambdas would compute that anew for each word."""
     tokens = F.col(tokens)
-    anchors = F.array(*[F.lit(a) for a in ANCHORS])
-    near = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.arrays_overlap(F.slice(tokens, F.greatest(i - 2, F.lit(1)), 5), anchors))
+    near = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.exists(F.slice(tokens, F.greatest(i - 2, F.lit(1)), 5), lambda w: w.rlike("^" + ANCHOR)))
     n_grams = F.flatten(F.transform(near, lambda i: F.array(*[F.array_join(F.slice(tokens, i, k), " ") for k in (1, 2, 3)])))
     return F.when(F.size(tokens) > 0, F.array_distinct(n_grams)).otherwise(F.array().cast("array<string>"))
 
@@ -100,8 +101,8 @@ def fit(spark: SparkSession) -> Licences:
     return Licences(model, families, max(0.3, float(believed)))
 
 
-#: Found in every lower-case line that holds an anchor as a word.
-_LINE = r"\b(?:licen[cs]|copy(?:right|left)|permission|redistribut|warrant|spdx|creative|apache|mozilla|reserved|proprietary|domain|[al]?gpl|unlicense|gnu|(?:cc|mit|bsd|mpl|isc)\b)"
+#: Found in every lower-case line that holds an anchor.
+_LINE = r"\b" + ANCHOR
 
 
 def scan_licenses(docs: DataFrame, model: Licences) -> DataFrame:

@@ -4,6 +4,8 @@ import re
 import string
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from hexfeat.llm import licenses, quality_classifier, quality_rules, secrets
 
 JUNK = {
@@ -128,3 +130,12 @@ def test_keys_anywhere_in_a_long_run():
     rest = ordinary(2000)
     assert secrets.masked(blob + "/" + rest).endswith(rest[40:]) and len(secrets.masked(blob + "/" + rest)) < len(rest) + 60
     assert secrets.all_spans(ordinary(20_000))[1] == []
+
+
+def test_licences_named_in_one_word_with_their_version(spark):
+    model = licenses.fit(spark)
+    texts = {1: ("Released under GPLv3.", "gpl"), 2: ("This library is under LGPLv3", "lgpl"), 3: ("The code is GPLv2 or later.", "gpl"), 4: ("Released under CC0 1.0", "public-domain"), 5: ("Copyrighted material. All rights reserved.", "proprietary"), 6: ("The gplain text was copyrighted by nobody.", "unknown")}
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.family for r in licenses.scan_licenses(rows, model).collect()} == {i: f for i, (_, f) in texts.items()}
+    tokens = spark.createDataFrame([("copyrighted",), ("gplv3",), ("cc0",)], "t string").withColumn("tokens", licenses.words(F.col("t")))
+    assert tokens.select(licenses.grams("tokens").alias("g")).filter("size(g) = 0").count() == 0
