@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,12 @@ def gate4_industrial(cells: DataFrame, sources: DataFrame, default_km: float = I
     """Cells (latitude, longitude) not within radius_km of an industrial source.
 
     Sources are dealt to all squares that their radius touches, so that the range condition is an equi-join with an
-    exact filter; no radius may exceed largest_km.
+    exact filter. The side follows the largest radius present (largest_km at least) and the latitude where degrees of
+    longitude are shortest, so that no circle is wider than the square and its neighbours.
     """
-    side = largest_km / 80.0  # degrees of longitude shrink: no circle is wider than the square and its neighbours
+    found = sources.dropna(subset=["s_lat", "s_lon"]).agg(F.max(F.coalesce("radius_km", F.lit(default_km))).alias("km"), F.max(F.abs("s_lat")).alias("lat")).first()
+    largest = max(largest_km, found["km"] or 0.0)
+    side = max(largest_km / 80.0, largest / (111.0 * math.cos(math.radians(min(89.0, (found["lat"] or 0.0) + largest / 111.0)))))
     square = lambda c: F.floor(F.col(c) / side).cast("long")
     around = F.array(*[F.struct((square("s_lat") + dy).alias("y"), (square("s_lon") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     near = sources.dropna(subset=["s_lat", "s_lon"]).select("s_lat", "s_lon", F.coalesce("radius_km", F.lit(default_km)).alias("radius_km")).withColumn("s", F.explode(around)).select("s_lat", "s_lon", "radius_km", F.col("s.y").alias("_y"), F.col("s.x").alias("_x"))

@@ -210,3 +210,11 @@ def test_seasons_are_sliced(spark, monkeypatch):
     rates = {(r.slice_dimension, r.slice_value, r.feature): r.null_rate for r in q.QUERIES["slice_null_rates"](spark, "").collect()}
     assert rates["fire_season", "off_season", "elevation_m"] == 0.25 and rates["geographic_region", "texas", "mean_frp"] == 0
     assert any(r.slice_dimension == "fire_season" for r in q.QUERIES["findings_text"](spark, "").collect())
+
+
+def test_industrial_sources_of_any_radius(spark):
+    """Cells far within a large radius go, cells beyond it stay, also where degrees of longitude are short."""
+    sources = spark.createDataFrame([(35.0, -100.0, 300.0), (60.0, 10.0, None)], "s_lat double, s_lon double, radius_km double")
+    cells_ = spark.createDataFrame([("in", 37.5, -100.0), ("east", 35.0, -96.8), ("out", 38.0, -100.0), ("near", 60.0, 10.03), ("far", 60.0, 10.05)], "grid_id string, latitude double, longitude double")
+    assert {r.grid_id for r in gates.gate4_industrial(cells_, sources).collect()} == {"out", "far"}
+    assert gates.gate4_industrial(cells_, sources.filter("false")).count() == 5
