@@ -1,22 +1,24 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its distinct 4-word shingles. All sets are sorted by one global order: shingles that are rare
-by estimate first, then by hash. If two sets are similar enough to be linked, then for every level l their l-prefixes (the
-first |x| - ceil(t|x|) + l shingles) share at least l shingles. Each document picks its own level: it lengthens its
-prefix as long as that lowers the estimated cost of its candidates, and in return a pair has to share as many prefix
-shingles as the lower of its two levels says before it is verified.
-
-The work is laid out so that nothing grows with the square of a group:
-
-1. Equal sets (exact copies) are one class; only classes are compared.
-2. A first pass counts shingles that repeat; the heaviest, a bounded table, define the order. It is only an order: any
-   table gives the same links.
-3. A second pass finds, for each class, how many of its first shingles no other class holds within reach. Every one of
-   them lowers the largest overlap that the class can have with any other, which rules most classes out for good.
-4. Of the rest, members of likely families (equal minima of hash pairs) are verified against one hub each and joined to
-   components. Then the adaptive prefixes are joined, but only between components: links inside one are known to be
-   of no further consequence.
-5. Pairs that share enough are verified on their full sets, and components of all links give the answer.
+A document is the set of its distinct 4-word shingles; equal sets (copies) are one class, and only classes are compared.
+All sets are sorted by one global order: shingles that are rare by estimate first, then by hash. If two sets are similar
+enough to be linked, then for every level l their l-prefixes (the first |x| - ceil(t|x|) + l shingles) share at least l
+shingles. Each class picks its own level: it lengthens its prefix as long as that lowers the estimated cost of its
+candidates, and in return it has to share that many more shingles before anything is verified.
+
+The prefixes produce all candidates; the work on them is laid out so that nothing grows with the square of a group:
+
+1. A first pass takes digests and counts shingles that repeat. The heaviest, a bounded table, define the order (any table
+   gives the same links). Heavy shingles are dealt by shingle and class, so that none meets in one task.
+2. A second pass shows the prefixes. Shingles that one class alone shows go; a class that is left with fewer than its
+   least level goes as well.
+3. Of the classes that show a shingle, the most central is their hub. A class follows the hubs of its shingles, but for
+   those that make up less than half of the matches it needs: two classes that share enough follow one hub together.
+4. A class is compared with each of its hubs once, in whole numbers on the full sets: what it lacks of the hub and what it
+   has besides. Every member is one row, however large the group.
+5. Members that are linked with their hub are one component. For the others the same is done again on the differences
+   from the hub: two sets differ by the symmetric difference of their differences, so shingles of the family no
+   longer count, and only members that share enough of their deviations can be linked. It ends when no member can be.
 
 Shingles are 64-bit hashes of their words; the digest of a set has 128 bits.
 """
@@ -24,25 +26,25 @@ Shingles are 64-bit hashes of their words; the digest of a set has 128 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Entries of the table of heavy shingles, repeats within a batch from which one is counted, highest level.
-HEAVY, REPEATED, LEVELS = 1 << 16, 4, 8
-#: Postings of a block, buckets of the filter on candidate ids (both bound memory, not results).
-BLOCK, BUCKETS = 2_000_000, 1 << 18
-#: Bits for what a set lacks of its hub; places of longer hubs fall together, which only weakens the bound.
-FOLD = 1024
+#: Entries of the table of heavy shingles, and repeats among STRETCH shingles from which one is counted.
+HEAVY, REPEATED, STRETCH = 1 << 16, 4, 1 << 21
+#: Tasks that a heavy shingle is dealt to, members that meet one copy of their hub, copies of a hub at most.
+SALTS, TOGETHER, COPIES = 64, 128, 4096
+#: Buckets of the filter on candidate ids (bounds memory, not results).
+BUCKETS = 1 << 18
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_SIGNATURES = [(np.uint64(2 * k + 0x1F123BB5159A55E5), np.uint64(2 * k + 0x2545F4914F6CDD1D)) for k in range(4)]
 _MASK = (1 << 64) - 1
 
 
@@ -79,6 +81,12 @@ class Shingler:
         return np.unique(hashes ^ (hashes >> np.uint64(29)))
 
 
+def digest(hashes: np.ndarray) -> tuple[int, int]:
+    """Both halves of the digest of a set, as longs."""
+    found = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (found >> 64) - (1 << 63), (found & _MASK) - (1 << 63)
+
+
 class Order:
     """The global order: shingles of the heavy table last, by their count; others by hash."""
 
@@ -87,15 +95,16 @@ class Order:
         self.keys, self.counts = keys, np.array([heavy[int(k)] for k in keys], np.int64)
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
-        """Estimated documents of each shingle."""
+        """Estimated classes of each shingle; 1 for those that are not in the table."""
         if not len(self.keys):
             return np.ones(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, self.counts[at], 1)
 
     def sorted(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """hashes (which are sorted) in the global order, and their counts."""
         counts = self.count(hashes)
-        rank = np.lexsort((hashes, counts))
+        rank = np.argsort(counts, kind="stable")
         return hashes[rank], counts[rank]
 
 
@@ -104,15 +113,9 @@ def slack(n: int) -> int:
     return n - -(-PERCENT * n // 100)
 
 
-def reach(n: int) -> int:
-    """How many first shingles are shown to others: enough that a shingle among the first zone(n) of a set, if a set
-    that it can be linked with holds it at all, is shown by that set too (its position there is at most the position here
-    plus the size there minus the overlap needed)."""
-    return min(n, -(-29 * n // 100) + 1)
-
-
-def zone(n: int) -> int:
-    return 16 * n // 100
+def least_level(n: int) -> int:
+    """The lowest level that a set of n picks; it never falls as n grows."""
+    return 1 + n // 24
 
 
 def level(counts: np.ndarray) -> int:
@@ -121,217 +124,228 @@ def level(counts: np.ndarray) -> int:
     At level l at most (sum of the counts in the prefix) / l sets can share l shingles; each costs a verification.
     """
     n = len(counts)
-    base, most = slack(n), min(LEVELS, max(1, reach(n) - slack(n)))
-    best, chosen = None, 1
-    scanned = np.cumsum(counts)
-    for l in range(1, most + 1):
-        s = float(scanned[base + l - 1])
-        cost = s + (1 + n / 64) * s / l
-        if best is None or cost < best:
-            best, chosen = cost, l
-    return chosen
-
+    levels = np.arange(least_level(n), max(least_level(n), n // 8) + 1)
+    scanned = np.cumsum(counts)[slack(n) + levels - 1].astype(float)
+    return int(levels[np.argmin(scanned + (1 + n / 64) * scanned / levels)])
 
-_PROFILE = ["kind", "doc_id", "n", "hi", "lo", "s0", "s1", "s2", "s3"]
 
+def profiles(rows: DataFrame) -> DataFrame:
+    """For each document (kind 0): doc_id, size and digest of its set; for shingles that repeat in a stretch (kind 1): hash as doc_id, count as n."""
+    names = ["kind", "doc_id", "n", "hi", "lo"]
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """For each document (kind 0): size, digest and signatures of its set; for shingles that repeat in a batch (kind 1): hash as doc_id, count as n."""
+    def repeated(sets: list[np.ndarray]) -> list[tuple]:
+        found, counts = np.unique(np.concatenate(sets), return_counts=True)
+        often = counts >= REPEATED
+        return [(1, h - (1 << 63), c, 0, 0) for h, c in zip(found[often].tolist(), counts[often].tolist(), strict=True)]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            rows, seen = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingle(text)
-                digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                signatures = [xxhash.xxh3_64_intdigest(np.array([(h * a).min(), (h * b).min()]).tobytes()) for a, b in _SIGNATURES] if len(h) else [0] * 4
-                rows.append((0, doc, len(h), *(x - (1 << 63) for x in (digest >> 64, digest & _MASK, *signatures))))
-                seen.append(h)
-            if seen:
-                found, counts = np.unique(np.concatenate(seen), return_counts=True)
-                often = counts >= REPEATED
-                rows += [(1, h - (1 << 63), c, 0, 0, 0, 0, 0, 0) for h, c in zip(found[often].tolist(), counts[often].tolist(), strict=True)]
-            columns = zip(*rows, strict=True) if rows else ((),) * len(_PROFILE)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _PROFILE)
-
-    return docs.mapInArrow(profile, ", ".join(f"{c} long" for c in _PROFILE))
-
-
-def shared_counts(docs: DataFrame, order, blocks: int) -> DataFrame:
-    """lo (half of a set's digest) and shared: how many of the first zone(n) shingles of the set other sets show as well.
-
-    A batch sends each shingle to its block with the set that shows it. A shingle that several sets of the batch show is
-    settled there: their counts go on at once, and two of them go to the block as witnesses, so a shingle of a very large
-    group arrives as two rows from each batch.
-    """
+            out, sets, held, seen = [], [], 0, set()
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                h = shingle(text.as_py())
+                both = digest(h)
+                out.append((0, doc, len(h), *both))
+                if both not in seen:
+                    seen.add(both)
+                    sets.append(h)
+                    held += len(h)
+                if held > STRETCH:
+                    out += repeated(sets)
+                    sets, held = [], 0
+            out += repeated(sets) if sets else []
+            columns = zip(*out, strict=True) if out else ((),) * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return rows.mapInArrow(profile, ", ".join(f"{c} long" for c in names))
 
-    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, by = Shingler(), order.value
-        for batch in batches:
-            tokens, sets, marks, seen = [], [], [], set()
-            for text in batch.column("text").to_pylist():
-                h = shingle(text)
-                n = len(h)
-                digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                if not n or digest in seen:
-                    continue
-                seen.add(digest)
-                first = by.sorted(h)[0][: reach(n)]
-                tokens.append(first)
-                sets.append(np.full(len(first), (digest & _MASK) - (1 << 63), np.int64))
-                marks.append(np.arange(len(first)) < zone(n))
-            if not tokens:
-                continue
-            token, owner, mark = np.concatenate(tokens), np.concatenate(sets), np.concatenate(marks)
-            rank = np.argsort(token, kind="stable")
-            token, owner, mark = token[rank], owner[rank], mark[rank]
-            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            count = np.diff(np.r_[start, len(token)])
-            several = np.repeat(count > 1, count)
-            within = np.arange(len(token)) - np.repeat(start, count)
-            settled, n_settled = np.unique(owner[several & mark], return_counts=True)
-            send = ~several | (within < 2)
-            token, owner, mark = token[send], owner[send], (mark & ~several)[send]
-            block = (token % np.uint64(blocks)).astype(np.int64)
-            rank = np.argsort(block, kind="stable")
-            edges = np.flatnonzero(np.r_[True, block[rank][1:] != block[rank][:-1]])
-            parts = np.split(rank, edges[1:])
-            rows = [(int(block[p[0]]), token[p].tobytes(), owner[p].tobytes(), mark[p].tobytes()) for p in parts]
-            if len(settled):
-                rows.append((-1 - int(settled[0] % blocks), b"", settled.tobytes(), n_settled.astype(np.int64).tobytes()))
-            b, t, o, m = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(t, pa.binary()), pa.array(o, pa.binary()), pa.array(m, pa.binary())], ["block", "tokens", "owners", "marks"])
-
-    def counted(table: pa.Table) -> pa.Table:
-        if table.column("block")[0].as_py() < 0:
-            owner = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
-            n = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.int64)
-            return pa.table({"lo": owner, "shared": n})
-        token = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
-        owner = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
-        mark = np.frombuffer(b"".join(table.column("marks").to_pylist()), bool)
-        rank = np.lexsort((owner, token))
-        token, owner, mark = token[rank], owner[rank], mark[rank]
-        new = np.r_[True, token[1:] != token[:-1]]
-        group = np.cumsum(new) - 1
-        differ = np.bincount(group, weights=np.r_[False, (owner[1:] != owner[:-1]) & ~new[1:]]) > 0
-        # A set that comes from several batches (copies) asks once.
-        once = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]
-        asked = np.zeros(int(np.cumsum(once)[-1]), bool)
-        np.logical_or.at(asked, np.cumsum(once) - 1, mark)
-        found, n = np.unique(owner[once][asked & differ[group][once]], return_counts=True)
-        return pa.table({"lo": found, "shared": n.astype(np.int64)})
-
-    sent = docs.mapInArrow(shown, "block long, tokens binary, owners binary, marks binary")
-    return sent.groupBy("block").applyInArrow(counted, "lo long, shared long").groupBy("lo").agg(F.sum("shared").alias("shared"))
-
-
-def _linkable(n_a, n_b, at_most):
-    """Whether sets of these sizes are linked if they share at_most shingles, in whole numbers."""
-    return (100 + PERCENT) * at_most >= PERCENT * (n_a + n_b)
-
-
-def ordered_sets(docs: DataFrame, chosen: DataFrame, order) -> DataFrame:
-    """rep, n, unshared, level and tokens (the whole set in the global order) of the chosen classes (rep, n, hi, lo, unshared).
-
-    Texts are first thinned by a filter of at most BUCKETS numbers, then joined to the chosen ids.
-    """
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, by = Shingler(), order.value
+class Ids:
+    """The number of a class: the lower half of its digest, or another where two classes have the same."""
+
+    def __init__(self, shared: list[tuple[int, int]]):
+        self.other = {both: xxhash.xxh3_64_intdigest(repr(both).encode(), seed=1) - (1 << 63) for both in shared}
+
+    def __call__(self, both: tuple[int, int]) -> int:
+        return self.other.get(both, both[1]) if self.other else both[1]
+
+
+def prefixes(rows: DataFrame, order, ids) -> DataFrame:
+    """token, id, n, level and heavy: every shingle in the prefix of every class (copies in other batches repeat it)."""
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("heavy", pa.bool_())])
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, by, number = Shingler(), order.value, ids.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256).to_pylist(), []
-                for row in part:
-                    h = shingle(row["text"])
-                    digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                    if (row["hi"], row["lo"]) == ((digest >> 64) - (1 << 63), (digest & _MASK) - (1 << 63)):
-                        tokens, counts = by.sorted(h)
-                        rows.append((row["doc_id"], len(h), row["unshared"], level(counts), tokens.view(np.int64)))
-                rep, n, unshared, levels, sets = zip(*rows, strict=True) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(unshared, pa.int64()), pa.array(levels, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "unshared", "level", "tokens"])
-
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("bucket")
-    buckets = chosen.select(bucket("rep")).distinct()  # at most BUCKETS rows
-    thin = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text")
-    # Rows that repeat go where the join has put them. A set comes twice only if its id repeats with other spellings of it.
-    texts = thin.join(chosen.select(F.col("rep").alias("doc_id"), "hi", "lo", "unshared"), "doc_id").dropDuplicates(["doc_id", "text"])
-    return texts.mapInArrow(place, "rep long, n long, unshared long, level long, tokens array<long>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return both.filter(_linkable(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("x", "y")))).select("a", "b")
-
-
-def hub_pairs(classes: DataFrame) -> DataFrame:
-    """Classes that share a signature, each paired with the smallest of them only."""
-    signed = classes.select("rep", "n", "unshared", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("s")) for k in range(4)])).alias("x")).select("rep", "n", "unshared", "x.k", "x.s")
-    hubs = signed.groupBy("k", "s").agg(F.min(F.struct("rep", "n", "unshared")).alias("hub"), F.count("*").alias("of")).filter("of > 1").select("k", "s", F.col("hub.rep").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.unshared").alias("u_b"))
-    pairs = signed.join(hubs, ["k", "s"]).filter("rep <> b")
-    return pairs.filter(_linkable(F.col("n"), F.col("n_b"), F.least(F.col("n") - F.col("unshared"), F.col("n_b") - F.col("u_b")))).select(F.col("rep").alias("a"), "b").distinct()
-
-
-def beside_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For pairs (a, hub b): n_a, n_b, how many shingles they have in common, the places in b of those that a lacks as FOLD bits, and
-    how many of the unshared shingles of a surely lie outside of b (`alone`): all but those that b holds but doesn't show."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "unshared", F.col("tokens").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("lacks", F.array_except("y", "x")).withColumn("places", F.transform("lacks", lambda t: F.array_position("y", t)))
-    word = lambda k: F.filter("places", lambda t: F.pmod(F.shiftright(t, 6), F.lit(FOLD // 64)) == k)
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))
-    bits = [F.aggregate(word(k), F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(bit(t))).alias(f"bits{k}") for k in range(FOLD // 64)]
-    hidden = F.size(F.array_intersect(F.expr("slice(x, 1, int(floor(16 * n_a / 100)))"), F.expr("slice(y, int(least(n_b, ceil(29 * n_b / 100) + 1)) + 1, int(n_b))")))
-    return both.select("a", "b", "n_a", "n_b", F.greatest(F.col("unshared") - hidden, F.lit(0)).cast("long").alias("alone"), (F.col("n_b") - F.size("lacks")).cast("long").alias("common"), *bits)
-
-
-def home(beside: DataFrame) -> DataFrame:
-    """rep, hub, n_hub, bits and free of every class that has a hub or is one; of several hubs the one with most members.
-
-    free bounds the shingles outside of the hub that the class can share with any other class that it can be linked with.
+            parts, held, seen = [], 0, set()
+            for text in batch.column("text"):
+                h = shingle(text.as_py())
+                both = digest(h)
+                if len(h) and both not in seen:
+                    seen.add(both)
+                    tokens, counts = by.sorted(h)
+                    n, at = len(h), level(counts)
+                    tokens, counts = tokens[: slack(n) + at], counts[: slack(n) + at]
+                    k = len(tokens)
+                    parts.append((tokens.view(np.int64), np.full(k, number(both)), np.full(k, n, np.int32), np.full(k, at, np.int32), counts > 1))
+                    held += k
+                if held > STRETCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+                    parts, held = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+
+    return rows.select("text").mapInArrow(show, "token long, id long, n int, level int, heavy boolean")
+
+
+def _needed(n: Column) -> Column:
+    """The least size of a set that one of n can be linked with."""
+    return F.ceil(F.lit(PERCENT) * n / 100)
+
+
+def shown(postings: DataFrame) -> DataFrame:
+    """id, n, rank, spare and tokens of the classes that show enough shingles which others show too.
+
+    `lowest` of a shingle bounds the level of any class that shows it and has a size to be linked. Two classes that are linked share at least as many
+    shingles as the lower of their levels, and the lowest of each of these is no more: so with k of its lowests up to k, or
+    with as many shingles as its own level, a class stays. rank is lower for more central classes; spare are the matches
+    that a class can do without: those of two linked classes are fewer than the matches they need.
     """
-    bits = [f"bits{k}" for k in range(FOLD // 64)]
-    outside = F.col("n_a") - F.col("common")
-    members = beside.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.col("n_b").alias("n_hub"), *bits, F.greatest(outside - F.col("alone"), F.lit(0)).cast("long").alias("free"))
-    hubs = beside.groupBy("b").agg(F.max("n_b").alias("n_hub")).select(F.col("b").alias("rep"), F.col("b").alias("hub"), "n_hub", *[F.lit(0).cast("long").alias(x) for x in bits], F.lit(0).cast("long").alias("free"))
-    sizes = beside.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("of"))
-    largest = F.max_by(F.struct("hub", "n_hub", *bits, "free"), F.struct("of", -F.col("hub")))
-    return members.unionByName(hubs).join(sizes, "hub").groupBy("rep").agg(largest.alias("x")).select("rep", "x.*")
-
-
-def prefix_pairs(sets: DataFrame, known: DataFrame, homes: DataFrame) -> DataFrame:
-    """Pairs of different components (known: node, component) that share as many prefix shingles as the lower level of the two asks for.
-
-    For a shingle, the component with most of its postings is never paired with itself, nor is any other: postings of
-    that component only meet those outside of it. Two sets with the same hub h share at most |h| - (shingles of h that
-    either lacks) + (shingles outside of h that both can share): that rules out most members of a family that differ
-    from it in different places, before they become a row.
+    apart = Window.partitionBy("token", "salt")
+    dealt = postings.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    alone = F.min("id").over(apart) == F.max("id").over(apart)
+    live = dealt.withColumns({"alone": alone, "lowest": F.min("level").over(apart)}).filter("heavy or not alone")
+    partner = (1 + F.floor(_needed(F.col("n")) / 24)).cast("int")
+    bound = F.greatest(partner, F.when(~F.col("heavy"), F.col("lowest"))).alias("lowest")
+    gathered = live.groupBy("id", "n", "level").agg(F.sort_array(F.collect_set(F.struct(bound, "token", "heavy"))).alias("tokens"))
+    gathered = gathered.filter((F.size("tokens") >= F.col("level")) | F.exists(F.transform("tokens", lambda t, i: t.lowest <= i + 1), lambda x: x))
+    spare = F.floor((F.least(F.col("level"), F.col("tokens")[0].lowest) - 1) / 2).alias("spare")
+    length = F.col("n") - _needed(F.col("n")) + F.col("level")
+    rank = F.struct((1000 * (length - F.size("tokens")) / length).cast("int").alias("own"), F.xxhash64("id").alias("at"), "id")
+    return gathered.select("id", rank.alias("rank"), spare, "tokens")
+
+
+def followed(classes: DataFrame) -> DataFrame:
+    """id and hub: the hubs that each class is compared with."""
+    postings = classes.select("id", "spare", "rank", F.explode("tokens").alias("t")).select("id", "spare", "rank", "t.token", "t.heavy")
+    light = postings.filter(~F.col("heavy")).withColumn("hub", F.min("rank").over(Window.partitionBy("token")))
+    heavy = postings.filter("heavy")
+    tops = heavy.groupBy("token").agg(F.min("rank").alias("hub"))  # at most HEAVY rows
+    met = light.select("id", "spare", F.col("hub.id").alias("hub")).unionByName(heavy.join(F.broadcast(tops), "token").select("id", "spare", F.col("hub.id").alias("hub")))
+    counted = met.filter("id <> hub").groupBy("id", "spare", "hub").agg(F.count("*").alias("met"))
+    dropped = F.sum("met").over(Window.partitionBy("id").orderBy("met", "hub"))
+    return counted.withColumn("sum", dropped).filter("sum > spare").select("id", "hub")
+
+
+_ITEMS = "g long, a long, n int, n_g int, lacks array<long>, extras array<long>"
+
+
+def beside_hubs(rows: DataFrame, classes: DataFrame, follows: DataFrame) -> DataFrame:
+    """For each class a and hub g that it follows: their sizes, what a lacks of g, and what it has besides.
+
+    classes holds id and rep (the doc_id of one of its documents). Texts are first thinned by a filter of at most BUCKETS
+    numbers and joined to the chosen ids; their sets then travel once, to a copy of their hub.
+    """
+    copies = follows.groupBy("hub").agg(F.least(1 + F.floor(F.count("*") / TOGETHER), F.lit(COPIES)).alias("copies"))
+    members = follows.join(copies, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("copies")).alias("copy"))
+    hubs = copies.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    wanted = members.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("hub", "copy")).alias("to"))
+    chosen = common.stored(wanted.join(classes, "id").select("id", F.col("rep").alias("doc_id"), "to"))
+    bucket = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+    buckets = chosen.select(bucket()).distinct()  # at most BUCKETS rows
+    texts = rows.withColumn("bucket", bucket()).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text").join(chosen, "doc_id")
+    sent = pa.schema([("g", pa.int64()), ("copy", pa.int64()), ("a", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for batch in batches:
+            out, held = [], 0
+            for text, number, to in zip(batch.column("text"), batch.column("id").to_pylist(), batch.column("to").to_pylist(), strict=True):
+                tokens = shingle(text.as_py()).view(np.int64)
+                for x in to:
+                    out.append((x["hub"], x["copy"], number, tokens))
+                    held += len(tokens)
+                    if held > STRETCH // 4:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), sent.types, strict=True)], schema=sent)
+                        out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), sent.types, strict=True)], schema=sent)
+
+    found = pa.schema([("g", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("n_g", pa.int32()), ("lacks", pa.list_(pa.int64())), ("extras", pa.list_(pa.int64()))])
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub = None, np.zeros(0, np.int64)
+        for batch in batches:
+            out = []
+            lists = batch.column("tokens")
+            edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, (g, copy, a) in enumerate(zip(batch.column("g").to_pylist(), batch.column("copy").to_pylist(), batch.column("a").to_pylist(), strict=True)):
+                own = np.sort(flat[edges[i] : edges[i + 1]])
+                if (g, copy) != at:  # its hub comes first
+                    at, hub = (g, copy), own
+                elif a != g:
+                    out.append((g, a, len(own), len(hub), np.setdiff1d(hub, own, assume_unique=True), np.setdiff1d(own, hub, assume_unique=True)))
+            columns = zip(*out, strict=True) if out else ((),) * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, found.types, strict=True)], schema=found)
+
+    sides = texts.select("text", "id", "to").mapInArrow(send, "g long, copy long, a long, tokens array<long>")
+    met = sides.repartition("g", "copy").sortWithinPartitions("g", "copy", F.col("a") != F.col("g"))
+    return met.mapInArrow(differ, _ITEMS)
+
+
+#: Sets are linked when 37 |x - y or y - x| <= 3 (|x| + |y|): 85 % of the union, in whole numbers.
+def _linked(items: DataFrame) -> DataFrame:
+    differing = F.size("lacks") + F.size("extras")
+    return items.withColumn("d", differing).withColumn("linked", 37 * differing <= 3 * (F.col("n") + F.col("n_g")))
+
+
+def within(items: DataFrame) -> DataFrame:
+    """From members a beside the hub of their group g, those beside the hubs h of smaller groups, of members that can still be linked.
+
+    Members that are `settled` are in one component with the hub, so a pair counts only if one of the two, u, is not; u
+    is then not linked with the hub. Such a pair (u, b) is linked if and only if the differences D from the hub share
+    (|D_u| + |D_b| - 3/37 (n_u + n_b)) / 2 shingles. That is at least (37 |D_u| - 3 (n_u + n_g)) / 40, and 17/37 |D_b|. And what
+    u and b share in all is at most what u has of the hub and those of its extras that other members have.
     """
-    bits = [f"bits{k}" for k in range(FOLD // 64)]
-    extra = ["hub", "n_hub", *bits, "free"]
-    base = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100).cast("long")
-    labelled = sets.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumns({"component": F.coalesce("component", "rep"), "base": base})
-    prefix = labelled.select("rep", "component", "base", F.expr("slice(tokens, 1, int(n - ceil(85 * n / 100) + level))").alias("prefix"))
-    postings = common.stored(prefix.select("rep", "component", "base", F.posexplode("prefix").alias("at", "token")).select("rep", "component", "token", F.greatest(F.lit(1), F.col("at") + 1 - F.col("base")).alias("from")))
-    counted = postings.groupBy("token", "component").agg(F.count("*").alias("of"))
-    active = counted.groupBy("token").agg(F.max(F.struct("of", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1").select("token", F.col("most.component").alias("main"))
-    live = postings.join(active, "token").join(sets.select("rep", "n", "unshared", "level"), "rep").join(homes, "rep", "left")
-    live = common.stored(live)
-    named = {"rep": "", "n": "n", "unshared": "u", "level": "l", "component": "c", "from": "f", **{x: x for x in extra}}
-    side = lambda rows, k: rows.select("token", *[F.col(c).alias(f"{v}_{k}" if v else k) for c, v in named.items()], *(["main"] if k == "a" else []))
-    a, b = side(live.filter("component <> main"), "a"), side(live, "b")
-    needed = F.least("l_a", "l_b")
-    near = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.greatest("f_a", "f_b") <= needed)
-    near &= (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & _linkable(F.col("n_a"), F.col("n_b"), F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b")))
-    lacked = sum((F.bit_count(F.col(f"{x}_a").bitwiseOR(F.col(f"{x}_b"))) for x in bits), F.lit(0))
-    within = F.col("n_hub_a") - lacked + F.least("free_a", "free_b")
-    near &= ~F.coalesce(F.col("hub_a") == F.col("hub_b"), F.lit(False)) | _linkable(F.col("n_a"), F.col("n_b"), within)
-    met = a.join(b, "token").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), needed.alias("needed"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("needed").alias("needed")).filter("met >= needed").select("a", "b")
+    members = items.withColumn("settled", F.col("linked") | (F.col("joined") & F.col("hub_joined")))
+    mixed = lambda rows, *more: rows.agg(F.count("*").alias("of"), F.min("settled").alias("all"), *more).filter("of > 1 and not all")
+    groups = mixed(members.groupBy("g"), F.min("n").alias("least")).select("g", "least")
+    members = members.join(groups, "g")
+    extras = members.select("g", "a", F.explode("extras").alias("token"))
+    several = extras.groupBy("g", "token").agg(F.count("*").alias("of")).filter("of > 1").select("g", "token")
+    shares = extras.join(several, ["g", "token"]).groupBy("g", "a").agg(F.count("*").cast("int").alias("shares"))
+    members = members.join(shares, ["g", "a"], "left").fillna(0, ["shares"])
+    partner = F.greatest(_needed(F.col("n")), F.col("least"))
+    able = PERCENT * (F.col("n") + partner) <= (100 + PERCENT) * (F.col("n_g") - F.size("lacks") + F.col("shares"))
+    members = common.stored(members.filter(F.col("settled") | able).drop("shares", "least"))
+    open_ = members.join(mixed(members.groupBy("g")).select("g"), "g")
+    tokens = open_.select("g", "a", "n", "n_g", "d", "settled", F.explode(F.concat("lacks", "extras")).alias("token"))
+    counts = mixed(tokens.groupBy("g", "token")).select("g", "token", "of")
+    own = F.sort_array(F.collect_list(F.struct("of", "token"))).alias("own")
+    ordered = tokens.join(counts, ["g", "token"]).groupBy("g", "a", "n", "n_g", "d", "settled").agg(own)
+    needed = F.greatest(F.when(F.col("settled"), F.ceil(17 * F.col("d") / 37)).otherwise(F.ceil((37 * F.col("d") - 3 * (F.col("n") + F.col("n_g"))) / 40)), F.lit(1))
+    length = F.greatest(F.size("own") - needed + 1, F.lit(0)).cast("int")
+    prefix = ordered.select("g", "a", "d", "settled", F.explode(F.slice("own", F.lit(1), length)).alias("t")).select("g", "a", "d", "settled", "t.token")
+    tops = mixed(prefix.groupBy("g", "token"), F.min(F.struct("d", "a")).alias("top")).select("g", "token", "of", F.col("top.a").alias("h"))
+    follows = prefix.join(tops, ["g", "token"]).filter("a <> h").groupBy("g", "a", "h").agg((F.max("of") > 2).alias("others"))
+    hubs = members.select("g", F.col("a").alias("h"), F.col("n").alias("n_h"), F.col("lacks").alias("lacks_h"), F.col("extras").alias("extras_h"), F.col("joined").alias("joined_h"))
+    both = members.select("g", "a", "n", "joined", "lacks", "extras").join(follows, ["g", "a"]).join(hubs, ["g", "h"])
+    lacks = F.concat(F.array_except("extras_h", "extras"), F.array_except("lacks", "lacks_h"))
+    more = F.concat(F.array_except("extras", "extras_h"), F.array_except("lacks_h", "lacks"))
+    out = both.select(F.concat("g", F.array("h")).alias("g"), "h", "a", "n", F.col("n_h").alias("n_g"), lacks.alias("lacks"), more.alias("extras"), "joined", F.col("joined_h").alias("hub_joined"), "others")
+    return _linked(out).withColumn("joined", F.col("joined") | (F.col("linked") & F.col("hub_joined")))
+
+
+def links(rows: DataFrame, classes: DataFrame, order, ids) -> DataFrame:
+    """Links (a, b) between classes: not all, but enough to join every component."""
+    able = common.stored(shown(prefixes(rows, order, ids)))
+    first = _linked(beside_hubs(rows, classes, common.stored(followed(able))))
+    items = common.stored(first.select(F.array("g").alias("g"), F.col("g").alias("h"), "a", "n", "n_g", "lacks", "extras", F.col("linked").alias("joined"), F.lit(True).alias("hub_joined"), F.lit(True).alias("others"), "d", "linked"))
+    edges = []
+    while not items.isEmpty():  # every group leaves its hub behind, so this ends
+        edges.append(items.filter("linked").select("a", F.col("h").alias("b")))
+        items = common.stored(within(items.filter("others")))
+    return reduce(DataFrame.unionByName, edges, classes.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false"))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -365,20 +379,18 @@ def _joined(rows: DataFrame) -> DataFrame:
     heavy = found.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(HEAVY).collect()
     order = spark.sparkContext.broadcast(Order({r["doc_id"] + (1 << 63): r["n"] for r in heavy}))
     profile = found.filter("kind = 0").drop("kind")
-    classes = profile.filter("n > 0").groupBy("hi", "lo", "n", "s0", "s1", "s2", "s3").agg(F.min("doc_id").alias("rep"))
-    shown = profile.agg(F.sum(F.least(F.col("n"), F.ceil(F.col("n") * 0.29) + 1))).first()[0] or 0
-    shared = shared_counts(rows, order, max(8, -(-int(shown) // BLOCK)))
-    unshared = F.floor(F.col("n") * 16 / 100) - F.coalesce("shared", F.lit(0))
-    kept = classes.filter("rep is not null").join(shared, "lo", "left").withColumn("unshared", F.greatest(unshared, F.lit(0)).cast("long")).drop("shared")
-    able = kept.filter(F.lit(100) * (F.col("n") - F.col("unshared")) >= F.lit(PERCENT) * F.col("n"))
-    one = F.min(F.struct("hi", "lo", "n", "unshared", "s0", "s1", "s2", "s3")).alias("x")  # ids that repeat with different texts
-    chosen = common.stored(able.groupBy("rep").agg(one).select("rep", "x.*"))
-    sets = common.stored(ordered_sets(rows, chosen, order))
-    beside = common.stored(beside_hubs(hub_pairs(chosen), sets))
-    first = beside.filter(_linkable(F.col("n_a"), F.col("n_b"), F.col("common"))).select("a", "b")
-    known = components(first)
-    second = verified(prefix_pairs(sets, known, home(beside)), sets)
-    linked = components(first.unionByName(second))
+    classes = profile.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    # Halves that two classes share are there by chance, not by the data: one in 2^64 pairs.
+    halves = classes.groupBy("lo").agg(F.collect_list("hi").alias("his")).filter("size(his) > 1").collect()
+    number = Ids([(hi, r["lo"]) for r in halves for hi in r["his"]])
+    number_column = F.col("lo")
+    for (hi, lo), other in number.other.items():
+        number_column = F.when((F.col("hi") == hi) & (F.col("lo") == lo), F.lit(other)).otherwise(number_column)
+    classes = common.stored(classes.withColumn("id", number_column))
+    named = classes.select("id", "rep")
+    edges = links(rows, named, order, spark.sparkContext.broadcast(number))
+    by_rep = edges.join(named.toDF("a", "rep_a"), "a").join(named.toDF("b", "rep_b"), "b")
+    linked = components(by_rep.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     labels = classes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     out = profile.join(labels, ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

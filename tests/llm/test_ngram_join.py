@@ -58,29 +58,31 @@ def test_families_around_the_threshold(spark, seed):
 
 
 def test_prefix_lemma():
-    """Linked sets share as many shingles of their l-prefixes as the level says, and show what the zone needs."""
+    """Linked sets share as many shingles of their l-prefixes as the level says, and more than both can do without."""
     rng = np.random.default_rng(3)
-    for _ in range(3000):
-        n = int(rng.integers(1, 90))
-        x = set(rng.choice(400, n, replace=False).tolist())
+    linked = 0
+    for _ in range(6000):
+        n = int(rng.integers(1, 160))
+        x = set(rng.choice(700, n, replace=False).tolist())
         y = set(x)
-        for _ in range(int(rng.integers(0, max(1, n // 6) + 1))):
+        for _ in range(int(rng.integers(0, max(1, n // 9) + 1))):
             y.discard(next(iter(y), None))
-            y.add(int(rng.integers(400)))
+            y.add(int(rng.integers(700)))
         if not y or 100 * len(x & y) < 85 * len(x | y):
             continue
+        linked += 1
         a, b = sorted(x), sorted(y)
-        for level in range(1, 4):
-            if level <= min(len(a) - ngram_join.slack(len(a)), len(b) - ngram_join.slack(len(b))):
-                assert len(set(a[: ngram_join.slack(len(a)) + level]) & set(b[: ngram_join.slack(len(b)) + level])) >= level
-        for s, t in ((a, b), (b, a)):
-            for token in s[: ngram_join.zone(len(s))]:
-                assert token not in set(t) or token in t[: ngram_join.reach(len(t))]
+        levels = [ngram_join.level(np.sort(rng.integers(1, 90, len(s)))) for s in (a, b)]
+        assert all(ngram_join.least_level(len(s)) <= k for s, k in zip((a, b), levels))
+        shared = set(a[: ngram_join.slack(len(a)) + levels[0]]) & set(b[: ngram_join.slack(len(b)) + levels[1]])
+        assert len(shared) >= min(levels) >= ngram_join.least_level(-(-85 * len(a) // 100))
+    assert linked > 1000
 
 
-def test_levels_grow_with_cost():
-    cheap, dear = np.ones(8, np.int64), np.ones(400, np.int64)
-    assert ngram_join.level(cheap) <= ngram_join.level(dear) <= ngram_join.LEVELS
+def test_levels_follow_the_cost():
+    """A prefix grows while shingles are about as rare, and stops before those of which each brings many candidates."""
+    levels = [ngram_join.level(np.r_[np.ones(k, np.int64), np.full(400 - k, 5000)]) for k in (72, 75, 400)]
+    assert ngram_join.least_level(400) < levels[0] < levels[1] < levels[2] == ngram_join.level(np.full(400, 5000))
 
 
 def test_empty(empty):
