@@ -11,7 +11,8 @@ The prefixes produce all candidates; the work on them is laid out so that nothin
 1. A first pass takes digests and counts shingles that repeat. The heaviest, a bounded table, define the order (any table
    gives the same links). Heavy shingles are dealt by shingle and class, so that none meets in one task.
 2. A second pass shows the prefixes. Shingles that one class alone shows go; a class that is left with fewer than its
-   least level goes as well.
+   level or that of any possible partner goes as well. What a candidate costs is known then: classes without any are
+   done, the others lengthen their prefixes and have to share a third of their shingles within them.
 3. Of the classes that show a shingle, the most central is their hub. A class follows the hubs of its shingles, but for
    those that make up less than half of the matches it needs: two classes that share enough follow one hub together.
 4. A class is compared with each of its hubs once, in whole numbers on the full sets: what it lacks of the hub and what it
@@ -40,6 +41,8 @@ from .components import components
 SHINGLE, PERCENT = 4, 85
 #: Entries of the table of heavy shingles, and repeats among STRETCH shingles from which one is counted.
 HEAVY, REPEATED, STRETCH = 1 << 16, 4, 1 << 21
+#: Parts of a set that its level is at least at first, and when it has candidates.
+LEAST_PART, LONGER_PART = 24, 3
 #: Tasks that a heavy shingle is dealt to, members that meet one copy of their hub, copies of a hub at most.
 SALTS, TOGETHER, COPIES = 64, 128, 4096
 #: Buckets of the filter on candidate ids (bounds memory, not results).
@@ -115,7 +118,12 @@ def slack(n: int) -> int:
 
 def least_level(n: int) -> int:
     """The lowest level that a set of n picks; it never falls as n grows."""
-    return 1 + n // 24
+    return 1 + n // LEAST_PART
+
+
+def longer_level(n: int) -> int:
+    """The level of a class that has candidates at its first level."""
+    return 1 + n // LONGER_PART
 
 
 def level(counts: np.ndarray) -> int:
@@ -170,32 +178,56 @@ class Ids:
         return self.other.get(both, both[1]) if self.other else both[1]
 
 
-def prefixes(rows: DataFrame, order, ids) -> DataFrame:
-    """token, id, n, level and heavy: every shingle in the prefix of every class (copies in other batches repeat it)."""
+def _postings(classes: Iterator[tuple[int, np.ndarray]], order: Order, longer: bool) -> Iterator[pa.RecordBatch]:
+    """token, id, n, level and heavy of the prefixes of classes (id, sorted set), in batches of bounded size."""
     schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("heavy", pa.bool_())])
+    parts, held = [], 0
+    for number, hashes in classes:
+        tokens, counts = order.sorted(hashes)
+        n = len(tokens)
+        at = longer_level(n) if longer else level(counts)
+        k = slack(n) + at
+        parts.append((tokens[:k].view(np.int64), np.full(k, number), np.full(k, n, np.int32), np.full(k, at, np.int32), counts[:k] > 1))
+        held += k
+        if held > STRETCH // 2:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+            parts, held = [], 0
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+
+
+_POSTINGS = "token long, id long, n int, level int, heavy boolean"
+
+
+def prefixes(rows: DataFrame, order, ids) -> DataFrame:
+    """Every shingle in the prefix of every class (copies in other batches repeat it)."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, by, number = Shingler(), order.value, ids.value
-        for batch in batches:
-            parts, held, seen = [], 0, set()
-            for text in batch.column("text"):
-                h = shingle(text.as_py())
-                both = digest(h)
-                if len(h) and both not in seen:
-                    seen.add(both)
-                    tokens, counts = by.sorted(h)
-                    n, at = len(h), level(counts)
-                    tokens, counts = tokens[: slack(n) + at], counts[: slack(n) + at]
-                    k = len(tokens)
-                    parts.append((tokens.view(np.int64), np.full(k, number(both)), np.full(k, n, np.int32), np.full(k, at, np.int32), counts > 1))
-                    held += k
-                if held > STRETCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
-                    parts, held = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+        shingle, number = Shingler(), ids.value
+
+        def classes():
+            for batch in batches:
+                seen = set()
+                for text in batch.column("text"):
+                    h = shingle(text.as_py())
+                    both = digest(h)
+                    if len(h) and both not in seen:
+                        seen.add(both)
+                        yield number(both), h
 
-    return rows.select("text").mapInArrow(show, "token long, id long, n int, level int, heavy boolean")
+        yield from _postings(classes(), order.value, False)
+
+    return rows.select("text").mapInArrow(show, _POSTINGS)
+
+
+def longer_prefixes(texts: DataFrame, order) -> DataFrame:
+    """The same of classes (id, text), lengthened."""
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        yield from _postings(((number, shingle(text.as_py())) for batch in batches for number, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True)), order.value, True)
+
+    return texts.select("id", "text").mapInArrow(show, _POSTINGS)
 
 
 def _needed(n: Column) -> Column:
@@ -203,11 +235,11 @@ def _needed(n: Column) -> Column:
     return F.ceil(F.lit(PERCENT) * n / 100)
 
 
-def shown(postings: DataFrame) -> DataFrame:
+def shown(postings: DataFrame, part: int) -> DataFrame:
     """id, n, rank, spare and tokens of the classes that show enough shingles which others show too.
 
     `lowest` of a shingle bounds the level of any class that shows it and has a size to be linked. Two classes that are linked share at least as many
-    shingles as the lower of their levels, and the lowest of each of these is no more: so with k of its lowests up to k, or
+    shingles as the lower of their levels, and the lowest of each of these is no more (a set of n has at least the level 1 + n // part): so with k of its lowests up to k, or
     with as many shingles as its own level, a class stays. rank is lower for more central classes; spare are the matches
     that a class can do without: those of two linked classes are fewer than the matches they need.
     """
@@ -215,7 +247,7 @@ def shown(postings: DataFrame) -> DataFrame:
     dealt = postings.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
     alone = F.min("id").over(apart) == F.max("id").over(apart)
     live = dealt.withColumns({"alone": alone, "lowest": F.min("level").over(apart)}).filter("heavy or not alone")
-    partner = (1 + F.floor(_needed(F.col("n")) / 24)).cast("int")
+    partner = (1 + F.floor(_needed(F.col("n")) / part)).cast("int")
     bound = F.greatest(partner, F.when(~F.col("heavy"), F.col("lowest"))).alias("lowest")
     gathered = live.groupBy("id", "n", "level").agg(F.sort_array(F.collect_set(F.struct(bound, "token", "heavy"))).alias("tokens"))
     gathered = gathered.filter((F.size("tokens") >= F.col("level")) | F.exists(F.transform("tokens", lambda t, i: t.lowest <= i + 1), lambda x: x))
@@ -240,20 +272,21 @@ def followed(classes: DataFrame) -> DataFrame:
 _ITEMS = "g long, a long, n int, n_g int, lacks array<long>, extras array<long>"
 
 
-def beside_hubs(rows: DataFrame, classes: DataFrame, follows: DataFrame) -> DataFrame:
-    """For each class a and hub g that it follows: their sizes, what a lacks of g, and what it has besides.
+def texts_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and text of the classes (id, rep: the doc_id of one of its documents), thinned by a filter of at most BUCKETS numbers first."""
+    chosen = classes.withColumnRenamed("rep", "doc_id")
+    bucket = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+    buckets = chosen.select(bucket()).distinct()  # at most BUCKETS rows
+    return rows.withColumn("bucket", bucket()).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text").join(chosen, "doc_id").select("id", "text")
 
-    classes holds id and rep (the doc_id of one of its documents). Texts are first thinned by a filter of at most BUCKETS
-    numbers and joined to the chosen ids; their sets then travel once, to a copy of their hub.
-    """
+
+def beside_hubs(texts: DataFrame, follows: DataFrame) -> DataFrame:
+    """For each class a and hub g that it follows: their sizes, what a lacks of g, and what it has besides. Sets travel once, to a copy of their hub."""
     copies = follows.groupBy("hub").agg(F.least(1 + F.floor(F.count("*") / TOGETHER), F.lit(COPIES)).alias("copies"))
     members = follows.join(copies, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("copies")).alias("copy"))
     hubs = copies.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     wanted = members.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("hub", "copy")).alias("to"))
-    chosen = common.stored(wanted.join(classes, "id").select("id", F.col("rep").alias("doc_id"), "to"))
-    bucket = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
-    buckets = chosen.select(bucket()).distinct()  # at most BUCKETS rows
-    texts = rows.withColumn("bucket", bucket()).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text").join(chosen, "doc_id")
+    texts = texts.join(wanted, "id")
     sent = pa.schema([("g", pa.int64()), ("copy", pa.int64()), ("a", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +337,9 @@ def within(items: DataFrame) -> DataFrame:
 
     Members that are `settled` are in one component with the hub, so a pair counts only if one of the two, u, is not; u
     is then not linked with the hub. Such a pair (u, b) is linked if and only if the differences D from the hub share
-    (|D_u| + |D_b| - 3/37 (n_u + n_b)) / 2 shingles. That is at least (37 |D_u| - 3 (n_u + n_g)) / 40, and 17/37 |D_b|. And what
-    u and b share in all is at most what u has of the hub and those of its extras that other members have.
+    (|D_u| + |D_b| - 3/37 (n_u + n_b)) / 2 shingles. With over = 37 |D_u| - 3 (n_u + n_g) that is at least over / 40, and
+    17/37 |D_b| + over / 74. What they can share of D are shingles that they lack and extras that other members have,
+    and what they share in all is at most what u has of the hub and such extras.
     """
     members = items.withColumn("settled", F.col("linked") | (F.col("joined") & F.col("hub_joined")))
     mixed = lambda rows, *more: rows.agg(F.count("*").alias("of"), F.min("settled").alias("all"), *more).filter("of > 1 and not all")
@@ -317,8 +351,11 @@ def within(items: DataFrame) -> DataFrame:
     members = members.join(shares, ["g", "a"], "left").fillna(0, ["shares"])
     partner = F.greatest(_needed(F.col("n")), F.col("least"))
     able = PERCENT * (F.col("n") + partner) <= (100 + PERCENT) * (F.col("n_g") - F.size("lacks") + F.col("shares"))
-    members = common.stored(members.filter(F.col("settled") | able).drop("shares", "least"))
-    open_ = members.join(mixed(members.groupBy("g")).select("g"), "g")
+    over, own = 37 * F.col("d") - 3 * (F.col("n") + F.col("n_g")), F.size("lacks") + F.col("shares")
+    members = members.withColumns({"over": over, "own": own}).filter(F.col("settled") | (able & (40 * F.col("own") >= F.col("over"))))
+    members = common.stored(members.drop("shares", "least"))
+    open_ = mixed(members.groupBy("g"), F.min(F.when(~F.col("settled"), F.col("over"))).alias("over_u")).select("g", "over_u")
+    open_ = members.join(open_, "g").filter(~F.col("settled") | (74 * F.col("own") >= 34 * F.col("d") + F.col("over_u")))
     tokens = open_.select("g", "a", "n", "n_g", "d", "settled", F.explode(F.concat("lacks", "extras")).alias("token"))
     counts = mixed(tokens.groupBy("g", "token")).select("g", "token", "of")
     own = F.sort_array(F.collect_list(F.struct("of", "token"))).alias("own")
@@ -338,8 +375,10 @@ def within(items: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, classes: DataFrame, order, ids) -> DataFrame:
     """Links (a, b) between classes: not all, but enough to join every component."""
-    able = common.stored(shown(prefixes(rows, order, ids)))
-    first = _linked(beside_hubs(rows, classes, common.stored(followed(able))))
+    able = common.stored(shown(prefixes(rows, order, ids), LEAST_PART))
+    texts = common.stored(texts_of(rows, able.select("id").join(classes, "id")))
+    able = common.stored(shown(longer_prefixes(texts, order), LONGER_PART))
+    first = _linked(beside_hubs(texts, common.stored(followed(able))))
     items = common.stored(first.select(F.array("g").alias("g"), F.col("g").alias("h"), "a", "n", "n_g", "lacks", "extras", F.col("linked").alias("joined"), F.lit(True).alias("hub_joined"), F.lit(True).alias("others"), "d", "linked"))
     edges = []
     while not items.isEmpty():  # every group leaves its hub behind, so this ends

@@ -37,11 +37,29 @@ def test_pairs_are_learnt(spark, docs, texts):
     assert toxicity.score_toxicity(docs.filter("false"), model).count() == 0
     flipped = labels.selectExpr("doc_id", "quality", "case when crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 then 1 - toxic else toxic end as toxic")
     again = toxicity.fit(rows, flipped)
-    assert again.index == model.index and np.allclose(again.weights, model.weights)
+    assert (again.loud == model.loud).all() and np.allclose(again.weights, model.weights)
     nothing = toxicity.fit(rows, labels.filter("toxic = 0"))
     assert toxicity.score_toxicity(rows, nothing).filter("predicted = 1").count() == 0
 
 
+def test_pairs_without_any_effect_of_their_words(spark):
+    """Toxic when both words or neither occur: each alone says nothing, so an additive score is right by half."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(4000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"term{rng.randrange(300)}" for _ in range(30)] + ["idiot"] * insult + ["villagers"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult == group)))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.fit(docs, labels)
+    assert not model.loud.any()
+    held = toxicity.score_toxicity(docs, model).join(labels, "doc_id").filter("held_out").collect()
+    assert sum((r.score >= 0.5) == (r.toxic == 1) for r in held) >= 0.93 * len(held)
+
+
 def test_hilbert_curve_steps_by_one():
     for dims, bits in ((2, 4), (3, 3)):
         points = np.array(np.meshgrid(*[range(1 << bits)] * dims, indexing="ij")).reshape(dims, -1)
