@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve.
 
-Three metadata dimensions (language, source, text length) are quantised at quantiles, so that each axis of the grid is
+Three metadata dimensions (language, source, text length) are quantised at quantiles of their whole values, so that each axis of the grid is
 used evenly; a document's cell becomes an index on the Hilbert curve, documents are sorted by that index, and the
 sorted run is cut into shards of nearly equal bytes. Neighbours on the curve are neighbours in every dimension, so the
 files of a shard cover a small box of the metadata space and a filter on any of the dimensions can skip shards.
@@ -50,15 +50,29 @@ def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def _leading(text: Column) -> Column:
-    """The first six bytes of a string as a number: it keeps the order of strings, and quantiles of it exist."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("long")
+def _cuts(rows: DataFrame, name: str, steps: int) -> list[tuple[str, int]]:
+    """The values of a string column that hold a quantile (1, 2, ... of steps), in order, with the step that they begin in.
 
-
-def _level(value: Column, cuts: list[int]) -> Column:
-    """How many cuts lie at or below value."""
-    return F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>"), lambda c: c <= value))
+    Whole strings are compared. Values are counted first, so that a frequent one is a single row, and sorted by range.
+    """
+    values = rows.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n")).repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
+    values = common.stored(values)
+    totals = values.groupBy("part").agg(F.sum("n").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select("part", before.alias("before"))  # one row for each partition
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    run = values.join(F.broadcast(bases), "part").select("value", "n", upto.alias("upto"))
+    total = rows.count()
+    step = F.ceil(F.col("upto") * steps / F.lit(max(total, 1)))
+    begun = (F.col("upto") - F.col("n")) * steps / F.lit(max(total, 1))
+    crossed = run.filter(F.ceil(begun) < step).select("value", F.floor(begun).cast("int").alias("level")).collect()  # at most `steps` values
+    return sorted(map(tuple, crossed), key=lambda x: x[0].encode())
+
+
+def _level(value: Column, cuts: list[tuple], kind: str) -> Column:
+    """The level of the last cut that lies at or below value, 0 if none does."""
+    below = F.size(F.filter(F.array(*[F.lit(c) for c, _ in cuts]).cast(f"array<{kind}>"), lambda c: c <= value))
+    return F.element_at(F.array(F.lit(0), *[F.lit(level) for _, level in cuts]), below + 1)
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -73,19 +87,21 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, tole
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        F.xxhash64(raw).alias("digest"), _leading(F.col("lang")).alias("d0"), _leading(F.col("source")).alias("d1"), F.octet_length(raw).cast("long").alias("d2"),
+        F.xxhash64(raw).alias("digest"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("d0"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("d1"), F.octet_length(raw).cast("long").alias("d2"),
     )
     rows = common.stored(rows)
-    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = rows.agg(*[F.percentile_approx(f"d{i}", steps, 10_000).alias(f"d{i}") for i in range(3)]).first()
+    most = 1 << bits
+    lengths = rows.agg(F.percentile_approx("d2", [i / most for i in range(1, most)], 10_000)).first()[0]
+    by_length = sorted({c: i for i, c in enumerate(lengths or [], 1)}.items())
+    cuts = [(_cuts(rows, "d0", most), "string"), (_cuts(rows, "d1", most), "string"), (by_length, "bigint")]
 
     @F.pandas_udf("long")
     def index(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index([a.to_numpy(), b.to_numpy(), c.to_numpy()], bits))
 
-    placed = rows.withColumn("h", index(*[_level(F.col(f"d{i}"), sorted(set(cuts[f"d{i}"] or []))) for i in range(3)]))
+    placed = rows.withColumn("h", index(*[_level(F.col(f"d{i}"), *cuts[i]) for i in range(3)]))
     copies = ["digest", "text_crc32", "size"]
-    lowest = placed.groupBy(*copies).agg(F.min("h").alias("at"))
+    lowest = common.stored(placed.groupBy(*copies).agg(F.min("h").alias("at")))  # written, so that the join below can split a large group
     placed = placed.join(lowest, copies).select("doc_id", "size", "text_crc32", "digest", "at")
 
     order = ["at", "digest", "text_crc32", "size", "doc_id"]

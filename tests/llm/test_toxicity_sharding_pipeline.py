@@ -83,6 +83,24 @@ def test_shards(spark, docs, texts):
     assert sharding.hilbert_shards(docs.filter("false")).count() == 0
 
 
+def test_cuts_copies_and_pruning(spark):
+    """Shards are what cutting the sorted run by hand gives, copies lie side by side, and sources that share a long beginning are pruned."""
+    rng = random.Random(4)
+    rows = [(i, f"text {rng.randrange(10**9)} " + "w " * rng.randrange(60), rng.choice(["de", "en"]), f"https://common-crawl-{rng.randrange(8)}") for i in range(2000)]
+    rows += [(5000 + i, "a text of many copies", "en", "https://common-crawl-3") for i in range(700)] + [(7, "twice the id", None, None)]
+    out = sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)).toPandas()
+    by_text = {zlib.crc32(t.encode()): (t, s) for _, t, _, s in rows}
+    out = out.sort_values(["shard", "slot"]).reset_index(drop=True)
+    total, start = out["size"].sum(), out["size"].cumsum() - out["size"]
+    copies = out.index[out.text_crc32 == zlib.crc32(b"a text of many copies")]
+    assert len(out) == len(rows) and list(copies) == list(range(copies[0], copies[0] + 700))
+    by_hand = (start * 8 // total).astype(int)
+    moved = (by_hand != out.shard).sum()
+    assert moved <= 8 * sharding.TOLERANCE * len(out) / 8 + 8
+    spread = [out[[by_text[c][1] == f"https://common-crawl-{k}" for c in out.text_crc32]].shard.nunique() for k in range(8)]
+    assert sum(spread) <= 32
+
+
 def test_every_stage_keeps_what_it_should(spark, tmp_path):
     rows, labels = corpus(spark)
     base = rows.selectExpr("doc_id", "text", "lang", "source", "length(text) as n_chars", "'x' as digest", "doc_id % 2 = 0 as kept")
