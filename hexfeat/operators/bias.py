@@ -16,13 +16,18 @@ def _slices(dimensions: dict[str, str]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(label).alias("slice_dimension"), F.col(c).cast("string").alias("slice_value")) for label, c in dimensions.items()]))
 
 
+def _four(x: Column) -> Column:
+    """x to four decimals, ties of the scaled double away from zero (the decimal text of x, which round() takes, can tie where the double doesn't)."""
+    return F.signum(x) * F.floor(F.abs(x) * 10000 + 0.5) / 10000
+
+
 def slice_stats(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """feature, n, mean, std, median, p5, p95 (four decimals) and null_rate; features without values are left out."""
     long = df.select(*(keys or []), _values(columns).alias("x")).select(*(keys or []), "x.*")
     v = F.col("value")
     out = long.groupBy(*(keys or []), "feature").agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.round(F.percentile(v, F.lit(0.5)), 4).alias("median"),
-        F.round(F.percentile(v, F.lit(0.05)), 4).alias("p5"), F.round(F.percentile(v, F.lit(0.95)), 4).alias("p95"), F.round(F.avg(v.isNull().cast("double")), 4).alias("null_rate"),
+        F.count(v).alias("n"), _four(F.avg(v)).alias("mean"), _four(F.stddev_samp(v)).alias("std"), _four(F.percentile(v, F.lit(0.5))).alias("median"),
+        _four(F.percentile(v, F.lit(0.05))).alias("p5"), _four(F.percentile(v, F.lit(0.95))).alias("p95"), _four(F.avg(v.isNull().cast("double"))).alias("null_rate"),
     )
     return out.filter("n > 0")
 

@@ -43,16 +43,25 @@ def read_records(spark: SparkSession, path: str, schema: str, defaults: dict | N
 
 
 def export_features(df: DataFrame, path: str, window: str = "window_ts") -> None:
-    """Partitions by region, year and month; only partitions that df has are replaced. Rows of a partition come together first, so that each holds few files."""
+    """Partitions by region, year and month; only partitions that df has are replaced.
+
+    Rows are rebalanced by partition, so that small ones hold one file and adaptive execution splits large ones over tasks.
+    """
     out = df.withColumns({"date": F.to_date(window), "year": F.year(window), "month": F.month(window), "region": F.coalesce("region", F.lit("unknown"))})
-    out.repartition("region", "year", "month").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("region", "year", "month").parquet(path)
+    out.hint("rebalance", "region", "year", "month").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("region", "year", "month").parquet(path)
 
 
 def write_windows(df: DataFrame, calendar: DataFrame, written: DataFrame | None, path: str) -> DataFrame:
-    """Appends the calendar's windows that are not written yet, all in one job; returns them."""
+    """Writes the calendar's windows that are not written yet, all in one job; returns them.
+
+    Each window is a partition of its own and is replaced as a whole, so a job that runs again after a failure leaves no
+    row twice.
+    """
     todo = calendar if written is None else backfill_pending(calendar, written)
     out = df.join(F.broadcast(todo), "window_ts", "left_semi")  # four windows a day
-    out.withColumns({"year": F.year("window_ts"), "month": F.month("window_ts")}).repartition("year", "month").write.mode("append").partitionBy("year", "month").parquet(path)
+    keys = ["year", "month", "window"]
+    dealt = out.withColumns({"year": F.year("window_ts"), "month": F.month("window_ts"), "window": F.date_format("window_ts", "yyyyMMddHHmmss")}).hint("rebalance", *keys)
+    dealt.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)
     return todo
 
 

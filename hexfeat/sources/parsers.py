@@ -41,7 +41,9 @@ def telemetry(df: DataFrame, payload: str = "payload", source_types: tuple[str,
 
     out = df.withColumn("t", t)
     keys = ("source_type", "priority", "latitude", "longitude", "timestamp", "confidence")
-    issues = [issue(F.col(f"t.{k}").isNull(), f"missing {k}") for k in keys]
+    given = {k: F.get_json_object(payload, f"$.{k}") for k in keys}
+    issues = [issue(given[k].isNull(), f"missing {k}") for k in keys]
+    issues += [issue(given[k].isNotNull() & F.col(f"t.{k}").isNull(), f"wrong type of {k}") for k in keys]
     issues += [issue(~F.col("t.source_type").isin(*source_types), "unknown source_type"), issue(~F.col("t.priority").between(1, 3), "priority out of range"), issue(~F.col("t.latitude").between(-90, 90), "latitude out of range"), issue(~F.col("t.longitude").between(-180, 180), "longitude out of range"), issue(~F.col("t.confidence").between(0, 100), "confidence out of range")]
     return out.withColumn("issues", F.array_compact(F.array(*issues)))
 
