@@ -178,16 +178,16 @@ class Ids:
         return self.other.get(both, both[1]) if self.other else both[1]
 
 
-def _postings(classes: Iterator[tuple[int, np.ndarray]], order: Order, longer: bool) -> Iterator[pa.RecordBatch]:
-    """token, id, n, level and heavy of the prefixes of classes (id, sorted set), in batches of bounded size."""
-    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("heavy", pa.bool_())])
+def _postings(classes: Iterator[tuple[int, int, np.ndarray]], order: Order, longer: bool) -> Iterator[pa.RecordBatch]:
+    """token, id, n, level, own and heavy of the prefixes of classes (id, own, sorted set), in batches of bounded size."""
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("level", pa.int32()), ("own", pa.int32()), ("heavy", pa.bool_())])
     parts, held = [], 0
-    for number, hashes in classes:
+    for number, own, hashes in classes:
         tokens, counts = order.sorted(hashes)
         n = len(tokens)
         at = longer_level(n) if longer else level(counts)
         k = slack(n) + at
-        parts.append((tokens[:k].view(np.int64), np.full(k, number), np.full(k, n, np.int32), np.full(k, at, np.int32), counts[:k] > 1))
+        parts.append((tokens[:k].view(np.int64), np.full(k, number), np.full(k, n, np.int32), np.full(k, at, np.int32), np.full(k, own, np.int32), counts[:k] > 1))
         held += k
         if held > STRETCH // 2:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
@@ -196,7 +196,7 @@ def _postings(classes: Iterator[tuple[int, np.ndarray]], order: Order, longer: b
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
 
 
-_POSTINGS = "token long, id long, n int, level int, heavy boolean"
+_POSTINGS = "token long, id long, n int, level int, own int, heavy boolean"
 
 
 def prefixes(rows: DataFrame, order, ids) -> DataFrame:
@@ -213,7 +213,7 @@ def prefixes(rows: DataFrame, order, ids) -> DataFrame:
                     both = digest(h)
                     if len(h) and both not in seen:
                         seen.add(both)
-                        yield number(both), h
+                        yield number(both), 0, h
 
         yield from _postings(classes(), order.value, False)
 
@@ -221,13 +221,13 @@ def prefixes(rows: DataFrame, order, ids) -> DataFrame:
 
 
 def longer_prefixes(texts: DataFrame, order) -> DataFrame:
-    """The same of classes (id, text), lengthened."""
+    """The same of classes (id, own, text), lengthened, with own."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        yield from _postings(((number, shingle(text.as_py())) for batch in batches for number, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True)), order.value, True)
+        yield from _postings(((number, own, shingle(text.as_py())) for batch in batches for number, own, text in zip(*(batch.column(c).to_pylist() for c in ("id", "own")), batch.column("text"), strict=True)), order.value, True)
 
-    return texts.select("id", "text").mapInArrow(show, _POSTINGS)
+    return texts.select("id", "own", "text").mapInArrow(show, _POSTINGS)
 
 
 def _needed(n: Column) -> Column:
@@ -235,35 +235,58 @@ def _needed(n: Column) -> Column:
     return F.ceil(F.lit(PERCENT) * n / 100)
 
 
-def shown(postings: DataFrame, part: int) -> DataFrame:
-    """id, n, rank, spare and tokens of the classes that show enough shingles which others show too.
+def _dealt(postings: DataFrame) -> tuple[DataFrame, Window]:
+    """postings with `lowest`, and the window of a shingle: heavy ones are dealt to SALTS tasks, where nothing is asked of others."""
+    dealt = postings.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    return dealt, Window.partitionBy("token", "salt")
+
+
+def _lowest(part: int) -> Column:
+    """A bound for the level of any class that shows the shingle and has a size to be linked; a set of n has at least 1 + n // part."""
+    partner = (1 + F.floor(_needed(F.col("n")) / part)).cast("int")
+    return F.greatest(partner, F.when(~F.col("heavy"), F.col("least"))).alias("lowest")
+
+
+def _enough(level: Column, lowest: Column) -> Column:
+    """Whether a class that shows shingles with these sorted bounds can be linked.
 
-    `lowest` of a shingle bounds the level of any class that shows it and has a size to be linked. Two classes that are linked share at least as many
-    shingles as the lower of their levels, and the lowest of each of these is no more (a set of n has at least the level 1 + n // part): so with k of its lowests up to k, or
-    with as many shingles as its own level, a class stays. rank is lower for more central classes; spare are the matches
-    that a class can do without: those of two linked classes are fewer than the matches they need.
+    Two linked classes share at least as many shingles as the lower of their levels, and the bound of each of these is no
+    more: so k bounds up to k are needed, or as many shingles as the own level.
     """
-    apart = Window.partitionBy("token", "salt")
-    dealt = postings.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    return (F.size(lowest) >= level) | F.exists(F.transform(lowest, lambda x, i: x <= i + 1), lambda x: x)
+
+
+def candidates(postings: DataFrame) -> DataFrame:
+    """id and own of the classes that show enough shingles which others show too; own is lower for more central ones."""
+    dealt, apart = _dealt(postings)
     alone = F.min("id").over(apart) == F.max("id").over(apart)
-    live = dealt.withColumns({"alone": alone, "lowest": F.min("level").over(apart)}).filter("heavy or not alone")
-    partner = (1 + F.floor(_needed(F.col("n")) / part)).cast("int")
-    bound = F.greatest(partner, F.when(~F.col("heavy"), F.col("lowest"))).alias("lowest")
-    gathered = live.groupBy("id", "n", "level").agg(F.sort_array(F.collect_set(F.struct(bound, "token", "heavy"))).alias("tokens"))
-    gathered = gathered.filter((F.size("tokens") >= F.col("level")) | F.exists(F.transform("tokens", lambda t, i: t.lowest <= i + 1), lambda x: x))
-    spare = F.floor((F.least(F.col("level"), F.col("tokens")[0].lowest) - 1) / 2).alias("spare")
+    again = F.coalesce(F.lag("id").over(apart.orderBy("id")) == F.col("id"), F.lit(False))  # a copy from another batch
+    live = dealt.withColumns({"alone": alone, "least": F.min("level").over(apart), "again": again}).filter("not again and (heavy or not alone)")
+    gathered = live.select("id", "n", "level", _lowest(LEAST_PART)).groupBy("id", "n", "level").agg(F.sort_array(F.collect_list("lowest")).alias("lowest")).filter(_enough(F.col("level"), F.col("lowest")))
     length = F.col("n") - _needed(F.col("n")) + F.col("level")
-    rank = F.struct((1000 * (length - F.size("tokens")) / length).cast("int").alias("own"), F.xxhash64("id").alias("at"), "id")
-    return gathered.select("id", rank.alias("rank"), spare, "tokens")
+    return gathered.select("id", (1000 * (length - F.size("lowest")) / length).cast("int").alias("own"))
+
+
+def shown(postings: DataFrame) -> DataFrame:
+    """id, rank, spare and shows (heavy, key) of the classes that still show enough: key is the hub of a light shingle, and
+    a heavy shingle itself. spare are the matches that a class can do without: those of two linked classes are fewer than the
+    matches they need."""
+    dealt, apart = _dealt(postings)
+    rank = F.struct("own", F.xxhash64("id").alias("at"), "id")
+    live = dealt.withColumns({"least": F.min("level").over(apart), "top": F.min(rank).over(apart), "of": F.count("*").over(apart)}).filter("heavy or of > 1")
+    key = F.when(F.col("heavy"), F.col("token")).otherwise(F.col("top.id")).alias("key")
+    gathered = live.select("id", "n", "level", "own", _lowest(LONGER_PART), "heavy", key).groupBy("id", "n", "level", "own").agg(F.sort_array(F.collect_list(F.struct("lowest", "heavy", "key"))).alias("shows"))
+    gathered = gathered.filter(_enough(F.col("level"), F.col("shows.lowest")))
+    spare = F.floor((F.least(F.col("level"), F.col("shows")[0].lowest) - 1) / 2).alias("spare")
+    return gathered.select("id", rank.alias("rank"), spare, "shows")
 
 
 def followed(classes: DataFrame) -> DataFrame:
     """id and hub: the hubs that each class is compared with."""
-    postings = classes.select("id", "spare", "rank", F.explode("tokens").alias("t")).select("id", "spare", "rank", "t.token", "t.heavy")
-    light = postings.filter(~F.col("heavy")).withColumn("hub", F.min("rank").over(Window.partitionBy("token")))
+    postings = classes.select("id", "spare", "rank", F.explode("shows").alias("x")).select("id", "spare", "rank", "x.heavy", "x.key")
     heavy = postings.filter("heavy")
-    tops = heavy.groupBy("token").agg(F.min("rank").alias("hub"))  # at most HEAVY rows
-    met = light.select("id", "spare", F.col("hub.id").alias("hub")).unionByName(heavy.join(F.broadcast(tops), "token").select("id", "spare", F.col("hub.id").alias("hub")))
+    tops = heavy.groupBy("key").agg(F.min("rank").alias("hub"))  # at most HEAVY rows
+    met = postings.filter("not heavy").select("id", "spare", F.col("key").alias("hub")).unionByName(heavy.join(F.broadcast(tops), "key").select("id", "spare", F.col("hub.id").alias("hub")))
     counted = met.filter("id <> hub").groupBy("id", "spare", "hub").agg(F.count("*").alias("met"))
     dropped = F.sum("met").over(Window.partitionBy("id").orderBy("met", "hub"))
     return counted.withColumn("sum", dropped).filter("sum > spare").select("id", "hub")
@@ -273,11 +296,11 @@ _ITEMS = "g long, a long, n int, n_g int, lacks array<long>, extras array<long>"
 
 
 def texts_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """id and text of the classes (id, rep: the doc_id of one of its documents), thinned by a filter of at most BUCKETS numbers first."""
+    """id, own and text of the classes (id, own, rep: the doc_id of one of its documents), thinned by a filter of at most BUCKETS numbers first."""
     chosen = classes.withColumnRenamed("rep", "doc_id")
     bucket = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
     buckets = chosen.select(bucket()).distinct()  # at most BUCKETS rows
-    return rows.withColumn("bucket", bucket()).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text").join(chosen, "doc_id").select("id", "text")
+    return rows.withColumn("bucket", bucket()).join(F.broadcast(buckets), "bucket", "left_semi").select("doc_id", "text").join(chosen, "doc_id").select("id", "own", "text")
 
 
 def beside_hubs(texts: DataFrame, follows: DataFrame) -> DataFrame:
@@ -347,16 +370,16 @@ def within(items: DataFrame) -> DataFrame:
     members = members.join(groups, "g")
     extras = members.select("g", "a", F.explode("extras").alias("token"))
     several = extras.groupBy("g", "token").agg(F.count("*").alias("of")).filter("of > 1").select("g", "token")
-    shares = extras.join(several, ["g", "token"]).groupBy("g", "a").agg(F.count("*").cast("int").alias("shares"))
-    members = members.join(shares, ["g", "a"], "left").fillna(0, ["shares"])
+    shares = extras.join(several, ["g", "token"]).groupBy("g", "a").agg(F.collect_list("token").alias("shares"))
+    members = members.join(shares, ["g", "a"], "left").withColumn("shares", F.coalesce("shares", F.array().cast("array<long>")))
     partner = F.greatest(_needed(F.col("n")), F.col("least"))
-    able = PERCENT * (F.col("n") + partner) <= (100 + PERCENT) * (F.col("n_g") - F.size("lacks") + F.col("shares"))
-    over, own = 37 * F.col("d") - 3 * (F.col("n") + F.col("n_g")), F.size("lacks") + F.col("shares")
+    able = PERCENT * (F.col("n") + partner) <= (100 + PERCENT) * (F.col("n_g") - F.size("lacks") + F.size("shares"))
+    over, own = 37 * F.col("d") - 3 * (F.col("n") + F.col("n_g")), F.size("lacks") + F.size("shares")
     members = members.withColumns({"over": over, "own": own}).filter(F.col("settled") | (able & (40 * F.col("own") >= F.col("over"))))
-    members = common.stored(members.drop("shares", "least"))
+    members = common.stored(members.drop("least"))
     open_ = mixed(members.groupBy("g"), F.min(F.when(~F.col("settled"), F.col("over"))).alias("over_u")).select("g", "over_u")
     open_ = members.join(open_, "g").filter(~F.col("settled") | (74 * F.col("own") >= 34 * F.col("d") + F.col("over_u")))
-    tokens = open_.select("g", "a", "n", "n_g", "d", "settled", F.explode(F.concat("lacks", "extras")).alias("token"))
+    tokens = open_.select("g", "a", "n", "n_g", "d", "settled", F.explode(F.concat("lacks", "shares")).alias("token"))
     counts = mixed(tokens.groupBy("g", "token")).select("g", "token", "of")
     own = F.sort_array(F.collect_list(F.struct("of", "token"))).alias("own")
     ordered = tokens.join(counts, ["g", "token"]).groupBy("g", "a", "n", "n_g", "d", "settled").agg(own)
@@ -375,9 +398,9 @@ def within(items: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, classes: DataFrame, order, ids) -> DataFrame:
     """Links (a, b) between classes: not all, but enough to join every component."""
-    able = common.stored(shown(prefixes(rows, order, ids), LEAST_PART))
-    texts = common.stored(texts_of(rows, able.select("id").join(classes, "id")))
-    able = common.stored(shown(longer_prefixes(texts, order), LONGER_PART))
+    able = common.stored(candidates(prefixes(rows, order, ids)))
+    texts = common.stored(texts_of(rows, able.join(classes, "id")))
+    able = common.stored(shown(longer_prefixes(texts, order)))
     first = _linked(beside_hubs(texts, common.stored(followed(able))))
     items = common.stored(first.select(F.array("g").alias("g"), F.col("g").alias("h"), "a", "n", "n_g", "lacks", "extras", F.col("linked").alias("joined"), F.lit(True).alias("hub_joined"), F.lit(True).alias("others"), "d", "linked"))
     edges = []
