@@ -81,7 +81,7 @@ def test_prefix_lemma():
 
 def test_levels_follow_the_cost():
     """A prefix grows while shingles are about as rare, and stops before those of which each brings many candidates."""
-    levels = [ngram_join.level(np.r_[np.ones(k, np.int64), np.full(400 - k, 5000)]) for k in (72, 75, 400)]
+    levels = [ngram_join.level(np.r_[np.ones(k, np.int64), np.full(400 - k, 5000)]) for k in (78, 80, 400)]
     assert ngram_join.least_level(400) < levels[0] < levels[1] < levels[2] == ngram_join.level(np.full(400, 5000))
 
 
@@ -90,7 +90,7 @@ def test_empty(empty):
 
 
 def test_an_id_with_several_texts(spark):
-    """One of its texts is compared; spellings of the same set are one text."""
+    """Each of its texts is compared; spellings of the same set are one text."""
     base = [f"w{k}" for k in range(120)]
     near = " ".join([*base[:60], "changed", *base[61:]])
     rows = [(1, " ".join(base)), (1, " ".join(base).upper()), (2, near), (3, near.upper()), (4, "one two three four five"), (4, "six seven eight nine ten")]
