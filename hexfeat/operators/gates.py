@@ -57,6 +57,46 @@ def gate4_industrial(cells: DataFrame, sources: DataFrame, default_km: float = I
     return placed.join(near, (placed._y == near._y) & (placed._x == near._x) & far, "left_anti").drop("_y", "_x")
 
 
+def evaluate(scans: DataFrame, cells: DataFrame, previous: DataFrame, reference: DataFrame, sources: DataFrame | None, keys: list[str], level: int, min_scans: int = PERSISTENCE) -> tuple[DataFrame, DataFrame]:
+    """The four gates in order over many scans at once: a verdict for each scan, and the fire cells of the confirmed ones.
+
+    scans: keys, has_prior (there is a scan before it), consecutive (fire scans in a row before it). cells, reference:
+    keys, grid_id, frp; previous: keys of the scan that it precedes, grid_id. A verdict holds the counts after each gate,
+    max_frp and gate_failed, null where confirmed: the first gate that leaves nothing. Without a scan before, only a very
+    strong fire goes on; with one that shares no cell, the scan is pending until enough scans in a row had fire; a strong
+    fire needs no reference; without sources the last gate passes all. A null frp counts as 0.
+    """
+    at = cells.groupBy(*keys, "grid_id").agg(F.coalesce(F.max("frp"), F.lit(0.0)).alias("frp"))
+    ids = at.select(*keys, "grid_id")
+    lat, lon = grid.centroid(*grid.coordinates(F.col("grid_id")), level)
+    passed = {"g1": gate1_spatial(ids, keys, level), "g2": gate2_temporal(ids, previous, keys), "g3": gate3_cross_reference(ids, reference, keys, level)}
+    for name, kept in passed.items():
+        at = at.join(kept.select(*keys, "grid_id", F.lit(True).alias(name)), [*keys, "grid_id"], "left")
+    if sources is None:
+        at = at.withColumn("g4", F.lit(True))
+    else:
+        places = ids.select("grid_id").distinct().select("grid_id", lat.alias("latitude"), lon.alias("longitude"))
+        at = at.join(gate4_industrial(places, sources).select("grid_id", F.lit(True).alias("g4")), "grid_id", "left")
+    at = at.fillna(False, ["g1", "g2", "g3", "g4"])
+    first = at.groupBy(*keys).agg(F.count("*").alias("n_candidates"), F.count_if("g1").alias("n_spatial"), F.count_if(F.col("g1") & F.col("g2")).alias("n_persistent"), F.max("frp").alias("max_frp"))
+    told = scans.join(first, keys, "left").fillna(0, ["n_candidates", "n_spatial", "n_persistent", "max_frp"])
+    told = told.withColumns({"_persist": F.col("has_prior") & (F.col("n_persistent") > 0), "_refer": F.col("max_frp") < BYPASS_FRP})
+    left = at.filter("g1").join(told.select(*keys, "_persist", "_refer"), keys).filter("(g2 or not _persist) and (g3 or not _refer)")
+    second = left.groupBy(*keys).agg(F.count("*").alias("n_referred"), F.count_if("g4").alias("n_fire_cells"))
+    told = told.join(second, keys, "left").fillna(0, ["n_referred", "n_fire_cells"])
+    failed = (
+        F.when(F.col("n_candidates") == 0, "no_detections")
+        .when(F.col("n_spatial") == 0, "G1")
+        .when(F.col("has_prior") & (F.col("n_persistent") == 0) & (F.col("consecutive") + 1 < min_scans), "G2_pending")
+        .when(~F.col("has_prior") & (F.col("max_frp") < COLD_FRP), "G2_no_prior_scan")
+        .when(F.col("n_referred") == 0, "G3")
+        .when(F.col("n_fire_cells") == 0, "G4")
+    )
+    verdicts = told.withColumn("gate_failed", failed).withColumn("confirmed", F.col("gate_failed").isNull())
+    verdicts = verdicts.select(*keys, "n_candidates", "n_spatial", "n_persistent", "max_frp", "gate_failed", "confirmed", F.when(F.col("confirmed"), F.col("n_fire_cells")).otherwise(0).alias("n_fire_cells"))
+    return verdicts, left.filter("g4").join(verdicts.filter("confirmed"), keys, "left_semi").select(*keys, "grid_id")
+
+
 def run_lengths(df: DataFrame, keys: list[str], order: str, holds: Column, name: str) -> DataFrame:
     """How many rows in a row, up to this one, `holds` is true: gaps and islands."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import grid, scalar
 from ..operators import cells as cell_ops
-from ..operators import clean, fire, gates
+from ..operators import alerts, clean, fire, gates
 from ..operators import reports
 from . import fixtures as fx
 from .define import num, registrar, tidy, ts, without
@@ -99,6 +100,49 @@ def _gate4(spark, d, suppliers):
     return gates.gate4_industrial(fx.cells(spark, d), sources).select("grid_id")
 
 
+_COARSER = 4
+_WATCH = fx.DETECTIONS + ", feed as (select region, window_ts, latitude, longitude, frp * 0.6::double as frp, sensor_source = 'view' as polar from detections), placed as (select * from" + fx.SQL_CELL.format("feed").replace(f"/{grid.SIZE[fx.LEVEL]!r}", f"/{grid.SIZE[_COARSER]!r}") + f"""),
+hex as (select region, window_ts, polar, q, r, max(frp) as frp, round_even(r*1.5::double*{grid.SIZE[_COARSER]}, 6) as latitude, round_even((q+r/2)*({grid.ROOT3 * grid.SIZE[_COARSER]!r})/{grid.SHRINK!r}, 6) as longitude from placed group by all),
+cell as (select * from hex where not polar), ref as (select * from hex where polar and frp >= 1),
+industrial as (select 32.53::double+(s_suppkey%38)*0.25::double as s_lat, -124.48::double+((s_suppkey*7)%41)*0.25::double as s_lon, case when s_suppkey%20=0 then 30.0 else 2.0 end::double as radius_km from supplier),
+hot as (select distinct c.q, c.r from cell c, industrial where 2*6371*asin(sqrt(pow(sin(radians(s_lat-latitude)/2),2)+cos(radians(latitude))*cos(radians(s_lat))*pow(sin(radians(s_lon-longitude)/2),2))) <= radius_km),
+flagged as (select c.*, (select count(*) from cell n where n.region = c.region and n.window_ts = c.window_ts and greatest(abs(n.q-c.q), abs(n.r-c.r), abs(n.q-c.q+n.r-c.r)) = 1) >= 2 as g1,
+ exists (select 1 from cell p where p.region = c.region and p.window_ts = c.window_ts - interval 6 hour and p.q = c.q and p.r = c.r) as g2,
+ not exists (select 1 from ref f where f.region = c.region and f.window_ts = c.window_ts) or exists (select 1 from ref f where f.region = c.region and f.window_ts = c.window_ts and greatest(abs(f.q-c.q), abs(f.r-c.r), abs(f.q-c.q+f.r-c.r)) <= 1) as g3,
+ not exists (select 1 from hot h where h.q = c.q and h.r = c.r) as g4 from cell c),
+first as (select region, window_ts, count(*) as n_candidates, count_if(g1) as n_spatial, count_if(g1 and g2) as n_persistent, max(frp) as max_frp from flagged group by all),
+timed as (select region, window_ts, coalesce(n_candidates,0) as n_candidates, coalesce(n_spatial,0) as n_spatial, coalesce(n_persistent,0) as n_persistent, coalesce(max_frp,0) as max_frp
+ from (select distinct window_ts from detections) cross join (select unnest(['california','texas']) as region) left join first using (region, window_ts)),
+marked as (select *, sum(case when max_frp >= 60 then 0 else 1 end) over (partition by region order by window_ts) as island,
+ exists (select 1 from first p where p.region = timed.region and p.window_ts = timed.window_ts - interval 6 hour) as has_prior from timed),
+counted as (select *, sum(case when max_frp >= 60 then 1 else 0 end) over (partition by region, island order by window_ts) as run from marked),
+scans as (select *, coalesce(lag(run) over (partition by region order by window_ts), 0) as consecutive from counted),
+second as (select region, window_ts, count(*) as n_referred, count_if(g4) as n_fire from flagged join scans using (region, window_ts) where g1 and (g2 or not (has_prior and n_persistent > 0)) and (g3 or scans.max_frp >= 50) group by all),
+verdicts as (select * exclude (n_referred, n_fire), coalesce(n_fire,0) as n_fire, case when n_candidates = 0 then 'no_detections' when n_spatial = 0 then 'G1' when has_prior and n_persistent = 0 and consecutive + 1 < 2 then 'G2_pending' when not has_prior and max_frp < 200 then 'G2_no_prior_scan'
+ when coalesce(n_referred,0) = 0 then 'G3' when coalesce(n_fire,0) = 0 then 'G4' end as gate_failed from scans left join second using (region, window_ts))"""
+
+
+@query("with " + _WATCH + f" select region, {ts('window_ts')}, n_candidates, n_spatial, n_persistent, {num('max_frp')}, gate_failed, gate_failed is null as confirmed, case when gate_failed is null then n_fire else 0 end as n_fire_cells from verdicts")
+def gate_evaluator(spark, d):
+    return tidy(_evaluated(spark, d)[0])
+
+
+def _evaluated(spark, d):
+    """Scans of every region and window: one feed is watched, the other confirms, the scan six hours before is the one before."""
+    keys = ["region", "window_ts"]
+    feed = fx.detections(spark, d).withColumn("frp", F.col("frp") * 0.6)
+    cells = fx.hexagons(feed.filter("not (sensor_source <=> 'view')"), _COARSER)
+    found = cells.groupBy(*keys).agg(F.max("frp").alias("max_frp"))
+    later = F.col("window_ts") + F.make_dt_interval(hours=F.lit(6))
+    scans = feed.select("window_ts").distinct().select("window_ts", F.explode(F.array(F.lit("california"), F.lit("texas"))).alias("region")).join(found, keys, "left")
+    scans = gates.run_lengths(scans, ["region"], "window_ts", F.col("max_frp") >= 60, "run")
+    scans = scans.join(found.select("region", later.alias("window_ts"), F.lit(True).alias("has_prior")), keys, "left")
+    scans = scans.select(*keys, F.coalesce("has_prior", F.lit(False)).alias("has_prior"), F.coalesce(F.lag("run").over(Window.partitionBy("region").orderBy("window_ts")), F.lit(0)).alias("consecutive"))
+    k = F.col("s_suppkey")
+    sources = fx.table(spark, d, "supplier").select((F.lit(32.53) + (k % 38) * F.lit(0.25)).alias("s_lat"), (F.lit(-124.48) + ((k * 7) % 41) * F.lit(0.25)).alias("s_lon"), F.when(k % 20 == 0, 30.0).otherwise(2.0).alias("radius_km"))
+    return gates.evaluate(scans, cells, cells.withColumn("window_ts", later), fx.hexagons(feed.filter("sensor_source = 'view'"), _COARSER), sources, keys, _COARSER)
+
+
 _SCANS = "scans as (select region, window_ts, list(distinct grid_id) as cells, max(frp) as max_frp from hex group by all)"
 
 
@@ -185,3 +229,23 @@ def trigger_priority_all(spark, d):
 def _trigger(detections):
     rows = detections.select(F.col("seq").cast("string").alias("name"), F.when(F.col("sensor_source") == "error", "emergency").when(F.col("sensor_source") == "view", "active").otherwise("quiet").alias("mode"))
     return reports.next_trigger(rows)
+
+
+_POLLS = """polls as (select region, window_ts, case when max_frp >= 150 then 'emergency' when month(window_ts) between 6 and 11 then 'active' else 'quiet' end as mode, max_frp >= 150 as confirmed, max_frp < 60 as false_alarm from scans),
+ ends as (select *, last_value(case when false_alarm then window_ts end ignore nulls) over w + interval 12 hour as e, last_value(case when false_alarm then mode end ignore nulls) over w as prior from polls window w as (partition by region order by window_ts rows unbounded preceding)),
+ nth as (select *, coalesce(window_ts >= e, false) as over_, count_if(coalesce(window_ts >= e, false)) over (partition by region, e order by window_ts rows unbounded preceding) as n from ends)"""
+
+
+@query("with " + fx.HEX + "," + _SCANS + "," + _POLLS + f" select region, {ts('window_ts')}, case when over_ and n = 1 then prior else mode end as mode, over_ and n = 1 as reverted, case when n = 0 then strftime(e, '%Y-%m-%d %H:%M:%S') end as revert_at from nth")
+def false_alarm_revert(spark, d):
+    top = F.col("max_frp")
+    mode = alerts.seasonal_mode(F.when(top >= 150, "emergency"), F.col("window_ts"))
+    polls = _scans(spark, d).select("region", "window_ts", mode.alias("mode"), (top >= 150).alias("confirmed"), (top < 60).alias("false_alarm"))
+    return tidy(alerts.revert_timer(polls, ["region"], "window_ts", 720).select("region", "window_ts", "mode", "reverted", "revert_at"))
+
+
+@query(_D + """, runs as (select seq, grid_id, sensor_source in ('error','view') as failed, sum(case when sensor_source in ('error','view') then 0 else 1 end) over (partition by grid_id order by seq) as island from detections),
+ counted as (select *, (sum(failed::int) over (partition by grid_id, island order by seq))::int as consecutive from runs) select grid_id, seq, consecutive, case when consecutive >= 3 then 'breach' else 'failed' end as level from counted where failed""")
+def failure_escalation(spark, d):
+    runs = fx.detections(spark, d).select("grid_id", "seq", "sensor_source")
+    return alerts.escalations(runs, ["grid_id"], "seq", F.col("sensor_source").isin("error", "view")).select("grid_id", "seq", "consecutive", "level")

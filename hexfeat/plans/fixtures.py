@@ -132,9 +132,13 @@ fused as (
 
 def hex_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct hexagons with fire of each region and window, with their largest frp."""
-    q, r = grid.axial(F.col("latitude"), F.col("longitude"), LEVEL)
-    placed = detections(spark, sf_dir).select("region", "window_ts", "frp", q.alias("q"), r.alias("r"))
-    return placed.groupBy("region", "window_ts", "q", "r").agg(F.max("frp").alias("frp")).withColumn("grid_id", grid.cell_id(F.col("q"), F.col("r"), LEVEL))
+    return hexagons(detections(spark, sf_dir), LEVEL)
+
+
+def hexagons(detections: DataFrame, level: int) -> DataFrame:
+    q, r = grid.axial(F.col("latitude"), F.col("longitude"), level)
+    placed = detections.select("region", "window_ts", "frp", q.alias("q"), r.alias("r"))
+    return placed.groupBy("region", "window_ts", "q", "r").agg(F.max("frp").alias("frp")).withColumn("grid_id", grid.cell_id(F.col("q"), F.col("r"), level))
 
 
 HEX = DETECTIONS + ", placed as (select * from" + SQL_CELL.format("detections") + f"), hex as (select region, window_ts, q, r, '{LEVEL}_'||q||'_'||r as grid_id, max(frp) as frp from placed group by all)"

@@ -124,6 +124,30 @@ def fuse_features(spark, d):
     return tidy(out.select("grid_id", "region", "window_ts", "active_fire_count", F.col("mean_frp").alias("coalesce_frp"), F.col("max_confidence").alias("coalesce_conf"), "fire_detected_binary", "temperature_2m", "precipitation", "elevation_m", "data_quality_flag"))
 
 
+_MONTH = "timestamp '2024-01-01' + to_hours((6 * ((epoch(timestamp)::bigint // 21600) % 120))::int)"
+
+
+def _swapped(sql, *pairs):
+    for old, new in pairs:
+        if old not in sql:
+            raise ValueError(f"{old!r} is not in the SQL")
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(_swapped(ORACLES["fuse_features"], (_AGG, f"hourly as (select *, {_MONTH} as window_ts from weather_hourly)," + _swapped(_AGG, ("select grid_id, avg", "select grid_id, window_ts, avg"), ("from weather_hourly group by 1", "from hourly group by 1, 2"))),
+  ("on w.grid_id = p.grid_id", "on w.grid_id = p.grid_id and w.window_ts = p.window_ts"), (" where window_ts < timestamp '2024-01-06'", "")))
+def fuse_features_all(spark, d):
+    """All cells and windows, weather by cell and window: its hours are put into one month of windows."""
+    hour = F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("timestamp"))
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.floor(hour / 6) % 120 * 6).cast("int"))
+    w = weather.weather_aggregate(fx.weather_hourly(spark, d).withColumn("window_ts", at), ["grid_id", "window_ts"]).drop("data_quality_flag")
+    windows = fx.detections(spark, d).select("window_ts").distinct()
+    panel = fx.cells(spark, d).crossJoin(F.broadcast(windows))  # the calendar: four windows a day
+    out = fuse.fuse_features(panel, fx.fire_features(spark, d), w, fx.static_features(spark, d), REGISTRY)
+    return tidy(out.select("grid_id", "region", "window_ts", "active_fire_count", F.col("mean_frp").alias("coalesce_frp"), F.col("max_confidence").alias("coalesce_conf"), "fire_detected_binary", "temperature_2m", "precipitation", "elevation_m", "data_quality_flag"))
+
+
 @query("with s as (select l_orderkey, l_linenumber, case when l_linenumber % 2 = 0 then l_tax end as p, case when l_linenumber % 3 = 0 then l_quantity end as f, case when l_linenumber % 5 = 0 then l_discount end as t from lineitem) select l_orderkey, l_linenumber, " + num("precipitation", "mean_frp", "temperature_2m") + " from (select l_orderkey, l_linenumber, coalesce(p,0) as precipitation, coalesce(f,0) as mean_frp, t as temperature_2m from s)")
 def fill_strategies(spark, d):
     n = F.col("l_linenumber")
