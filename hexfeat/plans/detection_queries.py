@@ -101,7 +101,7 @@ def _gate4(spark, d, suppliers):
 
 
 _COARSER = 4
-_WATCH = fx.DETECTIONS + ", feed as (select region, window_ts, latitude, longitude, frp * 0.6::double as frp, sensor_source = 'view' as polar from detections), placed as (select * from" + fx.SQL_CELL.format("feed").replace(f"/{grid.SIZE[fx.LEVEL]!r}", f"/{grid.SIZE[_COARSER]!r}") + f"""),
+_WATCH = fx.DETECTIONS + ", feed as (select region, window_ts, latitude, longitude, frp * 0.25::double as frp, sensor_source = 'view' as polar from detections), placed as (select * from" + fx.SQL_CELL.format("feed").replace(f"/{grid.SIZE[fx.LEVEL]!r}", f"/{grid.SIZE[_COARSER]!r}") + f"""),
 hex as (select region, window_ts, polar, q, r, max(frp) as frp, round_even(r*1.5::double*{grid.SIZE[_COARSER]}, 6) as latitude, round_even((q+r/2)*({grid.ROOT3 * grid.SIZE[_COARSER]!r})/{grid.SHRINK!r}, 6) as longitude from placed group by all),
 cell as (select * from hex where not polar), ref as (select * from hex where polar and frp >= 1),
 industrial as (select 32.53::double+(s_suppkey%38)*0.25::double as s_lat, -124.48::double+((s_suppkey*7)%41)*0.25::double as s_lon, case when s_suppkey%20=0 then 30.0 else 2.0 end::double as radius_km from supplier),
@@ -113,9 +113,9 @@ flagged as (select c.*, (select count(*) from cell n where n.region = c.region a
 first as (select region, window_ts, count(*) as n_candidates, count_if(g1) as n_spatial, count_if(g1 and g2) as n_persistent, max(frp) as max_frp from flagged group by all),
 timed as (select region, window_ts, coalesce(n_candidates,0) as n_candidates, coalesce(n_spatial,0) as n_spatial, coalesce(n_persistent,0) as n_persistent, coalesce(max_frp,0) as max_frp
  from (select distinct window_ts from detections) cross join (select unnest(['california','texas']) as region) left join first using (region, window_ts)),
-marked as (select *, sum(case when max_frp >= 60 then 0 else 1 end) over (partition by region order by window_ts) as island,
+marked as (select *, sum(case when max_frp >= 40 then 0 else 1 end) over (partition by region order by window_ts) as island,
  exists (select 1 from first p where p.region = timed.region and p.window_ts = timed.window_ts - interval 6 hour) as has_prior from timed),
-counted as (select *, sum(case when max_frp >= 60 then 1 else 0 end) over (partition by region, island order by window_ts) as run from marked),
+counted as (select *, sum(case when max_frp >= 40 then 1 else 0 end) over (partition by region, island order by window_ts) as run from marked),
 scans as (select *, coalesce(lag(run) over (partition by region order by window_ts), 0) as consecutive from counted),
 second as (select region, window_ts, count(*) as n_referred, count_if(g4) as n_fire from flagged join scans using (region, window_ts) where g1 and (g2 or not (has_prior and n_persistent > 0)) and (g3 or scans.max_frp >= 50) group by all),
 verdicts as (select * exclude (n_referred, n_fire), coalesce(n_fire,0) as n_fire, case when n_candidates = 0 then 'no_detections' when n_spatial = 0 then 'G1' when has_prior and n_persistent = 0 and consecutive + 1 < 2 then 'G2_pending' when not has_prior and max_frp < 200 then 'G2_no_prior_scan'
@@ -130,12 +130,12 @@ def gate_evaluator(spark, d):
 def _evaluated(spark, d):
     """Scans of every region and window: one feed is watched, the other confirms, the scan six hours before is the one before."""
     keys = ["region", "window_ts"]
-    feed = fx.detections(spark, d).withColumn("frp", F.col("frp") * 0.6)
+    feed = fx.detections(spark, d).withColumn("frp", F.col("frp") * 0.25)
     cells = fx.hexagons(feed.filter("not (sensor_source <=> 'view')"), _COARSER)
     found = cells.groupBy(*keys).agg(F.max("frp").alias("max_frp"))
     later = F.col("window_ts") + F.make_dt_interval(hours=F.lit(6))
     scans = feed.select("window_ts").distinct().select("window_ts", F.explode(F.array(F.lit("california"), F.lit("texas"))).alias("region")).join(found, keys, "left")
-    scans = gates.run_lengths(scans, ["region"], "window_ts", F.col("max_frp") >= 60, "run")
+    scans = gates.run_lengths(scans, ["region"], "window_ts", F.col("max_frp") >= 40, "run")
     scans = scans.join(found.select("region", later.alias("window_ts"), F.lit(True).alias("has_prior")), keys, "left")
     scans = scans.select(*keys, F.coalesce("has_prior", F.lit(False)).alias("has_prior"), F.coalesce(F.lag("run").over(Window.partitionBy("region").orderBy("window_ts")), F.lit(0)).alias("consecutive"))
     k = F.col("s_suppkey")
