@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 
-#: Values of the fire columns of a cell without detections.
+#: Fixed values of the data model: the fire columns of a cell without detections.
 FIRE_DEFAULTS = {"active_fire_count": 0, "mean_frp": 0.0, "median_frp": 0.0, "max_confidence": 0.0, "nearest_fire_distance_km": -1.0, "fire_detected_binary": 0}
-#: Not counted by the quality flag.
+#: Fixed values of the data model: columns that the quality flag does not count.
 UNCOUNTED = ("grid_id", "latitude", "longitude", "timestamp", "resolution_km", "data_quality_flag")
 SPARSE_FROM, SPARSE_FLAG = 0.3, 3
 
