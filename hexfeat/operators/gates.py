@@ -110,31 +110,45 @@ def expanding_cells(scans: DataFrame, keys: list[str], order: str) -> DataFrame:
     return scans.withColumn("new_cells", F.array_except("cells", F.coalesce(before, F.array().cast("array<string>"))))
 
 
-def incident_replay(scans: DataFrame, keys: list[str]) -> DataFrame:
-    """The incident state machine over all scans of a key in order, as a fold over the sorted array of its scans.
+#: Scans that are folded into one log before it is put behind the others.
+STRETCH = 1024
 
-    scans: keys, scan_ts, cells (array), max_frp. One row for each scan: mode and the counters expanding, still and low. The scans
-    of a key are one array, bounded by the scans of a region; the streaming operator does the same with state.
+
+def incident_replay(scans: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
+    """The incident state machine over all scans of a key in order.
+
+    scans: keys, scan_ts, cells (array), max_frp. One row for each scan: mode and the counters expanding, still and low.
+    Whether a scan has new cells is found beside the scan before it; what is folded is then a time, a flag and a number
+    for each scan, stretch by stretch, so that no log is copied at every step. The streaming operator does the same with
+    state, and is the one to use where a key never ends. A null max_frp counts as 0.
     """
-    step = F.struct(F.col("scan_ts"), F.col("cells"), F.coalesce("max_frp", F.lit(0.0)).alias("frp"))
-    ordered = scans.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("s"))
-    state = "struct<mode:string,prior:string,cells:array<string>,expanding:int,still:int,low:int,log:array<struct<scan_ts:timestamp_ntz,mode:string,expanding:int,still:int,low:int>>>"
-    zero = F.from_json(F.lit('{"mode":"quiet","prior":"quiet","cells":[],"expanding":0,"still":0,"low":0,"log":[]}'), state)
+    grown = (F.size("new_cells") > 0).alias("grown")
+    marked = expanding_cells(scans, keys, "scan_ts").select(*keys, F.struct("scan_ts", grown, F.coalesce("max_frp", F.lit(0.0)).alias("frp")).alias("x"))
+    ordered = marked.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("s"))
+    row = "struct<scan_ts:timestamp_ntz,mode:string,expanding:int,still:int,low:int>"
+    state = f"struct<mode:string,prior:string,expanding:int,still:int,low:int,log:array<{row}>>"
+    outer = f"struct<last:{state},logs:array<array<{row}>>>"
+    zero = F.from_json(F.lit('{"mode":"quiet","prior":"quiet","expanding":0,"still":0,"low":0,"log":[]}'), state)
 
     def merge(a: Column, x: Column) -> Column:
-        grown = F.size(F.array_except(x["cells"], a["cells"])) > 0
         burning = a["mode"] == "emergency"
-        still = F.when(burning & ~grown, a["still"] + 1).otherwise(0)
+        still = F.when(burning & ~x["grown"], a["still"] + 1).otherwise(0)
         low = F.when(burning & (x["frp"] < BYPASS_FRP), a["low"] + 1).otherwise(0)
         ends = burning & ((still >= 3) | (low >= 2))
-        expanding = F.when(burning, a["expanding"]).when((x["frp"] >= COLD_FRP) & grown, a["expanding"] + 1).otherwise(0)
+        expanding = F.when(burning, a["expanding"]).when((x["frp"] >= COLD_FRP) & x["grown"], a["expanding"] + 1).otherwise(0)
         starts = ~burning & (x["frp"] >= COLD_FRP) & (expanding >= 2)
         mode = F.when(ends, a["prior"]).when(starts, "emergency").otherwise(a["mode"])
-        zeroed = ends | starts
-        out_still, out_low = F.when(zeroed, 0).otherwise(still), F.when(zeroed, 0).otherwise(low)
         prior = F.when(starts, a["mode"]).otherwise(a["prior"])
-        row = F.struct(x["scan_ts"].alias("scan_ts"), mode.alias("mode"), expanding.alias("expanding"), out_still.alias("still"), out_low.alias("low"))
-        return F.struct(mode.alias("mode"), prior.alias("prior"), x["cells"].alias("cells"), expanding.alias("expanding"), out_still.alias("still"), out_low.alias("low"), F.concat(a["log"], F.array(row)).alias("log")).cast(state)
-
-    folded = ordered.select(*keys, F.explode(F.aggregate("s", zero, merge)["log"]).alias("x"))
+        counters = [expanding.alias("expanding"), F.when(ends | starts, 0).otherwise(still).alias("still"), F.when(ends | starts, 0).otherwise(low).alias("low")]
+        told = F.struct(x["scan_ts"].alias("scan_ts"), mode.alias("mode"), *counters)
+        return F.struct(mode.alias("mode"), prior.alias("prior"), *counters, F.concat(a["log"], F.array(told)).alias("log")).cast(state)
+
+    def stretched(a: Column, part: Column) -> Column:
+        empty = F.array().cast(f"array<{row}>")
+        last = F.aggregate(part, a["last"].withField("log", empty), merge)
+        return F.struct(last.alias("last"), F.concat(a["logs"], F.array(last["log"])).alias("logs")).cast(outer)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / stretch).cast("int")), lambda i: F.slice("s", i * stretch + 1, F.lit(stretch)))
+    start = F.struct(zero.alias("last"), F.array().cast(f"array<array<{row}>>").alias("logs")).cast(outer)
+    folded = ordered.withColumn("parts", parts).select(*keys, F.explode(F.flatten(F.aggregate("parts", start, stretched)["logs"])).alias("x"))
     return folded.select(*keys, "x.scan_ts", "x.mode", "x.expanding", "x.still", "x.low")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 
 def registrar(queries: dict, oracles: dict) -> Callable:
-    """A decorator that files a query under its name, and its SQL if there is one."""
+    """A decorator that files a query under its name, and its SQL if there is one; `also` is a second name that it is known by."""
 
-    def query(sql: str | None = None) -> Callable:
+    def query(sql: str | None = None, also: str | None = None) -> Callable:
         def file(f: Callable) -> Callable:
-            queries[f.__name__] = f
-            if sql:
-                oracles[f.__name__] = sql
+            for name in filter(None, (f.__name__, also)):
+                queries[name] = f
+                if sql:
+                    oracles[name] = sql
             return f
 
         return file
@@ -36,13 +37,6 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def without(sql: str, part: str) -> str:
-    """sql without a part that it has once: the SQL of a whole table from that of a subset."""
-    if sql.count(part) != 1:
-        raise ValueError(f"{part!r} is not in the SQL once")
-    return sql.replace(part, "")
-
-
 def num(*names: str) -> str:
     """SQL of the same rounding."""
     return ", ".join(f"round({n}::double, 6) + 0.0::double as {n.split('.')[-1]}" for n in names)

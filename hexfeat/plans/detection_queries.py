@@ -10,7 +10,7 @@ from ..operators import cells as cell_ops
 from ..operators import alerts, clean, fire, gates
 from ..operators import reports
 from . import fixtures as fx
-from .define import num, registrar, tidy, ts, without
+from .define import num, registrar, tidy, ts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -49,8 +49,8 @@ def nearest_fire(spark, d):
 @query(_D + f" select seq, frp >= 50 as strong from detections where acq_ts >= (select max(acq_ts) from detections) - interval 60 minute and coalesce(frp, 0) >= 10")
 def goes_candidates(spark, d):
     rows = fx.detections(spark, d)
-    now = F.lit(rows.agg(F.max("acq_ts")).first()[0]).cast("timestamp_ntz")
-    return clean.in_lookback(rows, "acq_ts", now, 60, 10.0).select("seq", (F.col("frp") >= 50).alias("strong"))
+    newest = rows.agg(F.max("acq_ts").alias("now"))  # one row
+    return clean.in_lookback(rows.crossJoin(F.broadcast(newest)), "acq_ts", F.col("now"), 60, 10.0).select("seq", (F.col("frp") >= 50).alias("strong"))
 
 
 _NEXT = f"{fx.LEVEL}_"
@@ -80,24 +80,18 @@ def gate3_viirs(spark, d):
     return tidy(gates.gate3_cross_reference(cells.select("region", "window_ts", "grid_id"), cells, ["region", "window_ts"], fx.LEVEL, min_frp=60.0))
 
 
-_INDUSTRY = """industrial as (select 32.53::double+(s_suppkey%38)*0.25::double as s_lat, -124.48::double+((s_suppkey*7)%41)*0.25::double as s_lon, case when s_suppkey%20=0 then 30.0 else 2.0 end::double as radius_km from supplier where s_suppkey%10=0)"""
+_INDUSTRY = """industrial as (select 32.53::double+(s_suppkey%38)*0.25::double as s_lat, -124.48::double+((s_suppkey*7)%41)*0.25::double as s_lon, case when s_suppkey%20=0 then 30.0 else 2.0 end::double as radius_km from supplier)"""
 
 
 @query(_D + fx.GRID + "," + _INDUSTRY + """ select grid_id from grid g where not exists (select 1 from industrial i where
- 2*6371*asin(sqrt(pow(sin(radians(s_lat-latitude)/2),2)+cos(radians(latitude))*cos(radians(s_lat))*pow(sin(radians(s_lon-longitude)/2),2))) <= radius_km)""")
+ 2*6371*asin(sqrt(pow(sin(radians(s_lat-latitude)/2),2)+cos(radians(latitude))*cos(radians(s_lat))*pow(sin(radians(s_lon-longitude)/2),2))) <= radius_km)""", also="gate4_industrial_all")
 def gate4_industrial(spark, d):
-    return _gate4(spark, d, fx.table(spark, d, "supplier").filter("s_suppkey % 10 = 0"))
+    return gates.gate4_industrial(fx.cells(spark, d), _sources(spark, d)).select("grid_id")
 
 
-@query(without(ORACLES["gate4_industrial"], " where s_suppkey%10=0"))
-def gate4_industrial_all(spark, d):
-    return _gate4(spark, d, fx.table(spark, d, "supplier"))
-
-
-def _gate4(spark, d, suppliers):
+def _sources(spark, d):
     k = F.col("s_suppkey")
-    sources = suppliers.select((F.lit(32.53) + (k % 38) * F.lit(0.25)).alias("s_lat"), (F.lit(-124.48) + ((k * 7) % 41) * F.lit(0.25)).alias("s_lon"), F.when(k % 20 == 0, 30.0).otherwise(2.0).alias("radius_km"))
-    return gates.gate4_industrial(fx.cells(spark, d), sources).select("grid_id")
+    return fx.table(spark, d, "supplier").select((F.lit(32.53) + (k % 38) * F.lit(0.25)).alias("s_lat"), (F.lit(-124.48) + ((k * 7) % 41) * F.lit(0.25)).alias("s_lon"), F.when(k % 20 == 0, 30.0).otherwise(2.0).alias("radius_km"))
 
 
 _COARSER = 4
@@ -138,9 +132,7 @@ def _evaluated(spark, d):
     scans = gates.run_lengths(scans, ["region"], "window_ts", F.col("max_frp") >= 40, "run")
     scans = scans.join(found.select("region", later.alias("window_ts"), F.lit(True).alias("has_prior")), keys, "left")
     scans = scans.select(*keys, F.coalesce("has_prior", F.lit(False)).alias("has_prior"), F.coalesce(F.lag("run").over(Window.partitionBy("region").orderBy("window_ts")), F.lit(0)).alias("consecutive"))
-    k = F.col("s_suppkey")
-    sources = fx.table(spark, d, "supplier").select((F.lit(32.53) + (k % 38) * F.lit(0.25)).alias("s_lat"), (F.lit(-124.48) + ((k * 7) % 41) * F.lit(0.25)).alias("s_lon"), F.when(k % 20 == 0, 30.0).otherwise(2.0).alias("radius_km"))
-    return gates.evaluate(scans, cells, cells.withColumn("window_ts", later), fx.hexagons(feed.filter("sensor_source = 'view'"), _COARSER), sources, keys, _COARSER)
+    return gates.evaluate(scans, cells, cells.withColumn("window_ts", later), fx.hexagons(feed.filter("sensor_source = 'view'"), _COARSER), _sources(spark, d), keys, _COARSER)
 
 
 _SCANS = "scans as (select region, window_ts, list(distinct grid_id) as cells, max(frp) as max_frp from hex group by all)"
@@ -162,7 +154,17 @@ def expanding_cells(spark, d):
     return tidy(gates.expanding_cells(_scans(spark, d), ["region"], "window_ts").select("region", "window_ts", F.size("new_cells").alias("n_new")))
 
 
-@query()
+# One step of the recursion is one scan of every region.
+_FSM = """lagged as (select *, lag(cells) over (partition by region order by window_ts) as before from scans),
+seq as materialized (select region, window_ts, coalesce(max_frp, 0) as frp, len(list_filter(cells, lambda c: not list_contains(coalesce(before, []), c))) > 0 as grown, row_number() over (partition by region order by window_ts) as n from lagged),
+fsm as (select distinct region, 0::bigint as n, null::timestamp as window_ts, 'quiet' as mode, 'quiet' as prior, 0 as expanding, 0 as still, 0 as low from seq
+ union all select region, n, window_ts, case when ends then prior when starts then 'emergency' else mode end, case when starts then mode else prior end, e, case when ends or starts then 0 else s end, case when ends or starts then 0 else l end from (
+  select *, mode = 'emergency' and (s >= 3 or l >= 2) as ends, mode != 'emergency' and frp >= 200 and e >= 2 as starts from (
+   select q.region, q.n, q.window_ts, q.frp, f.mode, f.prior, case when f.mode = 'emergency' then f.expanding when q.frp >= 200 and q.grown then f.expanding + 1 else 0 end as e,
+    case when f.mode = 'emergency' and not q.grown then f.still + 1 else 0 end as s, case when f.mode = 'emergency' and q.frp < 50 then f.low + 1 else 0 end as l from fsm f join seq q on q.region = f.region and q.n = f.n + 1)))"""
+
+
+@query("with recursive " + fx.HEX + "," + _SCANS + "," + _FSM + f" select region, {ts('window_ts').replace('as window_ts', 'as scan_ts')}, mode, expanding, still, low from fsm where n > 0")
 def emergency_fsm(spark, d):
     scans = _scans(spark, d).withColumnRenamed("window_ts", "scan_ts")
     return tidy(gates.incident_replay(scans, ["region"]))
@@ -216,18 +218,9 @@ def scalar_formulas(spark, d):
 
 
 @query(_D + """ select seq::varchar as name, case when event = 'error' then 'emergency' when event = 'view' then 'active' else 'quiet' end as mode, case event when 'error' then 0 when 'view' then 1 else 99 end::int as priority
- from (select seq, sensor_source as event from detections where seq % 7 = 3) order by priority, name limit 1""")
+ from (select seq, sensor_source as event from detections) order by priority, name limit 1""", also="trigger_priority_all")
 def trigger_priority(spark, d):
-    return _trigger(fx.detections(spark, d).filter("seq % 7 = 3"))
-
-
-@query(without(ORACLES["trigger_priority"], " where seq % 7 = 3"))
-def trigger_priority_all(spark, d):
-    return _trigger(fx.detections(spark, d))
-
-
-def _trigger(detections):
-    rows = detections.select(F.col("seq").cast("string").alias("name"), F.when(F.col("sensor_source") == "error", "emergency").when(F.col("sensor_source") == "view", "active").otherwise("quiet").alias("mode"))
+    rows = fx.detections(spark, d).select(F.col("seq").cast("string").alias("name"), F.when(F.col("sensor_source") == "error", "emergency").when(F.col("sensor_source") == "view", "active").otherwise("quiet").alias("mode"))
     return reports.next_trigger(rows)
 
 

@@ -8,7 +8,7 @@ from ..functions import scalar
 from ..operators import fuse, priority, weather
 from ..registry import Registry
 from . import fixtures as fx
-from .define import num, registrar, tidy, ts, without
+from .define import num, registrar, tidy, ts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,7 +53,7 @@ def drought_index(spark, d):
     return tidy(weather.weather_aggregate(fx.weather_hourly(spark, d), ["grid_id"]).select("grid_id", "drought_index_proxy"))
 
 
-_WINDOWS = "windows as (select unnest(generate_series(timestamp '1996-01-01', timestamp '1998-01-01', interval 6 hour)) as window_ts)"
+_WINDOWS = "windows as (select unnest(generate_series(timestamp '1992-01-01', timestamp '1999-01-01', interval 6 hour)) as window_ts)"
 
 
 @query(_W + "," + _WINDOWS + f""" select grid_id, {ts('window_ts')}, {num('temperature_2m', 'wind_direction_10m', 'precipitation', 'data_quality_flag')} from (
@@ -62,7 +62,7 @@ _WINDOWS = "windows as (select unnest(generate_series(timestamp '1996-01-01', ti
 def weather_window(spark, d):
     from ..operators.reports import backfill_calendar
 
-    windows = backfill_calendar(spark, "1996-01-01 00:00:00", "1998-01-01 00:00:00")
+    windows = backfill_calendar(spark, "1992-01-01 00:00:00", "1999-01-01 00:00:00")
     out = weather.weather_window(fx.weather_hourly(spark, d), windows, 6, ["grid_id"])
     return tidy(out.select("grid_id", "window_ts", "temperature_2m", "wind_direction_10m", "precipitation", "data_quality_flag"))
 
@@ -81,28 +81,18 @@ def forward_fill(spark, d):
     return tidy(weather.forward_fill(rows, ["v"], ["l_suppkey"], "k").select("l_orderkey", "l_linenumber", "v"))
 
 
-@query("with t as (select distinct ts as t from events), c as (select distinct date_trunc('hour', ts)::timestamp as cycle from events where event_id % 3 = 0) select " + ts("t") + ", strftime((select max(cycle) from c where cycle <= t.t and cycle > date_trunc('hour', t.t) - interval 3 hour), '%Y-%m-%d %H:%M:%S') as cycle from t")
+@query("with t as (select distinct ts as t from events), c as (select distinct date_trunc('hour', ts)::timestamp as cycle from events) select " + ts("t") + ", strftime((select max(cycle) from c where cycle <= t.t and cycle > date_trunc('hour', t.t) - interval 3 hour), '%Y-%m-%d %H:%M:%S') as cycle from t", also="asof_cycle_all")
 def asof_cycle(spark, d):
-    return _asof(spark, d, "event_id % 3 = 0")
-
-
-@query(without(ORACLES["asof_cycle"], " where event_id % 3 = 0"))
-def asof_cycle_all(spark, d):
-    return _asof(spark, d, "true")
-
-
-def _asof(spark, d, which):
     e = fx.table(spark, d, "events")
-    cycles = e.filter(which).select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("cycle"))
+    cycles = e.select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("cycle"))
     return tidy(weather.newest_cycle(e.select(F.col("ts").alias("t")).distinct(), cycles))
 
 
-_PANEL_SQL = """panel as (select grid_id, region, latitude, longitude, window_ts from grid, (select distinct window_ts from detections where window_ts < timestamp '2024-01-06'))"""
+_PANEL_SQL = """panel as (select grid_id, region, latitude, longitude, window_ts from grid, (select distinct window_ts from detections))"""
 
 
 def _panel(spark, d):
-    rows = fx.detections(spark, d)
-    windows = rows.select("window_ts").distinct().filter(F.col("window_ts") < F.lit("2024-01-06").cast("timestamp_ntz"))
+    windows = fx.detections(spark, d).select("window_ts").distinct()
     return fx.cells(spark, d).crossJoin(F.broadcast(windows))  # the calendar: four windows a day
 
 
@@ -136,15 +126,13 @@ def _swapped(sql, *pairs):
 
 
 @query(_swapped(ORACLES["fuse_features"], (_AGG, f"hourly as (select *, {_MONTH} as window_ts from weather_hourly)," + _swapped(_AGG, ("select grid_id, avg", "select grid_id, window_ts, avg"), ("from weather_hourly group by 1", "from hourly group by 1, 2"))),
-  ("on w.grid_id = p.grid_id", "on w.grid_id = p.grid_id and w.window_ts = p.window_ts"), (" where window_ts < timestamp '2024-01-06'", "")))
+  ("on w.grid_id = p.grid_id", "on w.grid_id = p.grid_id and w.window_ts = p.window_ts")))
 def fuse_features_all(spark, d):
     """All cells and windows, weather by cell and window: its hours are put into one month of windows."""
     hour = F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("timestamp"))
     at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.floor(hour / 6) % 120 * 6).cast("int"))
     w = weather.weather_aggregate(fx.weather_hourly(spark, d).withColumn("window_ts", at), ["grid_id", "window_ts"]).drop("data_quality_flag")
-    windows = fx.detections(spark, d).select("window_ts").distinct()
-    panel = fx.cells(spark, d).crossJoin(F.broadcast(windows))  # the calendar: four windows a day
-    out = fuse.fuse_features(panel, fx.fire_features(spark, d), w, fx.static_features(spark, d), REGISTRY)
+    out = fuse.fuse_features(_panel(spark, d), fx.fire_features(spark, d), w, fx.static_features(spark, d), REGISTRY)
     return tidy(out.select("grid_id", "region", "window_ts", "active_fire_count", F.col("mean_frp").alias("coalesce_frp"), F.col("max_confidence").alias("coalesce_conf"), "fire_detected_binary", "temperature_2m", "precipitation", "elevation_m", "data_quality_flag"))
 
 
@@ -185,24 +173,15 @@ def priority_noop(spark, d):
     return tidy(priority.no_override(fx.fused(spark, d)).select("grid_id", "window_ts", "data_source_priority"))
 
 
-_TRUTH = """truth as (select seq, latitude+0.01::double as lat, longitude-0.01::double as lon, acq_ts as t, (seq % 40)::int as active_fire_count, case when seq % 100 != 0 then frp*2 end as mean_frp from detections where sensor_source = 'purchase' and seq % 10 = 0)"""
+_TRUTH = """truth as (select seq, latitude+0.01::double as lat, longitude-0.01::double as lon, acq_ts as t, (seq % 40)::int as active_fire_count, case when seq % 100 != 0 then frp*2 end as mean_frp from detections where sensor_source = 'purchase')"""
 
 
 @query("with " + fx.FUSED + "," + _TRUTH + f""", near as (
  select f.grid_id, f.window_ts, arg_max(t.active_fire_count, t.seq) as c, arg_max(t.mean_frp, t.seq) filter (t.mean_frp is not null) as m from fused f join truth t
   on abs(latitude-lat) <= 1 and sqrt(pow(latitude-lat,2)+pow(longitude-lon,2)) <= 5.0::double/111 and abs(epoch(t.t)::bigint - epoch(f.window_ts)::bigint) <= 21600 group by all)
- select f.grid_id, {ts('f.window_ts')}, coalesce(c, active_fire_count) as active_fire_count, {num('mean_frp')}, case when c is not null then 1 else 2 end as data_source_priority from (select f.* exclude (mean_frp), n.c, coalesce(n.m, f.mean_frp) as mean_frp from fused f left join near n using (grid_id, window_ts)) f""")
+ select f.grid_id, {ts('f.window_ts')}, coalesce(c, active_fire_count) as active_fire_count, {num('mean_frp')}, case when c is not null then 1 else 2 end as data_source_priority from (select f.* exclude (mean_frp), n.c, coalesce(n.m, f.mean_frp) as mean_frp from fused f left join near n using (grid_id, window_ts)) f""", also="priority_override_all")
 def priority_override(spark, d):
-    return _override(spark, d, fx.detections(spark, d).filter("sensor_source = 'purchase' and seq % 10 = 0"))
-
-
-@query(without(ORACLES["priority_override"], " and seq % 10 = 0"))
-def priority_override_all(spark, d):
-    return _override(spark, d, fx.detections(spark, d).filter("sensor_source = 'purchase'"))
-
-
-def _override(spark, d, rows):
-    truth = rows.select("seq", (F.col("latitude") + 0.01).alias("latitude"), (F.col("longitude") - 0.01).alias("longitude"), F.date_trunc("SECOND", "acq_ts").cast("timestamp_ntz").alias("timestamp"), (F.col("seq") % 40).cast("int").alias("active_fire_count"), F.when(F.col("seq") % 100 != 0, F.col("frp") * 2).alias("mean_frp"))
+    truth = fx.detections(spark, d).filter("sensor_source = 'purchase'").select("seq", (F.col("latitude") + 0.01).alias("latitude"), (F.col("longitude") - 0.01).alias("longitude"), F.date_trunc("SECOND", "acq_ts").cast("timestamp_ntz").alias("timestamp"), (F.col("seq") % 40).cast("int").alias("active_fire_count"), F.when(F.col("seq") % 100 != 0, F.col("frp") * 2).alias("mean_frp"))
     return tidy(priority.priority_override(fx.fused(spark, d), truth).select("grid_id", "window_ts", "active_fire_count", "mean_frp", "data_source_priority"))
 
 

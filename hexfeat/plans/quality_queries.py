@@ -9,7 +9,7 @@ from ..operators import anomaly, bias, export, quality, reports
 from ..registry import Registry
 from ..sources import parsers
 from . import fixtures as fx
-from .define import num, registrar, tidy, ts, without
+from .define import num, registrar, tidy, ts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -209,13 +209,8 @@ def backfill_calendar(spark, d):
     return tidy(reports.backfill_calendar(spark, "2024-01-01 00:00:00", "2024-02-05 00:00:00"))
 
 
-@query("with " + fx.DETECTIONS + f" select {ts('window_ts')} from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-02-05', interval 6 hour)) as window_ts) c where window_ts not in (select window_ts from detections where region = 'texas' and seq % 3 = 0)")
+@query("with " + fx.DETECTIONS + f" select {ts('window_ts')} from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-02-05', interval 6 hour)) as window_ts) c where window_ts not in (select window_ts from detections where region = 'texas')", also="backfill_pending_all")
 def backfill_pending(spark, d):
-    return tidy(reports.backfill_pending(reports.backfill_calendar(spark, "2024-01-01 00:00:00", "2024-02-05 00:00:00"), fx.detections(spark, d).filter("region = 'texas' and seq % 3 = 0")))
-
-
-@query(without(ORACLES["backfill_pending"], " and seq % 3 = 0"))
-def backfill_pending_all(spark, d):
     return tidy(reports.backfill_pending(reports.backfill_calendar(spark, "2024-01-01 00:00:00", "2024-02-05 00:00:00"), fx.detections(spark, d).filter("region = 'texas'")))
 
 
@@ -237,19 +232,10 @@ def telemetry_validate(spark, d):
     return parsers.telemetry(e).select("seq", F.size("issues").alias("n_issues"))
 
 
-@query("select user_id::varchar as grid_id, hour, temperature_2m, vpd from (select user_id, unnest(range(3)) as hour, unnest([value, value+1, null]) as temperature_2m, unnest([1.5::double, null, null]) as vpd from events where event_id % 50 = 0)")
+@query("select user_id::varchar as grid_id, hour, temperature_2m, vpd from (select user_id, unnest(range(3)) as hour, unnest([value, value+1, null]) as temperature_2m, unnest([1.5::double, null, null]) as vpd from events)", also="openmeteo_explode_all")
 def openmeteo_explode(spark, d):
-    return _openmeteo(fx.table(spark, d, "events").filter("event_id % 50 = 0"))
-
-
-@query(without(ORACLES["openmeteo_explode"], " where event_id % 50 = 0"))
-def openmeteo_explode_all(spark, d):
-    return _openmeteo(fx.table(spark, d, "events"))
-
-
-def _openmeteo(events):
     v = F.col("value")
-    e = events.select(
+    e = fx.table(spark, d, "events").select(
         F.col("user_id").cast("string").alias("grid_id"),
         F.to_json(F.struct(F.struct(F.array(*[F.lit(f"2024-01-01T0{h}:00") for h in range(3)]).alias("time"), F.array(v, v + 1).alias("temperature_2m"), F.array(F.lit(1.5)).alias("vapor_pressure_deficit")).alias("hourly"))).alias("payload"),
     )
@@ -257,18 +243,9 @@ def _openmeteo(events):
 
 
 @query("select event_id::varchar as grid_id, k::int as \"at\", " + num("temperature_2m", "wind_speed_10m", "wind_direction_10m") + """ from (select event_id, unnest(range(2)) as k, unnest([round_even(((event_id%100)-32)*5.0::double/9, 1), round_even(((event_id%100)+1-32)*5.0::double/9, 1)]) as temperature_2m,
- unnest([round_even((10+event_id%7)::double/2*1.60934::double, 1), round_even((5+5)::double/2*1.60934::double, 1)]) as wind_speed_10m, unnest([45.0, null]) as wind_direction_10m from events where event_id % 20 = 0)""")
+ unnest([round_even((10+event_id%7)::double/2*1.60934::double, 1), round_even((5+5)::double/2*1.60934::double, 1)]) as wind_speed_10m, unnest([45.0, null]) as wind_direction_10m from events)""", also="nws_parse_all")
 def nws_parse(spark, d):
-    return _nws(fx.table(spark, d, "events").filter("event_id % 20 = 0"))
-
-
-@query(without(ORACLES["nws_parse"], " where event_id % 20 = 0"))
-def nws_parse_all(spark, d):
-    return _nws(fx.table(spark, d, "events"))
-
-
-def _nws(events):
     i = F.col("event_id")
     period = lambda t, wind, way: F.struct(F.lit("2024-01-01T00:00:00").alias("startTime"), t.cast("double").alias("temperature"), wind.alias("windSpeed"), F.lit(way).alias("windDirection"))
-    e = events.select(i.cast("string").alias("grid_id"), F.to_json(F.struct(F.array(period(i % 100, F.concat(F.lit("10 to "), i % 7, F.lit(" mph")), "NE"), period(i % 100 + 1, F.lit("5 mph"), "??")).alias("periods"))).alias("payload"))
+    e = fx.table(spark, d, "events").select(i.cast("string").alias("grid_id"), F.to_json(F.struct(F.array(period(i % 100, F.concat(F.lit("10 to "), i % 7, F.lit(" mph")), "NE"), period(i % 100 + 1, F.lit("5 mph"), "??")).alias("periods"))).alias("payload"))
     return tidy(parsers.period_weather(e).select("grid_id", "at", "temperature_2m", "wind_speed_10m", "wind_direction_10m"))
