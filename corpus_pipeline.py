@@ -53,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("secret_scans", mask_secrets), ("packing", pack)]
 
-#: SQL has no tokenizer and no trained model; tests/llm compares the pipeline with a brute-force version.
+#: SQL has no tokenizer and no trained model; tests/llm tests its stages one by one; there is no brute-force version of the whole.
 ORACLE_SQL = None
 
 
