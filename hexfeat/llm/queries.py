@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, toxicity, tree_bpe
+from . import exact_dedup, filter_audit, importance, licenses, ngram_join, packing, quality_classifier, quality_rules, secrets, sharding, topk, toxicity, tree_bpe
 from .common import read
 
 
@@ -50,6 +50,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_sample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scans": op2_license_scans,
@@ -61,8 +73,14 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_secret_scans": op10_secret_scans,
+    "op11_importance_sample": op11_importance_sample,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_importance_sample": importance.ORACLE_SQL,
+    "op12_exact_topk": topk.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
