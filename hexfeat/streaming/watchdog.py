@@ -1,24 +1,15 @@
-"""The watchdog as a stream: detections to scans to incidents.
+"""The watchdog's input as a stream: detections to scans.
 
-Late data are bounded by a watermark, repeated polls by deduplication within it. Scans are event-time windows. The
-incident state machine keeps one small state for each region; its transitions are those of operators.gates.incident_replay.
+Late data are bounded by a watermark, repeated polls by deduplication within it. Scans are event-time windows. What
+follows from scans is in watch.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import grid
-from ..operators.gates import BYPASS_FRP, COLD_FRP
-
-OUT = "region string, scan_ts timestamp, mode string, expanding int, still int, low int"
-STATE = "mode string, prior string, cells string, expanding int, still int, low int"
-START = ("quiet", "quiet", "", 0, 0, 0)
 
 
 def detection_stream(spark: SparkSession, path: str, schema: str, late: str = "60 minutes", min_frp: float = 10.0) -> DataFrame:
@@ -34,44 +25,7 @@ def scans(detections: DataFrame, level: int = 5, minutes: int = 360) -> DataFram
     return detections.groupBy(window.alias("w"), "region").agg(F.collect_set(cell).alias("cells"), F.max("frp").alias("max_frp")).select("region", F.col("w.start").alias("scan_ts"), "cells", "max_frp")
 
 
-def transition(state: tuple, cells: set[str], frp: float) -> tuple:
-    """The next state (mode, prior, cells, expanding, still, low) of an incident after a scan."""
-    mode, prior, before, expanding, still, low = state
-    grown = bool(cells - set(filter(None, before.split(","))))
-    if mode == "emergency":
-        still, low = (0 if grown else still + 1), (low + 1 if frp < BYPASS_FRP else 0)
-        if still >= 3 or low >= 2:
-            mode, still, low = prior, 0, 0
-    else:
-        still = low = 0
-        expanding = expanding + 1 if frp >= COLD_FRP and grown else 0
-        if frp >= COLD_FRP and expanding >= 2:
-            mode, prior = "emergency", mode
-    return mode, prior, ",".join(sorted(cells)), expanding, still, low
-
-
-def incidents(scan_rows: DataFrame) -> DataFrame:
-    """A row for each scan of a region, in order of arrival and then time: mode and counters."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else START
-        rows = []
-        for row in pd.concat(list(frames)).sort_values("scan_ts").itertuples():
-            now = transition(now, set(row.cells), 0.0 if pd.isna(row.max_frp) else row.max_frp)
-            rows.append((key[0], row.scan_ts, now[0], *now[3:]))
-        state.update(now)
-        yield pd.DataFrame(rows, columns=["region", "scan_ts", "mode", "expanding", "still", "low"])
-
-    return scan_rows.groupBy("region").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def running_moments(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Streaming baseline: count, mean and deviation of each column by season, kept by the engine's own aggregation state."""
     long = rows.select("season", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("season", "x.*").filter("value is not null")
     return long.groupBy("feature", "season").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-
-
-def pending_triggers(spark: SparkSession, path: str) -> DataFrame:
-    """Trigger records that arrive as JSON files; malformed ones are left out. The checkpoint makes each count once."""
-    rows = spark.readStream.schema("name string, mode string, region string, fire_cells array<string>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.filter("_corrupt is null and mode is not null").drop("_corrupt")

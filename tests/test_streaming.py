@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hexfeat.operators import gates
 from hexfeat.sources import io
-from hexfeat.streaming import watchdog
+from hexfeat.streaming import watch, watchdog
 
 
 def run(df, spark, tmp_path, name, mode="append"):
@@ -22,7 +22,7 @@ def test_incidents_match_replay(spark, tmp_path):
     for i in range(len(plan)):
         scans.filter(F.col("scan_ts") == F.lit(t0 + dt.timedelta(hours=6 * i))).coalesce(1).write.mode("append").parquet(str(tmp_path / "scans"))
     stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "scans"))
-    got = run(watchdog.incidents(stream), spark, tmp_path, "incidents")
+    got = run(watch.incidents(stream), spark, tmp_path, "incidents")
     batch = gates.incident_replay(scans.withColumn("scan_ts", F.col("scan_ts").cast("timestamp_ntz")), ["region"]).withColumn("scan_ts", F.col("scan_ts").cast("timestamp"))
     columns = ["region", "scan_ts", "mode", "expanding", "still", "low"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
