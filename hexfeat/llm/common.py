@@ -40,6 +40,17 @@ def keyed(docs: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame,
     return stored(dealt.withColumn(name, F.monotonically_increasing_id())), name
 
 
+def picked(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` of the rows (doc_id, text, and others that follow from these), with their hash as `pick`.
+
+    Rows are chosen by the hash of id and text, the lowest first, whatever the number of rows; a null id counts as none.
+    Rows that share both are one. The texts themselves are not sorted: the bound on the hash is found first.
+    """
+    hashed = rows.withColumn("pick", F.xxhash64("doc_id", "text"))
+    bound = hashed.select("pick").distinct().orderBy("pick").limit(most).agg(F.max("pick")).first()[0]
+    return hashed.filter(F.col("pick") <= F.lit(bound)).dropDuplicates(["pick"]) if bound is not None else hashed.limit(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local master gets one of its own."""
     sc = spark.sparkContext

@@ -39,6 +39,10 @@ def _best_id(best: Column) -> Column:
     return F.nullif(found, F.lit(_LAST).cast("long"))
 
 
+def _best_length(best: Column) -> Column:
+    return F.floor(best / _number(_IDS)).cast("int")
+
+
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
@@ -48,21 +52,21 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame
 
     Of equal texts the row with the most code points in the original text stays, then the one with the smallest
     doc_id. A null text counts as empty; all empty texts form one group. A null doc_id loses every tie and is only
-    kept (keep_id null) in a group that has no other longest row. Rows that repeat a doc_id get a row each, with the
-    same answer if their texts are equal. An empty table gives an empty result. `digest` is replaceable for tests.
+    kept (keep_id null) in a group that has no other longest row. Rows that repeat a doc_id get a row each; of those with
+    equal texts only the ones of the greatest length are kept, all of them if several have it. An empty table gives an empty result. `digest` is replaceable for tests.
     """
     rows = common.id_and_text(docs).select("doc_id", F.char_length("text").alias("n"), F.regexp_replace("text", common.BLANKS, "").alias("norm")).withColumn("digest", digest(F.col("norm")))
     salted = rows.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "norm").agg(F.count("*").alias("size"), F.max(_best(F.col("n"), F.col("doc_id"))).alias("best"))
     groups = salted.repartition("digest").groupBy("digest", "norm").agg(F.sum("size").alias("size"), F.max("best").alias("best"))
     by_digest = common.stored(groups.groupBy("digest").agg(F.count("*").alias("texts"), F.max("size").alias("size"), F.max("best").alias("best")))
     sha = F.col("digest") if digest is sha256 else sha256(F.col("norm"))
-    out = rows.select("doc_id", "digest", sha.alias("sha")).join(by_digest.filter("texts = 1"), "digest").select("doc_id", "sha", "size", "best")
+    out = rows.select("doc_id", "n", "digest", sha.alias("sha")).join(by_digest.filter("texts = 1"), "digest").select("doc_id", "n", "sha", "size", "best")
     several = by_digest.filter("texts > 1").select("digest")
     if not several.isEmpty():  # a digest that several texts share: the whole text decides
         whole = rows.join(several, "digest", "left_semi").join(groups, ["digest", "norm"])
-        out = out.unionByName(whole.select("doc_id", sha256(F.col("norm")).alias("sha"), "size", "best"))
+        out = out.unionByName(whole.select("doc_id", "n", sha256(F.col("norm")).alias("sha"), "size", "best"))
     keep = _best_id(F.col("best"))
-    return out.select("doc_id", keep.alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", keep.alias("keep_id"), F.col("size").alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("n") == _best_length(F.col("best")))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 ORACLE_SQL = r"""
@@ -73,5 +77,5 @@ with r as (
          first_value(doc_id) over (partition by norm order by n desc, doc_id rows between unbounded preceding and unbounded following) as keep_id
   from r
 )
-select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g
+select doc_id, keep_id, group_size, doc_id = keep_id and n = max(n) over (partition by norm) as kept, sha256(norm) as text_sha256 from g
 """

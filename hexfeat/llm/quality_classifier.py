@@ -83,6 +83,10 @@ def posteriors(votes_: np.ndarray, share: float, table: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
+#: Longest word whose place is remembered; the shapes of longer ones are made anew each time.
+_REMEMBERED = 64
+
+
 class Shapes:
     """Hashed word shapes of a text as a vector of length one; shapes of words are remembered up to a bound."""
 
@@ -91,7 +95,7 @@ class Shapes:
         self.known: dict[str, int] = {}
 
     def _place(self, word: str) -> int:
-        shape = _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a", word))[:12]
+        shape = _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a", word))
         return zlib.crc32(shape.encode()) % self.dimensions
 
     def vector(self, text: str) -> np.ndarray:
@@ -101,7 +105,9 @@ class Shapes:
         known, places = self.known, []
         for w in words:
             if (at := known.get(w)) is None:
-                at = known[w] = self._place(w)
+                at = self._place(w)
+                if len(w) <= _REMEMBERED:
+                    known[w] = at
             places.append(at)
         again = sum(map(operator.eq, words, words[1:]))
         counts = np.bincount(np.array([*places, *[zlib.crc32(b"\0again") % self.dimensions] * again, *[zlib.crc32(b"\0line") % self.dimensions] * text.count("\n")], int), minlength=self.dimensions)
@@ -116,7 +122,11 @@ class Scorer:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Scorer:
-    """The scorer learnt from docs (doc_id, text) without any label. An empty table gives a scorer that says 0.5."""
+    """The scorer learnt from docs (doc_id, text) without any label. An empty table gives a scorer that says 0.5.
+
+    Accuracies are estimated over all rows; the scorer is fitted on at most `sample` rows, chosen by the hash of id and
+    text, so rows without an id or with a repeated one take part like others, and copies of one id and text once.
+    """
     rows = common.id_and_text(docs)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +145,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) ->
             soft = posteriors(np.array([votes(t) for t in texts], int).reshape(len(texts), -1), share, table) if texts else []
             yield pa.RecordBatch.from_arrays([pa.array(soft, pa.float64()), pa.array([shapes.vector(t) for t in texts], pa.list_(pa.float64()))], ["soft", "shape"])
 
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    learnt = common.stored(rows.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(featured, "soft double, shape array<double>"))
+    learnt = common.stored(common.picked(rows, sample).select("text").mapInArrow(featured, "soft double, shape array<double>"))
     both = learnt.select(array_to_vector("shape").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("soft").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("soft")).alias("weight")))).alias("x")).select("features", "x.label", "x.weight")
     if not learnt.agg(F.count("*")).first()[0]:
         return Scorer(np.zeros(dimensions), 0.0)

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that the model is fitted on at most: those with the smallest hash of their doc_id.
-SAMPLE = 20_000
+#: Labels and labelled rows that the model is fitted on at most, and places of their terms in the one task of the machine.
+SAMPLE, PLACES = 20_000, 1 << 24
 #: Hashed places of terms, dimensions of their vectors.
 DIMENSIONS, FACTORS = 1 << 14, 8
 #: Rows of a batch, size of a step, passes over the sample at most, loss from which it is learnt.
@@ -126,7 +126,12 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS, factors: int = FACTORS) -> Model:
-    """The model learnt from the labelled rows that are not held out. Without both classes it scores 0 everywhere."""
+    """The model learnt from the labelled rows that are not held out. Without both classes it scores 0 everywhere.
+
+    At most `sample` labels are taken, and of the rows that have them at most `sample`, both by hash: an id that many
+    rows share brings no more, and rows that share id and text are one. The machine is fitted in one task, on the first
+    rows that have PLACES places of terms together (12 bytes each in that task).
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label")).filter("doc_id is not null and label is not null")
     chosen = known.filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -134,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([terms(x.as_py(), dimensions) for x in batch.column("text")], pa.list_(pa.int64()))], ["doc_id", "label", "terms"])
 
-    texts = common.id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    labelled = common.id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most `sample` labels
+    texts = common.picked(labelled, sample).select("doc_id", "label", "text")
     rows = common.stored(texts.mapInArrow(hashed, "doc_id long, label double, terms array<long>"))
     nothing = Model(np.zeros(dimensions, bool), NEVER, np.zeros(dimensions), np.zeros((dimensions, factors)))
     inside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) < 2
@@ -153,10 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: in
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         if table.num_rows:
-            found = [np.array(x.as_py(), np.int64) for x in table.column("terms")]
+            found = [x.values.to_numpy().astype(np.int32) for x in table.column("terms")]
             bias, weights = train(found, table.column("label").to_numpy(), loud, factors)
             yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([weights.tobytes()])], ["bias", "weights"])
 
+    at = F.xxhash64("doc_id", "terms")
+    sizes = sorted((r["at"], r["n"]) for r in fitted.select(at.alias("at"), F.size("terms").alias("n")).collect())  # at most `sample` rows
+    upto = np.searchsorted(np.cumsum([n for _, n in sizes]), PLACES, side="right")
+    fitted = fitted if upto >= len(sizes) else fitted.filter(at < F.lit(sizes[upto][0]))
     learnt = fitted.repartition(1).sortWithinPartitions("doc_id").select("label", "terms").mapInArrow(learn, "bias double, weights binary").first()
     weights = np.frombuffer(learnt["weights"], np.float32).reshape(dimensions, factors + 1).astype(float)
     model = Model(loud, learnt["bias"], weights[:, 0], weights[:, 1:])

@@ -86,6 +86,20 @@ def test_licences(spark, docs, texts):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_quality_classifier_takes_rows_without_or_with_one_id(spark):
+    """The fit doesn't depend on ids: null ones and a single one tell good texts from junk as well, and long words are read whole."""
+    good = [" ".join(f"The river {w} runs past the old mill, and {k} people walk there." for w in ("slowly", "quickly", "always")) for k in range(60)]
+    junk = [" ".join(["X9#|@ 77%$ »»» |||"] * 12) + str(k) for k in range(20)]
+    answers = []
+    for ids in (range(80), [None] * 80, [7] * 80):
+        df = spark.createDataFrame(list(zip(ids, good + junk, strict=True)), "doc_id long, text string").repartition(3)
+        out = quality_classifier.score_quality(df, quality_classifier.fit(df)).groupBy("kept").count().collect()
+        answers.append({r["kept"]: r["count"] for r in out})
+    assert answers == [{True: 60, False: 20}] * 3
+    shapes = quality_classifier.Shapes(512)
+    assert shapes._place("a1" * 40 + "B") != shapes._place("a1" * 40) and shapes.vector("x" * 100_000).any() and not shapes.known
+
+
 def test_quality_classifier_learns_without_labels(spark, docs, texts):
     rng = random.Random(4)
     words = CLEAN.split()

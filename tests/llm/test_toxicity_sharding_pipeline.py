@@ -42,6 +42,23 @@ def test_pairs_are_learnt(spark, docs, texts):
     assert toxicity.score_toxicity(rows, nothing).filter("predicted = 1").count() == 0
 
 
+def test_sample_is_bounded_in_rows_and_places(spark, monkeypatch):
+    """One labelled id that most rows share doesn't fill the fit; copies of one id and text are one row."""
+    rows, labels = corpus(spark)
+    shared = next(i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1)
+    many = rows.unionByName(spark.createDataFrame([(shared, f"other{k} words{k % 7}", "en", "s") for k in range(500)] + [(shared, "same", "en", "s")] * 200, rows.schema))
+    known = common.id_and_text(many).join(labels, "doc_id").select("doc_id", "text")
+    assert common.picked(known, 300).count() == 300 and common.picked(known, 10**6).count() == 900 + 500 + 1
+    seen = []
+    plain = toxicity.common.stored
+    monkeypatch.setattr(toxicity.common, "stored", lambda df: seen.append(plain(df)) or seen[-1])
+    model = toxicity.fit(many, labels, sample=300)
+    assert seen[0].count() <= 300 and len(model.weights) == toxicity.DIMENSIONS
+    monkeypatch.setattr(toxicity, "PLACES", 200)
+    toxicity.fit(many, labels, sample=300)
+    assert toxicity.score_toxicity(many, model).count() == many.count()
+
+
 def test_pairs_without_any_effect_of_their_words(spark):
     """Toxic when both words or neither occur: each alone says nothing, so an additive score is right by half."""
     rng = random.Random(3)
