@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import clean
+
 BINS, EPSILON, MIN_VALUES, MIN_ROWS, MAX_KL, MAX_DISPARITY = 20, 1e-10, 5, 10, 0.1, 0.05
 
 
@@ -23,13 +25,16 @@ def _four(x: Column) -> Column:
 
 def slice_stats(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """feature, n, mean, std, median, p5, p95 (four decimals) and null_rate; features without values are left out."""
-    long = df.select(*(keys or []), _values(columns).alias("x")).select(*(keys or []), "x.*")
+    keys = [*(keys or []), "feature"]
+    long = df.select(*keys[:-1], _values(columns).alias("x")).select(*keys[:-1], "x.*")
     v = F.col("value")
-    out = long.groupBy(*(keys or []), "feature").agg(
-        F.count(v).alias("n"), _four(F.avg(v)).alias("mean"), _four(F.stddev_samp(v)).alias("std"), _four(F.percentile(v, F.lit(0.5))).alias("median"),
-        _four(F.percentile(v, F.lit(0.05))).alias("p5"), _four(F.percentile(v, F.lit(0.95))).alias("p95"), _four(F.avg(v.isNull().cast("double"))).alias("null_rate"),
-    )
-    return out.filter("n > 0")
+    out = long.groupBy(*keys).agg(F.count(v).alias("n"), _four(F.avg(v)).alias("mean"), _four(F.stddev_samp(v)).alias("std"), _four(F.avg(v.isNull().cast("double"))).alias("null_rate"))
+    ranks = clean.percentiles(long, keys, "value", [0.05, 0.5, 0.95])
+    same = F.lit(True)
+    for k in keys:  # a null key is a group of its own
+        same = same & out[k].eqNullSafe(ranks[k])
+    joined = out.filter("n > 0").join(ranks, same)
+    return joined.select(*[out[k] for k in keys], "n", "mean", "std", _four(F.col("p1")).alias("median"), _four(F.col("p0")).alias("p5"), _four(F.col("p2")).alias("p95"), "null_rate")
 
 
 def kl_divergence(df: DataFrame, columns: list[str], dimensions: dict[str, str]) -> DataFrame:

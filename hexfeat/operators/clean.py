@@ -17,29 +17,34 @@ def clean_detections(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["latitude", "longitude"]).withColumns({"confidence": scalar.confidence("confidence"), "frp": scalar.number("frp")})
 
 
-def _tops(df: DataFrame, keys: list[str], at: float) -> DataFrame:
-    """keys and _top: the exact `at` percentile of frp, between its two ranks.
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys and p0, p1, ...: the exact percentiles (linear between two ranks) of the non-null values of each group, in one pass.
 
-    A sketch of bounded size brackets the percentile of a large group; only values in the bracket are then counted and
-    ranked, those below it are one row. So the work on a hot key is map-side but for a five-hundredth of its values.
+    A sketch of bounded size brackets each percentile of a large group; only values in a bracket are then counted and
+    ranked, those between two brackets are one row. So the work on a hot key is map-side but for a five-hundredth of its
+    values for each percentile. shares have to rise.
     """
-    known = df.filter("frp is not null").select(*keys, "frp")
-    ends = F.percentile_approx("frp", [max(0.0, at - MARGIN), min(1.0, at + MARGIN)], 10_000)
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    ends = F.percentile_approx("_x", [min(1.0, max(0.0, p + m)) for p in shares for m in (-MARGIN, MARGIN)], 10_000)
     spans = known.groupBy(*keys).agg(F.count("*").alias("_n"), ends.alias("_ends"))
     beside = known.join(spans, keys) if keys else known.crossJoin(F.broadcast(spans))  # one row
-    large = F.col("_n") > SMALL
-    ranked = beside.filter(~large | (F.col("frp") <= F.col("_ends")[1])).withColumn("_v", F.when(~large | (F.col("frp") >= F.col("_ends")[0]), F.col("frp")))
-    counted = ranked.groupBy(*keys, "_n", "_v").agg(F.count("*").alias("_of"))
-    upto = F.sum("_of").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
-    place = (F.col("_n") - 1) * F.lit(at)
-    below, above = (F.min(F.when(F.col("_upto") > end(place), F.col("_v"))) for end in (F.floor, F.ceil))
-    found = counted.withColumn("_upto", upto).groupBy(*keys, "_n").agg(below.alias("_below"), above.alias("_above"))
-    return found.select(*keys, (F.col("_below") + (F.col("_above") - F.col("_below")) * (place - F.floor(place))).alias("_top"))
+    lows, highs = ([F.col("_ends")[2 * i + side] for i in range(len(shares))] for side in (0, 1))
+    inside = F.col("_n") <= SMALL
+    for low, high in zip(lows, highs, strict=True):
+        inside = inside | F.col("_x").between(low, high)
+    # What lies between two brackets is one row right behind the lower one.
+    behind = F.greatest(*[F.when(high < F.col("_x"), high) for high in highs], F.lit(None).cast("double"))
+    counted = beside.select(*keys, "_n", F.when(inside, F.col("_x")).otherwise(behind).alias("_at"), (~inside).alias("_rest")).groupBy(*keys, "_n", "_at", "_rest").agg(F.count("*").alias("_of"))
+    counted = counted.withColumn("_upto", F.sum("_of").over(Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), "_rest")))
+    place = [(F.col("_n") - 1) * F.lit(p) for p in shares]
+    ranked = lambda at: F.min(F.when(~F.col("_rest") & (F.col("_upto") > at), F.col("_at")))
+    found = counted.groupBy(*keys, "_n").agg(*[ranked(f(p)).alias(f"_{name}{i}") for i, p in enumerate(place) for name, f in (("low", F.floor), ("high", F.ceil))])
+    return found.select(*keys, *[(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (p - F.floor(p))).alias(f"p{i}") for i, p in enumerate(place)])
 
 
 def clip_frp(df: DataFrame, keys: list[str], at: float = CLIP_AT) -> DataFrame:
     """frp above the `at` percentile of its key group is lowered to it, below 0 raised to 0; nulls stay."""
-    tops = _tops(df, keys, at)
+    tops = percentiles(df, keys, "frp", [at]).withColumnRenamed("p0", "_top")
     joined = df.join(tops, keys, "left") if keys else df.join(F.broadcast(tops), how="left")  # one row, or none
     return joined.withColumn("frp", F.when(F.col("frp").isNotNull(), F.greatest(F.least("frp", F.coalesce("_top", "frp")), F.lit(0.0)))).drop("_top")
 

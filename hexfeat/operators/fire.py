@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid
+from . import near
 
 
 def aggregate_fire(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,9 +20,13 @@ def aggregate_fire(df: DataFrame, keys: list[str]) -> DataFrame:
 def nearest_fire(cells: DataFrame, scope: list[str], res_km: float) -> DataFrame:
     """nearest_fire_distance_km: steps to the nearest other fire cell of the scope times 0.75 res_km; -1 without any.
 
-    cells has q and r. The fire cells of one scope (a region's window) are bounded by the cells of the region's grid,
-    so they travel as one array beside each row and the minimum is taken inside the row: no pair becomes a row.
+    cells: scope, q, r (one row for each cell of a scope). A step changes neither coordinate by more than one, so squares
+    of axial coordinates bound the distance from below. Cells of a square that are still open after a round lie at least
+    that far from each other, so no square is asked by many.
     """
-    all_cells = cells.groupBy(*scope).agg(F.collect_set(F.struct("q", "r")).alias("_cells"))
-    steps = F.array_min(F.transform(F.filter("_cells", lambda c: (c["q"] != F.col("q")) | (c["r"] != F.col("r"))), lambda c: grid.distance(F.col("q"), F.col("r"), c["q"], c["r"])))
-    return cells.join(all_cells, scope).withColumn("nearest_fire_distance_km", F.coalesce(steps * (res_km * 0.75), F.lit(-1.0))).drop("_cells")
+    asked = cells.select(*scope, F.col("q").alias("x"), F.col("r").alias("y"))
+    nodes = cells.select(*scope, F.col("q").alias("nx"), F.col("r").alias("ny"), F.struct("q", "r").alias("node"))
+    steps = grid.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
+    told = near.nearest(asked, nodes, [*scope, "x", "y"], scope, steps, lambda side: side + 1, 4.0, steps > 0)
+    km = told.select(*scope, F.col("x").alias("q"), F.col("y").alias("r"), F.coalesce(F.col("gap") * (res_km * 0.75), F.lit(-1.0)).alias("nearest_fire_distance_km"))
+    return cells.join(km, [*scope, "q", "r"])

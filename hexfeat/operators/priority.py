@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The columns that ground truth replaces.
 OVERRIDDEN = ("active_fire_count", "mean_frp", "median_frp", "max_confidence", "fire_detected_binary")
 GROUND_TRUTH, SATELLITE = 1, 2
 
@@ -17,20 +18,22 @@ def no_override(fused: DataFrame) -> DataFrame:
 def priority_override(fused: DataFrame, truth: DataFrame | None, radius_km: float = 5.0, hours: int = 6, keys: tuple[str, ...] = ("grid_id", "window_ts")) -> DataFrame:
     """Each value of OVERRIDDEN from the last (by seq) ground truth row with one, within radius_km and hours of the cell.
 
-    The ball is planar in degrees (111 km each). Both sides are dealt to squares of that size, the truth to the nine
-    around it, so the range condition becomes an equi-join with an exact filter; one aggregate then picks the last
-    non-null value of each column. Truth without a position or time is not used.
+    The ball is planar in degrees (111 km each). Both sides are dealt to squares of that size and to stretches of time of
+    `hours`, the truth to the nine squares and three stretches around it, so both range conditions become an equi-join
+    with an exact filter, and a window only meets the truth of its own time; one aggregate then picks the last non-null
+    value of each column. Truth without a position or time is not used.
     """
     if truth is None:
         return no_override(fused)
     delta = radius_km / 111.0
     square = lambda c: F.floor(F.col(c) / delta).cast("long")
-    cells = fused.select(*keys, "latitude", "longitude").withColumns({"_y": square("latitude"), "_x": square("longitude")})
-    around = F.array(*[F.struct((square("lat") + dy).alias("y"), (square("lon") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    stretch = lambda c: F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c)) / (hours * 3600)).cast("long")
+    cells = fused.select(*keys, "latitude", "longitude").withColumns({"_y": square("latitude"), "_x": square("longitude"), "_t": stretch("window_ts")})
+    around = F.array(*[F.struct((square("lat") + dy).alias("y"), (square("lon") + dx).alias("x"), (stretch("timestamp") + dt).alias("t")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) for dt in (-1, 0, 1)])
     values = [c for c in OVERRIDDEN if c in truth.columns]
     told = truth.dropna(subset=["latitude", "longitude", "timestamp"]).select("seq", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "timestamp", *[F.col(c).alias(f"_t_{c}") for c in values])
-    told = told.withColumn("_s", F.explode(around)).select("*", F.col("_s.y").alias("_y"), F.col("_s.x").alias("_x")).drop("_s")
-    near = cells.join(told, ["_y", "_x"]).filter(
+    told = told.withColumn("_s", F.explode(around)).select("*", F.col("_s.y").alias("_y"), F.col("_s.x").alias("_x"), F.col("_s.t").alias("_t")).drop("_s")
+    near = cells.join(told, ["_y", "_x", "_t"]).filter(
         (F.sqrt(F.pow(F.col("latitude") - F.col("lat"), 2) + F.pow(F.col("longitude") - F.col("lon"), 2)) <= delta)
         & (F.abs(F.timestamp_diff("SECOND", F.col("timestamp"), F.col("window_ts"))) <= hours * 3600)
     )

@@ -15,6 +15,12 @@ def backfill_calendar(spark: SparkSession, start: str, end: str, hours: int = 6)
     return spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.make_dt_interval(hours=F.lit(hours)))).alias("window_ts"))
 
 
+def calendar_of(rows: DataFrame, time: str, hours: int = 6) -> DataFrame:
+    """window_ts from the first to the last time of rows, both included; no rows give no windows."""
+    ends = rows.agg(F.min(time).alias("first"), F.max(time).alias("last")).filter("first is not null")
+    return ends.select(F.explode(F.sequence("first", "last", F.make_dt_interval(hours=F.lit(hours)))).alias("window_ts"))
+
+
 def backfill_pending(calendar: DataFrame, written: DataFrame) -> DataFrame:
     """Windows of the calendar that are not written yet."""
     return calendar.join(written.select("window_ts").distinct(), "window_ts", "left_anti")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..functions.scalar import circular_mean
+from . import near
 
 #: Weights of the drought proxy: dryness of soil, heat, days without rain.
 DROUGHT = (0.40, 0.25, 0.35)
@@ -77,9 +79,52 @@ def forward_fill(df: DataFrame, columns: list[str], keys: list[str], order: str)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
+def asof_join(left: DataFrame, right: DataFrame, time: str, values: list[str], seconds: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """left with the time (as _time) and values of the newest row of right that is not later and less than so many seconds older.
+
+    Both sides are put behind each other, sorted, and the last known row of right is carried along; times may be as
+    irregular as they like. Time is cut into stretches of the tolerance, and right is also dealt to the stretch after its
+    own: so even without keys no task holds more than a stretch. Of rows of right at one time the largest counts.
+    """
+    at = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time)) / (seconds * 1_000_000)).cast("long")
+    hit = F.struct(F.col(time).alias("time"), *values)
+    hits = right.filter(F.col(time).isNotNull()).select(*on, time, hit.alias("_hit"), F.explode(F.array(at, at + 1)).alias("_stretch"))
+    rows = left.withColumn("_stretch", at)
+    both = rows.withColumn("_mine", F.lit(True)).unionByName(hits.withColumn("_mine", F.lit(False)), allowMissingColumns=True)
+    order = Window.partitionBy(*on, "_stretch").orderBy(time, "_mine", "_hit").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(order)).filter("_mine")
+    near = F.timestamp_diff("MICROSECOND", F.col("_hit.time"), F.col(time)) < seconds * 1_000_000
+    return found.withColumn("_hit", F.when(near, F.col("_hit"))).select(*left.columns, F.col("_hit.time").alias("_time"), *[F.col(f"_hit.{v}").alias(v) for v in values])
+
+
 def newest_cycle(times: DataFrame, cycles: DataFrame, tolerance_hours: int = 3) -> DataFrame:
-    """For each t the newest published cycle in (t - tolerance, t]; null if there is none. Cycles are hourly."""
-    hour = F.date_trunc("HOUR", F.col("t")).cast("timestamp_ntz")
-    tried = times.select("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tolerance_hours - 1)), lambda k: hour - F.make_dt_interval(hours=k))).alias("cycle"))
-    found = tried.join(cycles.select("cycle").distinct(), "cycle").groupBy("t").agg(F.max("cycle").alias("cycle"))
-    return times.select("t").join(found, "t", "left")
+    """For each t the newest published cycle up to t that is less than the tolerance older than t's full hour; null if there is none."""
+    found = asof_join(times.select(F.col("t").cast("timestamp_ntz").alias("t")), cycles.select(F.col("cycle").cast("timestamp_ntz").alias("t")), "t", [], (tolerance_hours + 1) * 3600)
+    least = F.date_trunc("HOUR", F.col("t")).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(tolerance_hours))
+    return found.select("t", F.when(F.col("_time") > least, F.col("_time")).alias("cycle"))
+
+
+FOCAL_FLAG, STALE_FLAG = 3, 4
+
+
+def focal_weather(cells: DataFrame, times: DataFrame, fields: DataFrame, background: DataFrame, step: float) -> DataFrame:
+    """One row for each t and cell: the newest cycle's gridded fields at the nearest node, else the background's row, else nothing.
+
+    cells: grid_id, latitude, longitude; times: t; fields: cycle, lat, lon, temperature_2m, relative_humidity_2m, u, v,
+    precipitation; background: grid_id, t, the weather columns and its flag. Nodes may differ by cycle: those of all
+    cycles are one grid, and a cycle without a value at the nearest node counts as failed there. Wind and vapour
+    pressure deficit are derived. Flag 3 marks the gridded fields, 4 a row that both sources lack.
+    """
+    picked = newest_cycle(times, fields.select("cycle").distinct())
+    nodes = near.nearest_grid_value(cells, fields.select("lat", "lon").distinct().withColumns({"node_lat": F.col("lat"), "node_lon": F.col("lon")}), ["node_lat", "node_lon"], step)
+    wanted = picked.crossJoin(cells.select("grid_id").join(nodes, "grid_id"))  # the result has each pair
+    u, v, t, rh = (F.col(c) for c in ("u", "v", "temperature_2m", "relative_humidity_2m"))
+    values = fields.select(
+        "cycle", F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), t, rh, scalar.wind_speed_kmh(u, v).alias("wind_speed_10m"), scalar.wind_direction(u, v).alias("wind_direction_10m"),
+        F.col("precipitation"), scalar.vapour_pressure_deficit(t, rh).alias("vpd"), F.lit(FOCAL_FLAG).alias("data_quality_flag"),
+    )
+    names = ["temperature_2m", "relative_humidity_2m", "wind_speed_10m", "wind_direction_10m", "precipitation", "vpd", "data_quality_flag"]
+    focal = wanted.join(values, ["cycle", "node_lat", "node_lon"]).select("t", "grid_id", "cycle", *names)
+    open_ = wanted.join(focal.select("t", "grid_id"), ["t", "grid_id"], "left_anti").select("t", "grid_id")
+    rest = open_.join(background.select("t", "grid_id", *names), ["t", "grid_id"], "left").select("t", "grid_id", F.lit(None).cast("timestamp_ntz").alias("cycle"), *names[:-1], F.coalesce("data_quality_flag", F.lit(STALE_FLAG)).alias("data_quality_flag"))
+    return focal.unionByName(rest)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import anomaly, bias, export, quality, reports
 from ..registry import Registry
-from ..sources import parsers
+from ..sources import backfill, io, parsers
+from ..sources.shared import new_path
 from . import fixtures as fx
 from .define import num, registrar, tidy, ts
 
@@ -204,9 +205,43 @@ def adjacency(spark, d):
     return export.adjacency(_raster(spark, d), ["region"])
 
 
-@query(f"select {ts('window_ts')} from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-02-05', interval 6 hour)) as window_ts)")
+_CALENDAR = "calendar as (select unnest(generate_series(min(window_ts), max(window_ts), interval 6 hour)) as window_ts from detections)"
+
+
+def _calendar(spark, d):
+    return reports.calendar_of(fx.detections(spark, d), "window_ts")
+
+
+@query("with " + fx.DETECTIONS + "," + _CALENDAR + f" select {ts('window_ts')} from calendar")
 def backfill_calendar(spark, d):
-    return tidy(reports.backfill_calendar(spark, "2024-01-01 00:00:00", "2024-02-05 00:00:00"))
+    return tidy(_calendar(spark, d))
+
+
+@query("with " + fx.DETECTIONS + "," + _CALENDAR + f""" select {ts('window_ts')}, case when window_ts in (select window_ts from detections where frp = (select max(frp) from detections)) then 'failed' else 'processed' end as status,
+ case when window_ts in (select window_ts from detections where frp = (select max(frp) from detections)) then 0 else (select count(*) from detections d where d.window_ts = c.window_ts) end as n from calendar c""")
+def backfill_ledger(spark, d):
+    """Windows written in one job; those that fail are found, the others stay. A window with the strongest detection fails here."""
+    rows = fx.detections(spark, d)
+    top = rows.agg(F.max("frp").alias("top"))  # one row
+    path = new_path(spark)
+
+    def build(windows):
+        inside = rows.join(F.broadcast(windows), "window_ts").crossJoin(F.broadcast(top))
+        checked = F.when(F.col("frp") == F.col("top"), F.raise_error(F.lit("a detection is out of range"))).otherwise(F.lit(1))
+        return inside.withColumn("one", checked).groupBy("window_ts").agg(F.sum("one").alias("n"))
+
+    backfill.backfill(spark, _calendar(spark, d), build, path)
+    written = io.read_features(spark, f"{path}/data").select("window_ts", "n")
+    return tidy(backfill.ledger(spark, path).join(written, "window_ts", "left").select("window_ts", "status", F.coalesce("n", F.lit(0)).alias("n")))
+
+
+@query(_U + " select count(*) as row_count, false as passed, 1 as issue_count, " + ", ".join(f"round(avg(({c} is null)::int), 9) as {c}" for c in _COLUMNS) + " from fused")
+def stats_summary(spark, d):
+    """Row count and null rates of a table, taken by the job that writes it."""
+    path = new_path(spark)
+    told = backfill.write_with_statistics(fx.fused(spark, d), lambda df: df.write.parquet(path), _COLUMNS, issues=["one"])
+    rates = [F.round(F.lit(told["column_null_rates"][c]), 9).alias(c) for c in _COLUMNS]
+    return spark.range(1).select(F.lit(told["row_count"]).cast("long").alias("row_count"), F.lit(told["passed"]).alias("passed"), F.lit(told["issue_count"]).alias("issue_count"), *rates)
 
 
 @query("with " + fx.DETECTIONS + f" select {ts('window_ts')} from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-02-05', interval 6 hour)) as window_ts) c where window_ts not in (select window_ts from detections where region = 'texas')", also="backfill_pending_all")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import gates
+from ..operators import gates, records
 from ..streaming import baselines, watch
 from ..streaming.replay import replay
 from . import detection_queries as dq
@@ -49,6 +49,29 @@ def watch_incidents(spark, d):
     return tidy(told.withColumn("scan_ts", F.col("scan_ts").cast("timestamp_ntz")))
 
 
+_FIRED = """fired as (select f.region, f.window_ts, list(distinct '4_'||q||'_'||r order by '4_'||q||'_'||r) as cells, any_value(v.max_frp) as max_frp from flagged f join verdicts v using (region, window_ts)
+ where gate_failed is null and g1 and (g2 or not (has_prior and n_persistent > 0)) and (g3 or v.max_frp >= 50) and g4 group by 1, 2)"""
+_TOLD = """told as (select *, lag(mode, 1, 'quiet') over (partition by region order by window_ts) as was from fsm where n > 0)"""
+
+
+@query("with recursive " + dq._WATCH.strip() + "," + _FIRED + "," + dq._FSM.replace("from scans", "from fired") + "," + _TOLD + """
+ select kind, substr(sha256(kind||'|'||region||'|'||strftime(window_ts, '%Y-%m-%d %H:%M:%S')||case when kind = 'emergency' then '|'||detail else '' end), 1, 32) as id, region, strftime(window_ts, '%Y-%m-%d %H:%M:%S') as at, detail, n_cells from (
+  select 'trigger' as kind, t.region, t.window_ts, mode as detail, len(cells)::int as n_cells from told t join fired using (region, window_ts)
+  union all select 'false_alarm', region, window_ts, gate_failed, n_candidates::int from verdicts where gate_failed is not null and n_candidates > 0
+  union all select 'emergency', t.region, t.window_ts, case mode when 'emergency' then 'activated' else 'deactivated' end, len(cells)::int from told t join fired using (region, window_ts) where (mode = 'emergency') != (was = 'emergency'))""")
+def watch_records(spark, d):
+    """Triggers, false alarms and emergencies that follow from the stream."""
+    rules = watch.Rules(seasonal=False, gap_hours=6, fire_frp=40.0, revert_minutes=None)
+    told = replay(watched_scans(spark, d), "scan_ts", lambda rows: watch.watch(rows, rules))
+    size = lambda c: F.size(c).cast("int").alias("n_cells")
+    parts = [
+        records.trigger_records(told).select(F.lit("trigger").alias("kind"), F.col("trigger_id").alias("id"), F.col("regions")[0].alias("region"), F.col("triggered_at").alias("at"), F.col("mode").alias("detail"), size("fire_cells")),
+        records.false_alarm_records(told).select(F.lit("false_alarm").alias("kind"), "id", "region", F.col("recorded_at").alias("at"), F.col("gate_failed").alias("detail"), F.col("summary.candidate_cells").cast("int").alias("n_cells")),
+        records.emergency_records(told).select(F.lit("emergency").alias("kind"), "id", "details.region", F.col("timestamp").alias("at"), F.col("event").alias("detail"), size("details.fire_cells")),
+    ]
+    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("at", F.col("at").cast("timestamp_ntz")))
+
+
 # One step of the recursion is one window of every feature.
 _RUN = f"""windows as materialized (select feature, case when month(window_ts) between 6 and 11 then 'fire_season' else 'off_season' end as season, window_ts, count(*) as k, avg(value) as m, var_pop(value) * count(*) as s,
   row_number() over (partition by feature, season order by window_ts) as i from long group by 1, 2, 3),

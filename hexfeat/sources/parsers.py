@@ -57,14 +57,3 @@ def static_terrain(df: DataFrame) -> DataFrame:
     """Synthetic terrain of a cell from its position; fuel and vegetation are unknown."""
     lat, lon = F.col("latitude"), F.col("longitude")
     return df.select("grid_id", F.bround(1000 * F.abs(F.sin(F.radians(lat))), 2).alias("elevation_m"), F.bround(30 * F.abs(F.cos(F.radians(lon))), 2).alias("slope_degrees"), F.bround(F.pmod(lon + 360, F.lit(360.0)), 2).alias("aspect_degrees"), F.lit(None).cast("smallint").alias("fuel_model_fbfm40"), F.lit(None).cast("smallint").alias("vegetation_type"), F.lit(0.0).alias("canopy_cover_pct"))
-
-
-def nearest_grid_value(points: DataFrame, nodes: DataFrame, values: list[str], step: float) -> DataFrame:
-    """Values of the grid node nearest to each point; nodes stand `step` degrees apart, so only the nine squares around a point are looked at."""
-    square = lambda c: F.floor(F.col(c) / step).cast("long")
-    around = F.explode(F.array(*[F.struct((square("latitude") + dy).alias("y"), (square("longitude") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])).alias("s")
-    asked = points.select("grid_id", "latitude", "longitude", around).select("grid_id", "latitude", "longitude", F.col("s.y").alias("_y"), F.col("s.x").alias("_x"))
-    near = asked.join(nodes.withColumns({"_y": F.floor(F.col("lat") / step).cast("long"), "_x": F.floor(F.col("lon") / step).cast("long")}), ["_y", "_x"])
-    gap = F.pow(F.col("latitude") - F.col("lat"), 2) + F.pow(F.col("longitude") - F.col("lon"), 2)
-    best = near.groupBy("grid_id").agg(F.min_by(F.struct(*values), F.struct(gap, "lat", "lon")).alias("v"))
-    return points.select("grid_id").join(best, "grid_id", "left").select("grid_id", *[F.col(f"v.{v}").alias(v) for v in values])

@@ -20,7 +20,7 @@ from ..operators.alerts import FIRE_MONTHS, REVERT_MINUTES
 from ..operators.gates import BYPASS_FRP, COLD_FRP, NEIGHBOURS, PERSISTENCE
 
 SCAN = "region string, scan_ms long, cells array<string>, max_frp double, reference array<string>, hot array<string>"
-_OUT = "region string, at_ms long, kind string, n_candidates long, n_spatial long, n_persistent long, max_frp double, gate_failed string, confirmed boolean, fire_cells array<string>, mode string, expanding int, still int, low int, revert_ms long"
+_OUT = "region string, at_ms long, kind string, n_candidates long, n_spatial long, n_persistent long, max_frp double, gate_failed string, confirmed boolean, fire_cells array<string>, mode string, expanding int, still int, low int, revert_ms long, event string"
 _STATE = "mode string, prior string, expanding int, still int, low int, consecutive int, last_ms long, had_cells boolean, revert_ms long, revert_mode string"
 _AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))
 
@@ -122,12 +122,12 @@ class Watch(StatefulProcessor):
             state.updateValue((cell,), (True,))
 
     def _revert(self, region: str, now: Incident) -> tuple:
-        at = now.revert_ms
+        at, was = now.revert_ms, now.mode
         now.mode, now.revert_ms, now.revert_mode = now.revert_mode or "quiet", None, None
-        return (region, at, "revert", None, None, None, None, None, None, [], now.mode, now.expanding, now.still, now.low, None)
+        return (region, at, "revert", None, None, None, None, None, None, [], now.mode, now.expanding, now.still, now.low, None, _event(was, now.mode))
 
     def _scan(self, region: str, row, now: Incident, before: set[str], active: set[str], clock_ms: int) -> tuple[tuple, set[str], set[str]]:
-        rules, cells = self.rules, set(row.cells) if row.cells is not None else set()
+        rules, cells, was = self.rules, set(row.cells) if row.cells is not None else set(), now.mode
         frp = 0.0 if pd.isna(row.max_frp) else float(row.max_frp)
         if rules.seasonal and now.mode == "quiet" and FIRE_MONTHS[0] <= pd.Timestamp(row.scan_ms, unit="ms").month <= FIRE_MONTHS[1]:
             now.mode = "active"
@@ -148,7 +148,7 @@ class Watch(StatefulProcessor):
         strong = failed is None if rules.fire_frp is None else bool(cells) and frp >= rules.fire_frp
         now.consecutive = now.consecutive + 1 if strong else 0
         now.last_ms, now.had_cells = row.scan_ms, bool(cells)
-        out = (region, row.scan_ms, "scan", len(cells), n_spatial, n_persistent, frp, failed, failed is None, sorted(fires), now.mode, now.expanding, now.still, now.low, now.revert_ms)
+        out = (region, row.scan_ms, "scan", len(cells), n_spatial, n_persistent, frp, failed, failed is None, sorted(fires), now.mode, now.expanding, now.still, now.low, now.revert_ms, _event(was, now.mode))
         return out, cells, active
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
@@ -178,6 +178,10 @@ class Watch(StatefulProcessor):
         yield _frame(out)
 
 
+def _event(was: str, now: str) -> str | None:
+    return None if (was == "emergency") == (now == "emergency") else "activated" if now == "emergency" else "deactivated"
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     kinds = {"n_candidates": "Int64", "n_spatial": "Int64", "n_persistent": "Int64", "revert_ms": "Int64", "confirmed": "boolean"}
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")]).astype(kinds)
@@ -189,7 +193,7 @@ def with_state_store(spark: SparkSession) -> None:
 
 
 def watch(scans: DataFrame, rules: Rules = Rules(), late: str = "0 seconds") -> DataFrame:
-    """A row for each scan of a region, and one for each false alarm that is taken back (kind revert).
+    """A row for each scan of a region, and one for each false alarm that is taken back (kind revert); event tells of emergencies.
 
     scans: region, scan_ts, cells (array of ids), max_frp, reference (cells of the confirming feed; empty: it is down) and
     hot (cells near an industrial source). Null arrays are empty ones, a null max_frp is 0; scans without a region are one
@@ -200,7 +204,7 @@ def watch(scans: DataFrame, rules: Rules = Rules(), late: str = "0 seconds") ->
     rows = scans.withWatermark("scan_ts", late).select("region", F.unix_millis(F.col("scan_ts").cast("timestamp")).alias("scan_ms"), "cells", F.col("max_frp").cast("double").alias("max_frp"), "reference", "hot", "scan_ts")
     told = rows.groupBy("region").transformWithStateInPandas(Watch(rules), _OUT, "Append", rules.clock)
     at = lambda c: F.timestamp_millis(F.col(c))
-    return told.select("region", at("at_ms").alias("at"), "kind", "n_candidates", "n_spatial", "n_persistent", "max_frp", "gate_failed", "confirmed", "fire_cells", "mode", "expanding", "still", "low", at("revert_ms").alias("revert_at"))
+    return told.select("region", at("at_ms").alias("at"), "kind", "n_candidates", "n_spatial", "n_persistent", "max_frp", "gate_failed", "confirmed", "fire_cells", "mode", "expanding", "still", "low", at("revert_ms").alias("revert_at"), "event")
 
 
 def incidents(scans: DataFrame) -> DataFrame:
