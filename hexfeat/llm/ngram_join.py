@@ -17,9 +17,10 @@ The prefixes produce all candidates; the work on them is laid out so that nothin
    those that make up less than half of the matches it needs: two classes that share enough follow one hub together.
 4. A class is compared with each of its hubs once, in whole numbers on the full sets: what it lacks of the hub and what it
    has besides. Every member is one row, however large the group.
-5. Members that are linked with their hub are one component. For the others the same is done again on the differences
-   from the hub: two sets differ by the symmetric difference of their differences, so shingles of the family no
-   longer count, and only members that share enough of their deviations can be linked. It ends when no member can be.
+5. Members that are linked with their hub are one component. The others are measured from the centre of their group, the
+   set that holds what most members hold: two sets differ by the symmetric difference of their differences from it, so
+   shingles of the family no longer count, and members have to show a rare difference both before they are compared, in
+   cells of bounded size. That is done once, whatever the size of the family.
 
 Shingles are 64-bit hashes of their words; the digest of a set has 128 bits.
 """
@@ -27,7 +28,6 @@ Shingles are 64-bit hashes of their words; the digest of a set has 128 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -355,45 +355,121 @@ def _linked(items: DataFrame) -> DataFrame:
     return items.withColumn("d", differing).withColumn("linked", 37 * differing <= 3 * (F.col("n") + F.col("n_g")))
 
 
-def within(items: DataFrame) -> DataFrame:
-    """From members a beside the hub of their group g, those beside the hubs h of smaller groups, of members that can still be linked.
+def _able(items: DataFrame) -> DataFrame:
+    """g, a, n, d, settled, lacks and shares (extras that others of g have, too) of the members that can have links still.
 
-    Members that are `settled` are in one component with the hub, so a pair counts only if one of the two, u, is not; u
-    is then not linked with the hub. Such a pair (u, b) is linked if and only if the differences D from the hub share
-    (|D_u| + |D_b| - 3/37 (n_u + n_b)) / 2 shingles. With over = 37 |D_u| - 3 (n_u + n_g) that is at least over / 40, and
-    17/37 |D_b| + over / 74. What they can share of D are shingles that they lack and extras that other members have,
-    and what they share in all is at most what u has of the hub and such extras.
+    Members linked with their hub are settled: one component. Another is able if what it has of the hub and the extras
+    that it shares reach the least overlap with any partner, and its differences that can be shared the least of those.
     """
-    members = items.withColumn("settled", F.col("linked") | (F.col("joined") & F.col("hub_joined")))
-    mixed = lambda rows, *more: rows.agg(F.count("*").alias("of"), F.min("settled").alias("all"), *more).filter("of > 1 and not all")
-    groups = mixed(members.groupBy("g"), F.min("n").alias("least")).select("g", "least")
+    members = items.withColumn("settled", F.col("linked"))
+    groups = members.groupBy("g").agg(F.count("*").alias("of"), F.min("settled").alias("all"), F.min("n").alias("least")).filter("of > 1 and not all").select("g", "least")
     members = members.join(groups, "g")
     extras = members.select("g", "a", F.explode("extras").alias("token"))
     several = extras.groupBy("g", "token").agg(F.count("*").alias("of")).filter("of > 1").select("g", "token")
     shares = extras.join(several, ["g", "token"]).groupBy("g", "a").agg(F.collect_list("token").alias("shares"))
     members = members.join(shares, ["g", "a"], "left").withColumn("shares", F.coalesce("shares", F.array().cast("array<long>")))
     partner = F.greatest(_needed(F.col("n")), F.col("least"))
-    able = PERCENT * (F.col("n") + partner) <= (100 + PERCENT) * (F.col("n_g") - F.size("lacks") + F.size("shares"))
-    over, own = 37 * F.col("d") - 3 * (F.col("n") + F.col("n_g")), F.size("lacks") + F.size("shares")
-    members = members.withColumns({"over": over, "own": own}).filter(F.col("settled") | (able & (40 * F.col("own") >= F.col("over"))))
-    members = common.stored(members.drop("least"))
-    open_ = mixed(members.groupBy("g"), F.min(F.when(~F.col("settled"), F.col("over"))).alias("over_u")).select("g", "over_u")
-    open_ = members.join(open_, "g").filter(~F.col("settled") | (74 * F.col("own") >= 34 * F.col("d") + F.col("over_u")))
-    tokens = open_.select("g", "a", "n", "n_g", "d", "settled", F.explode(F.concat("lacks", "shares")).alias("token"))
-    counts = mixed(tokens.groupBy("g", "token")).select("g", "token", "of")
-    own = F.sort_array(F.collect_list(F.struct("of", "token"))).alias("own")
-    ordered = tokens.join(counts, ["g", "token"]).groupBy("g", "a", "n", "n_g", "d", "settled").agg(own)
-    needed = F.greatest(F.when(F.col("settled"), F.ceil(17 * F.col("d") / 37)).otherwise(F.ceil((37 * F.col("d") - 3 * (F.col("n") + F.col("n_g"))) / 40)), F.lit(1))
-    length = F.greatest(F.size("own") - needed + 1, F.lit(0)).cast("int")
-    prefix = ordered.select("g", "a", "d", "settled", F.explode(F.slice("own", F.lit(1), length)).alias("t")).select("g", "a", "d", "settled", "t.token")
-    tops = mixed(prefix.groupBy("g", "token"), F.min(F.struct("d", "a")).alias("top")).select("g", "token", "of", F.col("top.a").alias("h"))
-    follows = prefix.join(tops, ["g", "token"]).filter("a <> h").groupBy("g", "a", "h").agg((F.max("of") > 2).alias("others"))
-    hubs = members.select("g", F.col("a").alias("h"), F.col("n").alias("n_h"), F.col("lacks").alias("lacks_h"), F.col("extras").alias("extras_h"), F.col("joined").alias("joined_h"))
-    both = members.select("g", "a", "n", "joined", "lacks", "extras").join(follows, ["g", "a"]).join(hubs, ["g", "h"])
-    lacks = F.concat(F.array_except("extras_h", "extras"), F.array_except("lacks", "lacks_h"))
-    more = F.concat(F.array_except("extras", "extras_h"), F.array_except("lacks_h", "lacks"))
-    out = both.select(F.concat("g", F.array("h")).alias("g"), "h", "a", "n", F.col("n_h").alias("n_g"), lacks.alias("lacks"), more.alias("extras"), "joined", F.col("joined_h").alias("hub_joined"), "others")
-    return _linked(out).withColumn("joined", F.col("joined") | (F.col("linked") & F.col("hub_joined")))
+    reached = PERCENT * (F.col("n") + partner) <= (100 + PERCENT) * (F.col("n_g") - F.size("lacks") + F.size("shares"))
+    over = 37 * F.col("d") - 3 * (F.col("n") + F.col("n_g"))
+    kept = members.filter(F.col("settled") | (reached & (40 * (F.size("lacks") + F.size("shares")) >= over)))
+    return kept.select("g", "a", "n", "d", "settled", "lacks", "shares")
+
+
+def centred(members: DataFrame) -> DataFrame:
+    """g, a, n, settled, margin and shared of members, measured from the centre of their group.
+
+    The centre is the set that holds what most members hold: differences from the hub that more than half of a group have
+    are turned round, so they count for those that don't have them. The distance of two members is the symmetric difference
+    of their differences from the centre, as it is of those from the hub, but these are as few as can be. margin is
+    3 n - 37 times their number: two members whose margins sum to 0 or more are linked, others have to share
+    -(sum) / 74 of them. shared are those that others have as well, as (members that have it, token), rarest first.
+    """
+    size = members.groupBy("g").agg(F.count("*").alias("group_size"), F.min("settled").alias("all")).filter("group_size > 1 and not all").select("g", "group_size")
+    members = members.join(size, "g")
+    tokens = members.select("g", "a", "group_size", F.explode(F.concat("lacks", "shares")).alias("token"))
+    counts = tokens.groupBy("g", "token", "group_size").agg(F.count("*").alias("of"))
+    most = 2 * F.col("of") > F.col("group_size")
+    turned = counts.filter(most).groupBy("g").agg(F.collect_list(F.struct((F.col("group_size") - F.col("of")).alias("of"), "token")).alias("turned"))
+    told = tokens.join(counts.filter("of > 1").select("g", "token", "of"), ["g", "token"])
+    own = told.groupBy("g", "a").agg(F.collect_list(F.when(~most, F.struct("of", "token"))).alias("minor"), F.collect_list(F.when(most, F.col("token"))).alias("mine"))
+    none = F.array().cast("array<struct<of:bigint,token:bigint>>")
+    whole = members.drop("lacks", "shares").join(own, ["g", "a"], "left").join(turned, "g", "left").withColumns({"minor": F.coalesce("minor", none), "mine": F.coalesce("mine", F.array().cast("array<long>")), "turned": F.coalesce("turned", none)})
+    lacking = F.filter("turned", lambda x: ~F.array_contains("mine", x["token"]) & (x["of"] > 1))
+    distance = F.col("d") + F.size("turned") - 2 * F.size("mine")
+    return whole.select("g", "a", "n", "settled", (3 * F.col("n") - 37 * distance).cast("long").alias("margin"), F.sort_array(F.concat("minor", lacking)).alias("shared"))
+
+
+_ASKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _meet(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between the asking and the asked rows of a cell, as many as join their components."""
+    asks, ids = rows.column("asks").to_numpy(zero_copy_only=False), rows.column("a").to_numpy()
+    n, margin = rows.column("n").to_numpy(), rows.column("margin").to_numpy()
+    lists = rows.column("tokens").combine_chunks()
+    lengths = lists.value_lengths().to_numpy()
+    flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lengths)
+    distance = (3 * n.astype(np.int64) - margin) // 37
+    order = np.argsort(flat, kind="stable")
+    flat_sorted, row_sorted = flat[order], row[order]
+    ends, top, out = np.r_[0, np.cumsum(lengths)], {}, []
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    asked = ~asks
+    for u in np.flatnonzero(asks):
+        own = flat[ends[u] : ends[u + 1]]
+        low, high = np.searchsorted(flat_sorted, own, "left"), np.searchsorted(flat_sorted, own, "right")
+        met = np.concatenate([row_sorted[i:j] for i, j in zip(low, high, strict=True)]) if len(own) else np.zeros(0, np.int64)
+        overlap = np.bincount(met, minlength=len(ids))
+        linked = asked & (37 * (distance[u] + distance - 2 * overlap) <= 3 * (n[u].astype(np.int64) + n)) & (ids != ids[u])
+        for v in np.flatnonzero(linked):
+            a, b = find(int(ids[u])), find(int(ids[v]))
+            if a != b:
+                top[a] = b
+                out.append((int(ids[u]), int(ids[v])))
+    columns = zip(*out, strict=True) if out else ((), ())
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ASKED)
+
+
+#: Rows of a cell that ask, and that are asked.
+CELL = 128
+
+
+def within(items: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one group that aren't both linked with its hub, enough to join their components.
+
+    Members are measured from the centre of their group (`centred`). Around the member b with the greatest margin, all
+    whose margins sum to 0 or more with its own are linked with it. If a settled member is among those, they are settled;
+    whoever isn't is open. An open member shows a prefix of its shared differences, rarest first, as long as its least
+    overlap with any member demands, the others one as long as their least overlap with an open one does: two that are
+    linked show one token both. Members that show a token meet in cells of bounded size, the open ones asking, and are
+    compared there as sets. Unlinked members, as long as what they share is common to most of the family, meet nowhere,
+    and nothing is done twice: the number of steps doesn't depend on the family.
+    """
+    table = common.stored(centred(common.stored(_able(items))))
+    best = table.groupBy("g").agg(F.max(F.struct("margin", "a")).alias("best"))
+    near = table.join(best, "g").withColumn("beside", F.col("margin") + F.col("best.margin") >= 0)
+    homes = near.filter((F.col("beside") | (F.col("a") == F.col("best.a"))) & F.col("settled")).select("g").distinct().withColumn("home", F.lit(True))
+    placed = near.join(homes, "g", "left").withColumn("open", ~F.col("settled") & ~(F.coalesce("home", F.lit(False)) & (F.col("beside") | (F.col("a") == F.col("best.a")))))
+    placed = common.stored(placed)
+    certain = placed.filter("beside and a <> best.a").select("a", F.col("best.a").alias("b"))
+    asking = placed.filter("open").groupBy("g").agg(F.max("margin").alias("most"))
+    able = placed.join(asking, "g").select("g", "a", "n", "margin", "open", F.transform("shared", lambda x: x["token"]).alias("tokens"), F.greatest(F.ceil((-F.col("margin") - F.when(F.col("open"), F.col("best.margin")).otherwise(F.col("most"))) / 74), F.lit(1)).cast("int").alias("needed")).filter("size(tokens) >= needed")
+    shown = able.select("g", "a", "open", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("needed") + 1)).alias("token"))
+    blocks = shown.groupBy("g", "token").agg(F.count("*").alias("of"), F.count_if("open").alias("asking")).filter("of > 1 and asking > 0")
+    parts = blocks.select("g", "token", *[F.ceil(F.col(c) / CELL).cast("int").alias(f"{c}_parts") for c in ("of", "asking")])
+    met = shown.join(parts, ["g", "token"])
+    place = lambda of: F.pmod(F.xxhash64("a"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asks = met.filter("open").select("g", "token", "a", F.lit(True).alias("asks"), place("asking_parts").alias("i"), every("of_parts").alias("j"))
+    asked = met.select("g", "token", "a", F.lit(False).alias("asks"), place("of_parts").alias("j"), every("asking_parts").alias("i")).select("g", "token", "a", "asks", "i", "j")
+    sides = asks.unionByName(asked).join(able.select("g", "a", "n", "margin", "tokens"), ["g", "a"])
+    links = sides.groupBy("g", "token", "i", "j").applyInArrow(_meet, "a long, b long")
+    return certain.unionByName(links)
 
 
 def links(rows: DataFrame, classes: DataFrame, order, ids) -> DataFrame:
@@ -401,13 +477,8 @@ def links(rows: DataFrame, classes: DataFrame, order, ids) -> DataFrame:
     able = common.stored(candidates(prefixes(rows, order, ids)))
     texts = common.stored(texts_of(rows, able.join(classes, "id")))
     able = common.stored(shown(longer_prefixes(texts, order)))
-    first = _linked(beside_hubs(texts, common.stored(followed(able))))
-    items = common.stored(first.select(F.array("g").alias("g"), F.col("g").alias("h"), "a", "n", "n_g", "lacks", "extras", F.col("linked").alias("joined"), F.lit(True).alias("hub_joined"), F.lit(True).alias("others"), "d", "linked"))
-    edges = []
-    while not items.isEmpty():  # every group leaves its hub behind, so this ends
-        edges.append(items.filter("linked").select("a", F.col("h").alias("b")))
-        items = common.stored(within(items.filter("others")))
-    return reduce(DataFrame.unionByName, edges, classes.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false"))
+    items = common.stored(_linked(beside_hubs(texts, common.stored(followed(able)))))
+    return items.filter("linked").select("a", F.col("g").alias("b")).unionByName(within(items))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,44 @@ def test_families_around_the_threshold(spark, seed):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def family(rng, n, places=40, edits=5, words=200, fresh=True):
+    """Near copies of one text; each has other words at some of a few places, new ones or one of three."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    spots = rng.sample(range(words), places)
+    out = []
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(spots, edits):
+            copy[at] = f"x{rng.randrange(10**9)}" if fresh else f"y{at}v{rng.randrange(3)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_rows_are_linear_in_an_unlinked_family(spark, monkeypatch):
+    """Four and sixteen times the family: as many tables, and no more rows for each document."""
+    told = []
+    plain = ngram_join.common.stored
+    monkeypatch.setattr(ngram_join.common, "stored", lambda df: tables.append(plain(df)) or tables[-1])
+    for n in (60, 240, 960):
+        tables = []
+        rows = list(enumerate(family(random.Random(n), n)))
+        got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert len({r["component_id"] for r in got}) == n  # none is linked
+        told.append((len(tables), sum(t.count() for t in tables) / n))
+    assert len({t for t, _ in told}) == 1 and told[2][1] <= 1.2 * told[0][1]
+
+
+@pytest.mark.parametrize(("edits", "fresh"), [(1, True), (2, True), (3, False), (4, False), (2, False)])
+def test_families_with_links_besides_their_hub(spark, edits, fresh):
+    """Members that aren't linked with the centre but with each other, by differences that few share or many."""
+    rng = random.Random(10 * edits + fresh)
+    texts = family(rng, 120, 30, edits, 90, fresh) + family(rng, 40, 12, edits + 2, 60, False) + family(rng, 5, 10, 1, 30)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_prefix_lemma():
     """Linked sets share as many shingles of their l-prefixes as the level says, and more than both can do without."""
     rng = np.random.default_rng(3)
