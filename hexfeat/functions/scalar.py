@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 # Fixed values of the data model: text confidences, compass points, fuel codes by tier, months of the fire season.
+# Fixed values of the data model: confidence words, compass points, fuel tiers, the box of the national forecasts.
 CONFIDENCES = {"l": 30.0, "low": 30.0, "n": 60.0, "nominal": 60.0, "h": 90.0, "high": 90.0}
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 FUEL_TIERS = {"non_burnable": (91, 92, 93, 98, 99), "grass": range(101, 110), "grass_shrub": range(121, 125), "shrub": range(141, 150), "timber_understory": range(161, 166), "timber_litter": range(181, 190), "slash_blowdown": range(201, 205)}
+FORECAST_BOX = ((24.5, 49.5), (-125.0, -66.5))
 FIRE_MONTHS = (6, 7, 8, 9, 10, 11)
 
 
@@ -120,3 +122,9 @@ def path_name(feature: Column) -> Column:
 def window_start(time: Column, hours: int = 6) -> Column:
     """Start of the window of so many hours (a divisor of 24) that holds a timestamp without time zone."""
     return F.to_date(time).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.floor(F.hour(time) / hours) * hours).cast("int"))
+
+
+def has_forecast(lat: Column, lon: Column) -> Column:
+    """Whether the national forecasts cover a point; a missing coordinate is not covered."""
+    (south, north), (west, east) = FORECAST_BOX
+    return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import clean
@@ -73,6 +73,12 @@ def slice_null_rates(df: DataFrame, columns: list[str], dimensions: dict[str, st
     return out.filter(F.col("row_count") >= MIN_ROWS).select("slice_dimension", "slice_value", F.explode("rates").alias("x")).select("slice_dimension", "slice_value", "x.*")
 
 
+def slice_values(df: DataFrame, dimensions: dict[str, str]) -> DataFrame:
+    """slice_dimension, slice_value and its position among the values of its dimension, which are sorted as text."""
+    values = df.select(_slices(dimensions).alias("s")).select("s.*").filter("slice_value is not null").distinct()
+    return values.withColumn("position", F.row_number().over(Window.partitionBy("slice_dimension").orderBy("slice_value")))
+
+
 def findings(slices: DataFrame, divergences: DataFrame) -> DataFrame:
     """One sentence for each biased slice and feature, or a single one if there is none."""
     shifted = divergences.filter(F.col("kl") > MAX_KL).select("slice_dimension", "slice_value", F.format_string("%s = %s: %s is distributed differently from the whole (KL %.3f, limit %.1f)", "slice_dimension", "slice_value", "feature", "kl", F.lit(MAX_KL)).alias("finding"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grid
 from .gates import neighbours
 
-#: Fuel codes that don't burn; 93 (farmland) is left out on purpose.
+# Fuel codes that don't burn; 93 (farmland) is left out on purpose.
 NON_BURNABLE = (91, 92, 98, 99)
 
 
@@ -47,3 +47,9 @@ def prune_cells(cells: DataFrame, fuel: DataFrame, level: int) -> DataFrame:
     around = neighbours(own, [], level, itself=True).join(fuel.select("grid_id", "fuel"), "grid_id").filter(F.col("fuel").isNotNull())
     bare = around.groupBy("source").agg(F.bool_and(F.col("fuel").isin(*NON_BURNABLE)).alias("bare")).filter("bare").select(F.col("source").alias("grid_id"))
     return cells.join(bare, "grid_id", "left_anti")
+
+
+def last_of(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The last `most` rows of each key in order."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")

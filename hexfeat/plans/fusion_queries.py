@@ -96,9 +96,10 @@ def _panel(spark, d):
     return fx.cells(spark, d).crossJoin(F.broadcast(windows))  # the calendar: four windows a day
 
 
-@query("with " + fx.FUSED + f" select grid_id, {ts('window_ts')}, active_fire_count, {num('elevation_m', 'slope_degrees')} from fused")
+@query("with " + fx.FUSED + f" select grid_id, {ts('window_ts')}, active_fire_count, {num('mean_frp').replace('as mean_frp', 'as elevation_m')}, {num('slope_degrees')} from fused")
 def fuse_left_join(spark, d):
-    f = fx.fire_features(spark, d).withColumn("slope_degrees", F.lit(None).cast("double")).drop("slope_degrees")
+    """Both sides have elevation_m: the left one stays."""
+    f = fx.fire_features(spark, d).withColumn("elevation_m", F.col("mean_frp"))
     return tidy(fuse.safe_left_join(f, fx.static_features(spark, d), ["grid_id"]).select("grid_id", "window_ts", "active_fire_count", "elevation_m", "slope_degrees"))
 
 

@@ -142,7 +142,13 @@ def slice_null_rates(spark, d):
     return bias.slice_null_rates(_sliced(spark, d), _COLUMNS, _ALL_DIMENSIONS)
 
 
-@query()
+_ONE = "(values (0)) v(i)"
+_FINDINGS = """shifted as (select slice_dimension, slice_value, printf('%s = %s: %s is distributed differently from the whole (KL %.3f, limit %.1f)', slice_dimension, slice_value, feature, round(kl, 3), 0.1::double) as finding from kl where kl > 0.1),
+uneven as (select slice_dimension, slice_value, printf('%s = %s: fires are detected at a rate of %.3f, %.3f from the overall rate (limit %.2f)', slice_dimension, slice_value, round(fire_rate, 3), round(fire_rate_disparity, 3), 0.05::double) as finding from slices where fire_rate_biased),
+found as (select * from shifted union all select * from uneven)"""
+
+
+@query("with kl as (" + ORACLES["kl_divergence_all"] + "), slices as (" + ORACLES["bias_slices_all"] + ")," + _FINDINGS + " select * from found union all select '', '', 'no slice differs beyond the limits' from " + _ONE + " where not exists (select 1 from found)")
 def findings_text(spark, d):
     s = _sliced(spark, d)
     return bias.findings(bias.bias_slices(s, "strong", _ALL_DIMENSIONS), bias.kl_divergence(s, _COLUMNS, _ALL_DIMENSIONS))
@@ -177,7 +183,8 @@ def report_context(spark, d):
     return tidy(_context(spark, d))
 
 
-@query()
+@query("with c as (" + ORACLES["report_context"] + """) select printf(E'Weather: %.1f C, %.0f %% humidity, wind %.1f km/h, VPD %.2f kPa\nFires: %d detections, largest mean FRP %.1f MW\nTerrain: slope %.1f degrees, canopy %.1f %%',
+ round(temperature_2m, 1), round(relative_humidity_2m, 0), round(wind_speed_10m, 1), round(vpd, 2), active_fire_cells, round(max_frp_mw, 1), round(average_slope_degrees, 1), round(canopy_cover_pct, 1)) as context from c""")
 def report_text(spark, d):
     return reports.context_text(_context(spark, d))
 
