@@ -66,24 +66,32 @@ def evaluate(scans: DataFrame, cells: DataFrame, previous: DataFrame, reference:
     strong fire goes on; with one that shares no cell, the scan is pending until enough scans in a row had fire; a strong
     fire needs no reference; without sources the last gate passes all. A null frp counts as 0.
     """
-    at = cells.groupBy(*keys, "grid_id").agg(F.coalesce(F.max("frp"), F.lit(0.0)).alias("frp"))
-    ids = at.select(*keys, "grid_id")
+    own = cells.groupBy(*keys, "grid_id").agg(F.coalesce(F.max("frp"), F.lit(0.0)).alias("frp"))
+    ids = own.select(*keys, "grid_id")
     lat, lon = grid.centroid(*grid.coordinates(F.col("grid_id")), level)
     passed = {"g1": gate1_spatial(ids, keys, level), "g2": gate2_temporal(ids, previous, keys), "g3": gate3_cross_reference(ids, reference, keys, level)}
-    for name, kept in passed.items():
-        at = at.join(kept.select(*keys, "grid_id", F.lit(True).alias(name)), [*keys, "grid_id"], "left")
+    flagged = own.withColumns({g: F.lit(False) for g in passed})
+    for name, kept in passed.items():  # all that passed are cells of own: one aggregate takes the place of three joins
+        flagged = flagged.unionByName(kept.select(*keys, "grid_id", F.lit(None).cast("double").alias("frp"), *[F.lit(g == name).alias(g) for g in passed]))
+    at = flagged.groupBy(*keys, "grid_id").agg(F.max("frp").alias("frp"), *[F.bool_or(g).alias(g) for g in passed])
     if sources is None:
         at = at.withColumn("g4", F.lit(True))
     else:
         places = ids.select("grid_id").distinct().select("grid_id", lat.alias("latitude"), lon.alias("longitude"))
-        at = at.join(gate4_industrial(places, sources).select("grid_id", F.lit(True).alias("g4")), "grid_id", "left")
-    at = at.fillna(False, ["g1", "g2", "g3", "g4"])
-    first = at.groupBy(*keys).agg(F.count("*").alias("n_candidates"), F.count_if("g1").alias("n_spatial"), F.count_if(F.col("g1") & F.col("g2")).alias("n_persistent"), F.max("frp").alias("max_frp"))
-    told = scans.join(first, keys, "left").fillna(0, ["n_candidates", "n_spatial", "n_persistent", "max_frp"])
-    told = told.withColumns({"_persist": F.col("has_prior") & (F.col("n_persistent") > 0), "_refer": F.col("max_frp") < BYPASS_FRP})
-    left = at.filter("g1").join(told.select(*keys, "_persist", "_refer"), keys).filter("(g2 or not _persist) and (g3 or not _refer)")
-    second = left.groupBy(*keys).agg(F.count("*").alias("n_referred"), F.count_if("g4").alias("n_fire_cells"))
-    told = told.join(second, keys, "left").fillna(0, ["n_referred", "n_fire_cells"])
+        at = at.join(gate4_industrial(places, sources).select("grid_id", F.lit(True).alias("g4")), "grid_id", "left").fillna(False, ["g4"])
+    # The cells of a scan are bounded by the grid of its key, so they are judged together, in one row.
+    cell = F.struct("grid_id", "frp", "g1", "g2", "g3", "g4")
+    found = at.groupBy(*keys).agg(F.collect_list(cell).alias("_cells"))
+    told = scans.join(found, keys, "left")
+    count = lambda c, holds: F.coalesce(F.size(F.filter(c, holds)).cast("long"), F.lit(0).cast("long"))
+    told = told.withColumn("_cells", F.coalesce("_cells", F.array().cast(found.schema["_cells"].dataType)))
+    told = told.withColumns({
+        "n_candidates": F.size("_cells").cast("long"), "n_spatial": count("_cells", lambda x: x["g1"]), "n_persistent": count("_cells", lambda x: x["g1"] & x["g2"]),
+        "max_frp": F.coalesce(F.array_max(F.transform("_cells", lambda x: x["frp"])), F.lit(0.0)),
+    })
+    persist, refer = F.col("has_prior") & (F.col("n_persistent") > 0), F.col("max_frp") < BYPASS_FRP
+    told = told.withColumn("_left", F.filter("_cells", lambda x: x["g1"] & (x["g2"] | ~persist) & (x["g3"] | ~refer)))
+    told = told.withColumns({"n_referred": F.size("_left"), "_fires": F.filter("_left", lambda x: x["g4"])}).withColumn("n_fire_cells", F.size("_fires").cast("long"))
     failed = (
         F.when(F.col("n_candidates") == 0, "no_detections")
         .when(F.col("n_spatial") == 0, "G1")
@@ -92,9 +100,9 @@ def evaluate(scans: DataFrame, cells: DataFrame, previous: DataFrame, reference:
         .when(F.col("n_referred") == 0, "G3")
         .when(F.col("n_fire_cells") == 0, "G4")
     )
-    verdicts = told.withColumn("gate_failed", failed).withColumn("confirmed", F.col("gate_failed").isNull())
-    verdicts = verdicts.select(*keys, "n_candidates", "n_spatial", "n_persistent", "max_frp", "gate_failed", "confirmed", F.when(F.col("confirmed"), F.col("n_fire_cells")).otherwise(0).alias("n_fire_cells"))
-    return verdicts, left.filter("g4").join(verdicts.filter("confirmed"), keys, "left_semi").select(*keys, "grid_id")
+    judged = told.withColumn("gate_failed", failed).withColumn("confirmed", F.col("gate_failed").isNull())
+    verdicts = judged.select(*keys, "n_candidates", "n_spatial", "n_persistent", "max_frp", "gate_failed", "confirmed", F.when(F.col("confirmed"), F.col("n_fire_cells")).otherwise(0).alias("n_fire_cells"))
+    return verdicts, judged.filter("confirmed").select(*keys, F.explode(F.transform("_fires", lambda x: x["grid_id"])).alias("grid_id"))
 
 
 def run_lengths(df: DataFrame, keys: list[str], order: str, holds: Column, name: str) -> DataFrame:

@@ -192,16 +192,17 @@ def with_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def watch(scans: DataFrame, rules: Rules = Rules(), late: str = "0 seconds") -> DataFrame:
+def watch(scans: DataFrame, rules: Rules = Rules(), late: str | None = "0 seconds") -> DataFrame:
     """A row for each scan of a region, and one for each false alarm that is taken back (kind revert); event tells of emergencies.
 
     scans: region, scan_ts, cells (array of ids), max_frp, reference (cells of the confirming feed; empty: it is down) and
     hot (cells near an industrial source). Null arrays are empty ones, a null max_frp is 0; scans without a region are one
     region of their own. Under EventTime a revert comes when the watermark, which follows the scans of all regions,
     passes its end or the region's next scan does; under ProcessingTime by the clock of the cluster, without any input.
+    late None keeps the watermark that scans has already.
     """
     with_state_store(scans.sparkSession)
-    rows = scans.withWatermark("scan_ts", late).select("region", F.unix_millis(F.col("scan_ts").cast("timestamp")).alias("scan_ms"), "cells", F.col("max_frp").cast("double").alias("max_frp"), "reference", "hot", "scan_ts")
+    rows = (scans if late is None else scans.withWatermark("scan_ts", late)).select("region", F.unix_millis(F.col("scan_ts").cast("timestamp")).alias("scan_ms"), "cells", F.col("max_frp").cast("double").alias("max_frp"), "reference", "hot", "scan_ts")
     told = rows.groupBy("region").transformWithStateInPandas(Watch(rules), _OUT, "Append", rules.clock)
     at = lambda c: F.timestamp_millis(F.col(c))
     return told.select("region", at("at_ms").alias("at"), "kind", "n_candidates", "n_spatial", "n_persistent", "max_frp", "gate_failed", "confirmed", "fire_cells", "mode", "expanding", "still", "low", at("revert_ms").alias("revert_at"), "event")
