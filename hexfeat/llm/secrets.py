@@ -1,25 +1,30 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings that no pattern names.
 
-A candidate is a run of 20 or more characters of [A-Za-z0-9+/_-] with the = that end it. Its encoding is inferred from the characters (hex,
-base32, base62 or base64), and three statistics are held against what ordinary text does in that alphabet:
-
-* chi-squared uniformity over classes of the alphabet: text has nearly all its mass in one class;
-* the number of runs (changes between classes of neighbouring characters): text hardly changes class;
-* serial correlation of neighbouring code values: text that counts up, repeats or alternates is correlated.
-
-Each gives a p-value under the hypothesis "this is ordinary text", computed for the string's own length, so that a
-short string needs a stronger signal. Fisher's method combines them. They say little of strings in one case, so a fourth
-test scores the neighbouring characters: what the string costs in bits under a model of text, less what it costs in each
-of the alphabets of secrets. Text gains b bits with a probability of 2^-b at most. The smaller p-value counts, doubled.
-A run of up to 256 characters is reported whole. Of a longer run all characters are scored, and the stretches that stand
-out are reported, so that a key is found wherever it lies and the ordinary rest of the run stays.
-Strings of letters in one case only are not tested: no test tells them from words of a foreign language. Within a document the candidates are accepted
-by the Benjamini-Hochberg rule with weights that grow with length: at most `rate` of the accepted are expected to be text.
+A candidate is a run of 20 or more characters of [A-Za-z0-9+/_-] with the = that end it. Its parts are the run itself, its
+pieces between marks and the stretches of it that gain most under one of the encodings; all parts of all runs, short or
+long, go through the same battery. The encoding of a part is the smallest alphabet that holds it, and three tests ask
+twice: does the part look like a random string of that encoding, and how often does ordinary text look like that?
+
+* chi-squared uniformity: a random string doesn't differ from equal shares of all characters of its alphabet; text
+  leaves the rare letters, digits and marks nearly empty;
+* runs (changes between lower case, upper case, digits and marks): a random string changes class as often as the sizes
+  of the classes say; text hardly does;
+* serial correlation: neighbouring codes of a random string are uncorrelated; in text vowels and consonants take turns,
+  so neighbours are seldom alike.
+
+A part that a test rejects as random (it counts, repeats, or uses few characters) is no candidate. The others get three
+p-values under "ordinary text", each an exact binomial tail of the part's own length, so a short string needs a stronger
+signal. Fisher's method combines them, and the number of parts tried in the run multiplies the result. Of parts that
+overlap the least probable one stands, so a key in a long run is masked without the ordinary rest. Within a document the
+candidates are accepted by the Benjamini-Hochberg rule with weights that grow with length: at most `rate` of the
+accepted are expected to be text. Strings of digits alone are not tested: numbers are ordinary at any length. Letters of
+one case alone are, but runs say nothing of them, so they need about twice the length of other strings.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -32,84 +37,82 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RATE = 5e-5
+RATE = 3e-3
 KINDS = ("assign", "access", "hex", "random")
 #: Patterns of the base, as fixed: ASCII letters of the key in either case, group 2 of six characters or more.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")
-_ENCODINGS = (("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 4), ("base32", re.compile(r"[A-Z2-7]+=*"), 5), ("base62", re.compile(r"[A-Za-z0-9]+"), 6), ("base64", re.compile(r"[A-Za-z0-9+/_-]+=*"), 6))
-#: What text does at most: share of its characters outside its main class, changes of class between neighbours.
-TEXT_MINOR, TEXT_CHANGES = 0.12, 0.15
-#: Serial correlation of the code values of text that mixes classes, and the share of its letters that are common ones.
-TEXT_SERIAL, TEXT_COMMON = 0.35, 0.72
-_COMMON = "etaoinsrhl"
-_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-_ALPHABETS = {"hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base62": _LOWER + _UPPER + _DIGITS, "base64": _LOWER + _UPPER + _DIGITS + "+/"}
-#: Classes of characters: common and other letters of either case, digits, marks; and the coarse class of each.
-_CLASSES = (_COMMON, "".join(c for c in _LOWER if c not in _COMMON), _COMMON.upper(), "".join(c for c in _UPPER if c.lower() not in _COMMON), _DIGITS, "+/_-")
-_CLASS = {c: i for i, part in enumerate(_CLASSES) for c in part}
-_COARSE = (0, 0, 1, 1, 2, 3)
-#: Shares of the classes in a random string of each encoding.
-_SHARES = {name: tuple(sum(c in part for c in alphabet) / len(alphabet) for part in _CLASSES) for name, alphabet in _ALPHABETS.items()}
-
-#: Bits that a character costs in text after another: rows and columns are a to z, digits, marks; a quarter of a bit for
-#: each step of the code from "0" on. Counted in the standard library of Python (0.6) and the four languages of the test
-#: documents (0.1 each), and mixed with 8 % of evenly spread characters.
-_TEXT = (
-    "HG@@HNGO?NL?A=JGN=><?JMMLQPO",
-    "?NHL7QPQD@R:OO;JQFFM@RRRCPKK",
-    "@QKO?OQ7=QBBNP:OPGL>GPQRNRNI",
-    "?KLD8MPJ<QQEOI8OQECFCPLQKQKB",
-    "@JCACIKMAON>F;HGJ;>AGJMEMHPG",
-    "=KKJ@@KM9RMBON<MQ>EC?NNRKNLE",
-    ";JLP6QFD@RMDKCGLRD>EBKMRQKND",
-    ":FIP7QJE>RKFMF>JPEC@HJKRQKRJ",
-    "EI@G=HGPKOOAB8=HLE@=OHQLRJQP",
-    "3RKQ8RRRNRMQRR@NRQIQCRRRQRPK",
-    "EPLK3NKQ?RQDPFKKPJ@MIPBRPQO?",
-    "?MLF8<OQ=PQ<MN@LPMCDCPPRAQQH",
-    "=FPN5QQQ=RPJGO?>RPGLGRQRORQH",
-    ">HA?<J=HCOJFIG@JJHA:GHLRPMQH",
-    "GFBAIIJQBMJFB8GDM<?D=KHNQQOK",
-    "9QLL;@QMDRP?PP=BQ=I?GMPRERNG",
-    "QQQQQRRRRRRNRPRPPNNQ1RRRRROJ",
-    "=IGH7NEJ@PJIFA?KO@AAFJMRINQH",
-    "CK?J8OJB@KLHHNCDKH@:CPMQJRQF",
-    ">LIL:MO:;ROIMMCJP?DDBNMQEEPD",
-    "DHGM8JJNFRO@C=ECL=B@NLP>ROIO",
-    "9QPQ4PQQ9RRQMOHPRPQQQRPRRRIJ",
-    "<QOHAOQ79RRIQCAPR?EOPQLPRQQC",
-    "?O:N=LQN@RRFFRB?HDK9PHQMHQBD",
-    "GGJK@LOFBRREE@D8QG>:OMEQOON?",
-    "AFCI9QGKAKIFEOGIIGGD6KQROIML",
-    "EFFDHHQQPQRPOMMMRQOPPQQAQR2?",
-    "CE@CDCGGBPMCDDFBNC?CIHGOPOF8",
-)
-_BITS = np.array([[ord(c) - 48 for c in row] for row in _TEXT]) / 4
-_SYMBOL = np.full(128, 27, np.int8)
-for _i, _c in enumerate(_LOWER):
-    _SYMBOL[[ord(_c), ord(_c.upper())]] = _i
-_SYMBOL[[ord(c) for c in _DIGITS]] = 26
-#: Bits for the case of a letter after a letter: lower or upper before, the same or the other case now.
-_SAME_CASE, _OTHER_CASE = np.array([0.1, 0.6]), np.array([3.9, 1.5])
-#: The alphabets of secrets, each as a mask of its characters and the bits of one.
-_RANDOM = []
-for _name in (_DIGITS + "abcdef", _DIGITS + "ABCDEF", "234567" + _UPPER, _DIGITS + _LOWER, _DIGITS + _UPPER, _DIGITS + _LOWER + _UPPER, _DIGITS + _LOWER + _UPPER + "+/_-"):
-    _mask = np.zeros(128, bool)
-    _mask[[ord(c) for c in _name]] = True
-    _RANDOM.append((_mask, math.log2(min(len(_name), 64))))
-#: A stretch that the model names has so many characters, and so many different ones.
-LEAST, LEAST_DIFFERENT = 16, 8
-#: Runs of more than LONG characters are reported by stretches, with at most EDGE alphanumeric characters more on either
-#: side: the ends of a secret can look like text.
-LONG, EDGE = 256, 8
+_LOWER, _UPPER, _DIGITS, _MARKS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-"
+#: The encodings, smallest alphabet first. Of the four marks an encoding has two, so the last one counts 64 characters.
+ENCODINGS = {
+    "hex": _DIGITS + "abcdef",
+    "HEX": _DIGITS + "ABCDEF",
+    "letters": _LOWER,
+    "LETTERS": _UPPER,
+    "base32": _UPPER + "234567",
+    "base36": _DIGITS + _LOWER,
+    "BASE36": _DIGITS + _UPPER,
+    "base62": _DIGITS + _LOWER + _UPPER,
+    "base64": _DIGITS + _LOWER + _UPPER + _MARKS,
+}
+#: The fourteen letters that make up most of text in European languages; of its letters and digits, text has at most
+#: TEXT_RARE others (rare letters, digits), and a number has at most NUMBER_LETTERS letters. Text changes class at most
+#: at TEXT_CHANGES of its places, and at most TEXT_ALIKE of its pairs of letters are both vowels or both consonants.
+COMMON, VOWELS = "etaoinsrhldcum", "aeiouy"
+TEXT_RARE, NUMBER_LETTERS, TEXT_CHANGES, TEXT_ALIKE = 0.17, 0.1, 0.12, 0.43
+#: Random strings are rejected as such at this many standard deviations in any test: about once in a thousand.
+REJECTED = 3.5
+#: A part has so many characters. A stretch is taken with at most EDGE alphanumeric ones more on either side: the ends of
+#: a secret can look like text.
+LEAST, EDGE = 16, 8
 _EDGE = re.compile(r"[A-Za-z0-9]*")
+_PIECE = re.compile(r"[A-Za-z0-9]{%d,}" % LEAST)
 
 
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _table(of: str) -> np.ndarray:
+    out = np.zeros(128, bool)
+    out[[ord(c) for c in of]] = True
+    return out
+
+
+_CLASS = np.select([_table(_LOWER), _table(_UPPER), _table(_DIGITS)], [0, 1, 2], 3).astype(np.int8)
+_LETTER, _DIGIT, _VOWEL = _table(_LOWER + _UPPER), _table(_DIGITS), _table(VOWELS + VOWELS.upper())
+_RARE = ~_table(COMMON + COMMON.upper())
+
+
+def _classes(codes: np.ndarray) -> np.ndarray:
+    """Lower case, upper case, digit or mark; the capital that begins a word in lower case counts as lower case."""
+    out = _CLASS[codes]
+    out[:-1][(out[:-1] == 1) & (out[1:] == 0)] = 0
+    return out
+
+
+class _Encoding:
+    """What a random string of an alphabet does: shares of rare characters, changes of class, alike neighbours."""
+
+    def __init__(self, alphabet: str):
+        codes = np.array([ord(c) for c in alphabet if c not in _MARKS])
+        self.mask, self.size = _table(alphabet), min(len(alphabet), 64)
+        self.place = np.zeros(128)
+        self.place[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+        self.rare = float(_RARE[codes].mean())
+        share = [float((_CLASS[codes] == c).mean()) for c in range(3)]
+        marked = 1 - len(codes) / self.size
+        # A letter in upper case before one in lower case has its class: the change is between the places before it.
+        seen = {(x, y): 0.0 for x in range(3) for y in range(3)}
+        for x, y, z in itertools.product(range(3), repeat=3):
+            first, second = 0 if (x, y) == (1, 0) else x, 0 if (y, z) == (1, 0) else y
+            seen[first, second] += share[x] * share[y] * share[z] * (1 - marked)
+            seen[0 if (x, y) == (1, 0) else x, y] += share[x] * share[y] * share[z] * marked
+        self.changes = sum(p for (x, y), p in seen.items() if x != y)
+        letters = codes[_LETTER[codes]]
+        vowels = _VOWEL[letters].mean()
+        self.alike = float(vowels**2 + (1 - vowels) ** 2)
+
+
+_ENCODED = {name: _Encoding(alphabet) for name, alphabet in ENCODINGS.items()}
 
 
 def _binomial_tail(n: int, k: int, p: float) -> float:
@@ -122,65 +125,72 @@ def _binomial_tail(n: int, k: int, p: float) -> float:
 
 
 def encoding(text: str) -> str | None:
-    return next((name for name, pattern, _ in _ENCODINGS if pattern.fullmatch(text)), None)
+    """The smallest alphabet that holds all characters of a text but the = at its end."""
+    body = text.rstrip("=")
+    if not body or not body.isascii():
+        return None
+    codes = np.frombuffer(body.encode("ascii"), np.uint8)
+    return next((name for name, e in _ENCODED.items() if e.mask[codes].all()), None)
+
+
+def _neighbours(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each character but the first: is it beside a letter or digit, of another class; a letter beside one, alike?"""
+    classes, alnum = _classes(codes), _CLASS[codes] < 3
+    places, pairs = alnum[1:] & alnum[:-1], _LETTER[codes[1:]] & _LETTER[codes[:-1]]
+    return places, places & (classes[1:] != classes[:-1]), pairs, pairs & (_VOWEL[codes[1:]] == _VOWEL[codes[:-1]])
 
 
 def text_p_value(text: str) -> float | None:
     """How probable it is that ordinary text of this length looks as random as text does: small for random strings.
 
-    None if there is nothing to test: an unknown alphabet, one class of characters only (words, numbers), or a string
-    that counts, alternates or repeats.
+    None if there is nothing to test: an unknown alphabet, digits only, fewer than 16 characters, or a string that a test
+    rejects as a random one of its encoding.
     """
     kind = encoding(text)
     body = text.rstrip("=")
-    if kind is None or len(body) < 20:
+    if kind is None or len(body) < LEAST or body.isdigit():
         return None
-    n, fine = len(body), [_CLASS[c] for c in body]
-    coarse = [_COARSE[c] for c in fine]
-    if len(set(coarse)) < 2 or len(set(body)) < min(10, n // 2):
+    e, codes = _ENCODED[kind], np.frombuffer(body.encode("ascii"), np.uint8)
+    counts = np.unique(codes, return_counts=True)[1]
+    chi = float((counts**2).sum()) * e.size / len(codes) - len(codes)
+    if chi - (e.size - 1) > 1.3 * REJECTED * math.sqrt(2 * (e.size - 1)):
         return None
-    mean = sum(map(ord, body)) / n
-    off = [ord(c) - mean for c in body]
-    spread = sum(x * x for x in off)
-    serial = abs(sum(a * b for a, b in zip(off, off[1:], strict=False)) / spread)
-    if serial > 2 * TEXT_SERIAL:
+    places, changed, pairs, alike = _neighbours(codes)
+    n, tries, changes = int((_CLASS[codes] < 3).sum()), int(places.sum()), int(changed.sum())
+    if abs(changes - tries * e.changes) > REJECTED * math.sqrt(tries * e.changes * (1 - e.changes)) + 0.5:
         return None
-    used = [i for i, s in enumerate(_SHARES[kind]) if s]
-    shares = [_SHARES[kind][i] for i in used]
-    chi = sum((fine.count(i) - n * s) ** 2 / (n * s) for i, s in zip(used, shares, strict=True))
-    # Text: all but TEXT_MINOR of it in the coarse class that it fills most. Its chi-squared is non-central.
-    main = max(set(coarse), key=coarse.count)
-    inside = [i for i in used if _COARSE[i] == main]
-    split = {i: (TEXT_COMMON if i in (0, 2) else 1 - TEXT_COMMON) if len(inside) == 2 else 1.0 for i in inside}
-    expected = [(1 - TEXT_MINOR) * split[i] if i in split else TEXT_MINOR / max(1, len(used) - len(inside)) for i in used]
-    centre, free = n * sum((e - s) ** 2 / s for e, s in zip(expected, shares, strict=True)), len(used) - 1
-    uniform = 1 - _normal_tail((chi - free - centre) / math.sqrt(2 * (free + 2 * centre)))
-    runs = _binomial_tail(n - 1, sum(a != b for a, b in zip(coarse, coarse[1:], strict=False)), TEXT_CHANGES)
-    related = 1 - _normal_tail((serial - TEXT_SERIAL) * math.sqrt(n))
-    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, runs, related))  # chi-squared with six degrees of freedom
-    return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
-
-
-def stretches(run: str) -> list[tuple[int, int, float]]:
-    """(start, end, p-value) of the stretches of a run that cost more in text than in an alphabet of secrets, disjoint.
-
-    The p-value counts the places and alphabets that were tried. Stretches that count, alternate, repeat or have one
-    class of characters only are left out, and so are those that text has more often than once in a hundred runs.
+    off = e.place[codes] - e.place[codes].mean()
+    if abs(float((off[1:] * off[:-1]).sum() / (off * off).sum())) * math.sqrt(len(codes)) > REJECTED:
+        return None
+    # Text is words with a few other characters, or a number with a few letters: the likelier of both.
+    rare, letters = int((_RARE[codes] & (_CLASS[codes] < 3)).sum()), int(_LETTER[codes].sum())
+    p_values = [max(_binomial_tail(n, rare, TEXT_RARE), _binomial_tail(n, letters, NUMBER_LETTERS))]
+    if e.changes:
+        p_values.append(_binomial_tail(tries, changes, TEXT_CHANGES))
+    if 2 * int(pairs.sum()) >= n:
+        p_values.append(_binomial_tail(int(pairs.sum()), int(alike.sum()), TEXT_ALIKE))
+    half = -sum(math.log(max(p, 1e-300)) for p in p_values)  # chi-squared with two degrees of freedom for each test
+    return min(1.0, math.exp(-half) * sum(half**k / math.factorial(k) for k in range(len(p_values))))
+
+
+def stretches(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of a run that are likelier in an encoding than in text, by the rates of the tests.
+
+    For each encoding the stretch of the greatest gain is taken, then those to its left and right.
     """
     codes = np.frombuffer(run.encode("ascii"), np.uint8)
-    symbols = _SYMBOL[codes]
-    lower, letter = codes >= 97, symbols < 26
-    cost = np.concatenate([[math.log2(28)], _BITS[symbols[:-1], symbols[1:]]])
-    cost[symbols == 26] += math.log2(10)
-    cost[symbols == 27] += 2
-    follows = np.concatenate([[False], letter[1:] & letter[:-1]])
-    before = np.concatenate([[0], (~lower[:-1]).astype(int)])
-    same = np.concatenate([[False], lower[1:] == lower[:-1]])
-    cost += np.where(follows, np.where(same, _SAME_CASE[before], _OTHER_CASE[before]), np.where(letter, 1.0, 0.0))
-    tried = math.log2(len(codes) * len(_RANDOM))
-    found = []
-    for mask, bits in _RANDOM:
-        gain = np.where(mask[codes], cost - bits, -1e6)
+    rare, alnum = _RARE[codes], _CLASS[codes] < 3
+    places, changed, pairs, alike = (np.concatenate([[False], x]) for x in _neighbours(codes))
+    found = set()
+    for e in _ENCODED.values():
+        inside = e.mask[codes]
+        if inside.sum() < LEAST:
+            continue
+        gain = np.where(alnum, np.where(rare, math.log(e.rare / TEXT_RARE), math.log((1 - e.rare) / (1 - TEXT_RARE))), 0.0)
+        if e.changes:
+            gain += np.where(places, np.where(changed, math.log(e.changes / TEXT_CHANGES), math.log((1 - e.changes) / (1 - TEXT_CHANGES))), 0.0)
+        gain += np.where(pairs, np.where(alike, math.log(e.alike / TEXT_ALIKE), math.log((1 - e.alike) / (1 - TEXT_ALIKE))), 0.0)
+        gain = np.where(inside, gain, -1e6)
         todo = [(0, len(codes))]
         while todo:
             a, b = todo.pop()
@@ -189,52 +199,36 @@ def stretches(run: str) -> list[tuple[int, int, float]]:
             total = np.concatenate([[0.0], np.cumsum(gain[a:b])])
             rise = total - np.minimum.accumulate(total)
             end = int(rise.argmax())
-            if rise[end] < tried + 6.6:
+            if rise[end] < math.log(len(codes)):
                 continue
             start = int(np.flatnonzero(rise[:end] == 0)[-1])
             todo += [(a, a + start), (a + end, b)]
-            if _varied(codes[a + start : a + end]):
-                found.append((2.0 ** (tried - rise[end]), a + start, a + end))
-    out: list[tuple[int, int, float]] = []
-    for p, a, b in sorted(found):
-        if all(b <= s or e <= a for s, e, _ in out):
-            out.append((a, b, p))
-    return sorted(out)
+            found.add((a + start, a + end))
+    return sorted(found)
 
 
-def _varied(codes: np.ndarray) -> bool:
-    if len(codes) < LEAST or len(np.unique(codes)) < LEAST_DIFFERENT:
-        return False
-    if len({_COARSE[_CLASS[chr(c)]] for c in np.unique(codes)}) < 2:
-        return False
-    if np.mean(np.abs(np.diff(codes.astype(int))) <= 1) > 0.5:
-        return False
-    off = codes - codes.mean()
-    return abs((off[1:] * off[:-1]).sum() / (off * off).sum()) <= 2 * TEXT_SERIAL
+def _grown(body: str, a: int, b: int) -> tuple[int, int]:
+    """A stretch without marks at its ends, and with the alphanumeric characters beside it, EDGE at most."""
+    part = body[a:b]
+    a, b = a + len(part) - len(part.lstrip(_MARKS)), b - len(part) + len(part.rstrip(_MARKS))
+    return a - len(_EDGE.match(body[max(0, a - EDGE) : a][::-1])[0]), b + len(_EDGE.match(body[b : b + EDGE])[0])
 
 
 def run_tests(run: str) -> list[tuple[int, int, float]]:
-    """(start, end, p-value) of the parts of a run that may be secret: the run, or the stretches of a long one.
+    """(start, end, p-value) of the parts of a run that may be secret, disjoint, by start.
 
-    The p-value of a run is the smaller one of its tests, doubled.
+    Of parts that overlap the one with the smallest p-value stands, of equal ones the longest.
     """
     body = run.rstrip("=")
-    found = stretches(body)
-    if len(body) <= LONG:
-        p = 2 * min([p for *_, p in found] + [p for p in [text_p_value(run)] if p is not None], default=1.0)
-        return [(0, len(run), p)] if p < 1 else []
+    parts = {(0, len(body))} | {m.span() for m in _PIECE.finditer(body)}
+    parts |= {_grown(body, a, b) for a, b in stretches(body)}
+    parts = {(a, b) for a, b in parts if b - a >= LEAST}
+    tested = [(p, a, b) for a, b in parts if (p := text_p_value(body[a:b])) is not None]
     out: list[tuple[int, int, float]] = []
-    for a, b, p in found:
-        part = body[a:b]
-        a, b = a + len(part) - len(part.lstrip("+/_-")), b - len(part) + len(part.rstrip("+/_-"))
-        a -= len(_EDGE.match(body[max(0, a - EDGE) : a][::-1])[0])
-        b += len(_EDGE.match(body[b : b + EDGE])[0])
-        b = len(run) if b == len(body) else b
-        if out and a < out[-1][1]:
-            a, _, q = out.pop()
-            p = min(p, q)
-        out.append((a, b, 2 * p))
-    return out
+    for p, a, b in sorted(tested, key=lambda t: (t[0], t[1] - t[2], t[1])):
+        if all(b <= s or e <= a for s, e, _ in out):
+            out.append((a, b, min(1.0, p * len(parts))))
+    return sorted((a, len(run) if b == len(body) else b, p) for a, b, p in out)
 
 
 def accepted(p_values: list[float], lengths: list[int], rate: float) -> list[int]:

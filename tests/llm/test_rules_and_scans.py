@@ -153,3 +153,44 @@ def test_licences_named_in_one_word_with_their_version(spark):
     assert {r.doc_id: r.family for r in licenses.scan_licenses(rows, model).collect()} == {i: f for i, (_, f) in texts.items()}
     tokens = spark.createDataFrame([("copyrighted",), ("gplv3",), ("cc0",)], "t string").withColumn("tokens", licenses.words(F.col("t")))
     assert tokens.select(licenses.grams("tokens").alias("g")).filter("size(g) = 0").count() == 0
+
+
+def test_a_run_is_treated_alike_at_every_length():
+    """A key behind a path: the same characters are masked whether the run has 60 or 5,000 of them."""
+    rng = random.Random(11)
+    words = CLEAN.replace(".", "").replace(",", "").split()
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    for n in (20, 100, 214, 215, 216, 217, 300, 5000):
+        path = ""
+        while len(path) < n:
+            path += rng.choice(words) + "/"
+        path = path[-n:-1].strip("/") + "/"
+        assert secrets.run_tests(path + key)[-1][:2] == (len(path), len(path) + 40), n
+        assert secrets.masked(path + key) == path + "[SECRET]"
+
+
+def test_battery_at_24_characters_and_what_it_leaves_out():
+    """Recall of 24 characters in each encoding, of one case at 64; words joined in any way and numbers are text."""
+    rng, digits, upper, lower = random.Random(12), string.digits, string.ascii_uppercase, string.ascii_lowercase
+    found = lambda alphabet, n: sum(bool(secrets.all_spans("".join(rng.choice(alphabet) for _ in range(n)))[1]) for _ in range(300)) / 300
+    for alphabet in (upper + "234567", digits + "ABCDEF", lower + digits, upper + digits, upper + lower + digits, upper + lower + digits + "+/"):
+        assert found(alphabet, 24) >= 0.85, alphabet
+    assert found(lower, 64) >= 0.95 and found(upper, 64) >= 0.95
+    assert secrets.text_p_value("".join(rng.choice(digits) for _ in range(64))) is None  # the base's hex pattern has these
+    words = re.findall("[A-Za-z]+", CLEAN)
+    for sep in ("", "_", "/", "-"):
+        for case in (str.lower, str.upper, str.capitalize):
+            assert not [t for _ in range(100) if secrets.all_spans(t := sep.join(case(rng.choice(words)) for _ in range(rng.randint(5, 30))))[1]]
+
+
+def test_secret_query_against_brute_force(spark, docs, texts, empty):
+    """Spans, counts and digests of the query are those of its rows read one by one; an empty table has none."""
+    got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.scan_secrets(docs).collect()}
+    want = set()
+    for i, t in texts:
+        base, spans = secrets.all_spans(t or "")
+        kinds = Counter(k for *_, k in base)
+        text = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        want.add((i, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(text.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in spans)))
+    assert got == want
+    assert secrets.scan_secrets(empty).count() == 0
