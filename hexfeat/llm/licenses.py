@@ -48,9 +48,10 @@ def words(text: Column) -> Column:
 
 
 def grams(tokens: str) -> Column:
-    """Distinct n-grams of one to three words, those within two words of an anchor. tokens is a column, not an expression: lambdas would compute that anew for each word."""
+    """Distinct n-grams of one to three words, those within two words of an anchor, or at the beginning with one among the first five. tokens is a column, not an expression: lambdas would compute that anew for each word."""
     tokens = F.col(tokens)
-    near = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.exists(F.slice(tokens, F.greatest(i - 2, F.lit(1)), 5), lambda w: w.rlike("^" + ANCHOR)))
+    anchors = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.element_at(tokens, i).rlike("^" + ANCHOR))
+    near = F.array_distinct(F.flatten(F.transform(anchors, lambda i: F.sequence(F.when(i <= 5, 1).otherwise(i - 2), F.least(i + 2, F.size(tokens))))))
     n_grams = F.flatten(F.transform(near, lambda i: F.array(*[F.array_join(F.slice(tokens, i, k), " ") for k in (1, 2, 3)])))
     return F.when(F.size(tokens) > 0, F.array_distinct(n_grams)).otherwise(F.array().cast("array<string>"))
 
@@ -86,10 +87,10 @@ class Licences:
 def fit(spark: SparkSession) -> Licences:
     families = sorted(NOTICES)
     known = variants(notices(spark)).withColumn("label", (F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1).cast("double"))
-    hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=DIMENSIONS, binary=True).transform(known)
+    hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=DIMENSIONS, binary=True).transform(known).cache()  # the variants of the notices above; both fits and the calibration read them
     regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40)
     found = Licences(regression.fit(hashed.filter("fold < 4")), families, 0.5)
-    seen = found.predict(known.filter("fold = 4").withColumnRenamed("family", "truth")).filter(F.col("family_") != UNKNOWN)
+    seen = found.predict(hashed.drop("features").filter("fold = 4").withColumnRenamed("family", "truth")).filter(F.col("family_") != UNKNOWN)
     # The least probability above which texts that the fit hasn't seen are notices, not unknown, often enough; which family it is, the templates confirm. Then all are fitted.
     ranked = seen.select("probability_", (F.col("truth") != UNKNOWN).cast("int").alias("right")).collect()  # a few hundred variants of the notices above
     right = total = 0
@@ -99,7 +100,9 @@ def fit(spark: SparkSession) -> Licences:
         if right < TARGET_PRECISION * total:
             break
         believed = row["probability_"]
-    return Licences(regression.fit(hashed), families, max(0.3, float(believed)))
+    model = regression.fit(hashed)
+    hashed.unpersist()
+    return Licences(model, families, max(0.3, float(believed)))
 
 
 #: Found in every lower-case line that holds an anchor.
