@@ -27,6 +27,35 @@ def test_nearest_node_on_scattered_nodes(spark, seed):
     assert none.count() == len(points) and none.filter("v is not null").count() == 0
 
 
+def _most_rows(spark, since):
+    """The most rows that an operator of the queries after the first `since` gave, and the number of queries."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    for i in range(since, runs.size()):
+        key = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(key), store.planGraph(key).allNodes()
+        for n in (nodes.apply(j) for j in range(nodes.size())):
+            for m in (n.metrics().apply(j) for j in range(n.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, runs.size()
+
+
+def test_nearest_node_in_crowds(spark):
+    """Points at one place ask once; a crowd in a crowd of nodes and a crowd beside it meet few of them."""
+    rng = np.random.default_rng(7)
+    nodes = np.concatenate([rng.normal(0, 0.003, (1500, 2)), rng.uniform(-30, 30, (20, 2)), [[5.0, 5.0]] * 300])
+    points = np.concatenate([rng.normal(0, 0.003, (700, 2)), rng.normal(0.05, 0.01, (700, 2)), [[0.0, 0.001]] * 600, [[5.0, 5.1]] * 20])
+    n = spark.createDataFrame([(*map(float, p), k) for k, p in enumerate(nodes)], "lat double, lon double, v long")
+    p = spark.createDataFrame([(f"p{k}", *map(float, p)) for k, p in enumerate(points)] + [("nan", math.nan, 0.0), ("none", None, 0.0)], "grid_id string, latitude double, longitude double")
+    odd = spark.createDataFrame([(math.nan, 0.0, -1), (None, 0.0, -2), (math.inf, 0.0, -3)], n.schema)
+    since = _most_rows(spark, 10**9)[1]
+    got = {r["grid_id"]: r["v"] for r in near.nearest_grid_value(p, n.unionByName(odd), ["v"], 0.5).collect()}
+    want = {f"p{k}": min(zip(((nodes - q) ** 2).sum(1), nodes[:, 0], nodes[:, 1], range(len(nodes)), strict=True))[3] for k, q in enumerate(points)}
+    assert got == want | {"nan": min(zip(nodes[:, 0], nodes[:, 1], range(len(nodes)), strict=True))[2], "none": None}
+    assert 0 < _most_rows(spark, since)[0] < 500_000  # of 2,020 points and 1,820 nodes
+
+
 def test_nearest_fire_on_scattered_cells(spark):
     rng = random.Random(3)
     cells = {(s, rng.randint(-200, 200), rng.randint(-200, 200)) for s in "ab" for _ in range(40)} | {("a", q, r) for q in range(5) for r in range(5)} | {("lone", 3, 4)}
