@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import grid
 from . import cells as cell_ops
 
-#: Level from which a finer one is refined.
-COARSE = {4: 2, 5: 2, 7: 5}
+#: Rows of cells that a task takes at once from a region.
+BAND = 16
+#: Widths of a cell by which runs of cells are widened for rounding, before each cell is tested.
+ROOM = 1e-6
 #: Directions in which the edges of a cell (pointed at the top) look, on the plane of the grid.
 _LOOKS = tuple((math.cos(math.radians(a)), math.sin(math.radians(a))) for a in (0, 60, 120))
 _CORNERS = tuple((math.cos(math.radians(60 * i + 30)), math.sin(math.radians(60 * i + 30))) for i in range(3))
@@ -22,25 +24,29 @@ def box(west: Column, south: Column, east: Column, north: Column) -> Column:
     return F.array(*[F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat")) for lon, lat in ((west, south), (east, south), (east, north), (west, north))])
 
 
-def touches(ring: Column, x: Column, y: Column, size: float) -> Column:
-    """Whether a convex polygon touches the hexagon of this size (centre to corner) around (x, y); points of the plane count.
+def spans(ring: Column, size: float) -> Column:
+    """What a convex polygon covers along each direction that may part it from a hexagon of this size (centre to corner): an array of a, b, low, high and half, the hexagon's own reach.
 
     Two convex shapes are apart if and only if one of the directions of their edges separates them: three are the
-    hexagon's, the others those of the polygon's own edges. Shapes that only meet at their rims touch.
+    hexagon's, the others those of the polygon's own edges.
     """
     points = F.transform(ring, lambda p: F.struct((p["lon"] * grid.SHRINK).alias("x"), p["lat"].alias("y")))
-
-    def overlaps(a: Column, b: Column) -> Column:
-        along = F.transform(points, lambda p: p["x"] * a + p["y"] * b)
-        centre, half = x * a + y * b, F.greatest(*[F.abs(cx * a + cy * b) for cx, cy in _CORNERS]) * size
-        return (F.array_min(along) <= centre + half) & (F.array_max(along) >= centre - half)
-
     n = F.size(points)
     edges = F.transform(points, lambda p, i: F.struct((p["y"] - F.element_at(points, (i + 1) % n + 1)["y"]).alias("a"), (F.element_at(points, (i + 1) % n + 1)["x"] - p["x"]).alias("b")))
-    out = F.forall(edges, lambda e: overlaps(e["a"], e["b"]))
-    for a, b in _LOOKS:
-        out = out & overlaps(F.lit(a), F.lit(b))
-    return out
+    looks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _LOOKS])
+
+    def span(e: Column) -> Column:
+        along = F.transform(points, lambda p: p["x"] * e["a"] + p["y"] * e["b"])
+        half = F.greatest(*[F.abs(cx * e["a"] + cy * e["b"]) for cx, cy in _CORNERS]) * size
+        return F.struct(e["a"].alias("a"), e["b"].alias("b"), F.array_min(along).alias("low"), F.array_max(along).alias("high"), half.alias("half"))
+
+    return F.transform(F.concat(looks, edges), span)
+
+
+def touches(found: Column, x: Column, y: Column) -> Column:
+    """Whether the polygon of these spans touches the hexagon around (x, y); points of the plane count. Shapes that only meet at their rims touch."""
+    centre = lambda e: x * e["a"] + y * e["b"]
+    return F.forall(found, lambda e: (e["low"] <= centre(e) + e["half"]) & (e["high"] >= centre(e) - e["half"]))
 
 
 def _place(q: Column, r: Column, level: int) -> tuple[Column, Column]:
@@ -49,41 +55,34 @@ def _place(q: Column, r: Column, level: int) -> tuple[Column, Column]:
     return (q + r / 2) * (grid.ROOT3 * s), r * (1.5 * s)
 
 
-def _level_cells(regions: DataFrame, keys: list[str], level: int, more: float) -> DataFrame:
-    """keys, ring, q and r of the cells that a ring touches once they are larger by `more`, among those around its bounds."""
-    s = grid.SIZE[level]
-    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"] * grid.SHRINK)
-    reach = 2 * (s + more)
-    rs = regions.select(*keys, "ring", F.explode(F.sequence(F.floor((F.array_min(lats) - reach) / (1.5 * s)).cast("long"), F.ceil((F.array_max(lats) + reach) / (1.5 * s)).cast("long"))).alias("r"))
-    width = grid.ROOT3 * s
-    qs = rs.select("*", F.explode(F.sequence(F.floor((F.array_min(lons) - reach) / width - F.col("r") / 2).cast("long"), F.ceil((F.array_max(lons) + reach) / width - F.col("r") / 2).cast("long"))).alias("q"))
-    return qs.filter(touches(F.col("ring"), *_place(F.col("q"), F.col("r"), level), s + more))
+def _columns(found: Column, y: Column) -> tuple[Column, Column]:
+    """Between which x the hexagons around (x, y) touch, for a given y; each direction that isn't nearly upright bounds them."""
+    at = lambda e, way: (F.when(way, e["high"] + e["half"]).otherwise(e["low"] - e["half"]) - y * e["b"]) / e["a"]
+    slanted = F.filter(found, lambda e: F.abs(e["a"]) > 1e-3 * (F.abs(e["a"]) + F.abs(e["b"])))
+    return F.array_max(F.transform(slanted, lambda e: at(e, e["a"] < 0))), F.array_min(F.transform(slanted, lambda e: at(e, e["a"] > 0)))
 
 
 def polygon_cells(regions: DataFrame, keys: list[str], level: int) -> DataFrame:
     """keys, grid_id, q, r, latitude and longitude of all cells of the level that a region touches, rims included.
 
-    regions: keys and ring, a convex polygon as an array of (lon, lat), open or closed. Coarse cells are tested first, larger
-    by the size of a fine one; those that are left are split into the fine cells whose centre they hold, so that a large
-    region becomes many rows before it is tested finely, and each fine cell comes from one coarse cell alone. A null or
-    empty ring has no cells.
+    regions: keys and ring, a convex polygon as an array of (lon, lat), open or closed. Regions are cut into bands of BAND
+    rows of cells and these dealt to all tasks, so neither many regions in one small file nor a large one stay in one task.
+    In a row the cells that touch are a run of columns, whose ends follow from the ring; each cell between them is tested. A null or empty ring has no cells.
     """
     rings = regions.filter(F.size(F.coalesce("ring", F.array().cast(regions.schema["ring"].dataType))) > 0)
     rings = rings.withColumn("ring", F.when((F.size("ring") > 1) & (F.element_at("ring", 1) == F.element_at("ring", -1)), F.slice("ring", F.lit(1), F.size("ring") - 1)).otherwise(F.col("ring")))
-    coarse = COARSE.get(level)
-    if coarse is None:
-        found = _level_cells(rings, keys, level, 0.0)
-    else:
-        wide = _level_cells(rings, keys, coarse, grid.SIZE[level])
-        x, y = _place(F.col("q"), F.col("r"), coarse)
-        s, fine = grid.SIZE[coarse], grid.SIZE[level]
-        rings_ = math.ceil(s / (1.5 * fine)) + 1
-        q0, r0 = grid.axial(y, x / grid.SHRINK, level)
-        near = F.explode(F.flatten(F.transform(F.sequence(F.lit(-rings_), F.lit(rings_)), lambda a: F.transform(F.sequence(F.greatest(F.lit(-rings_), -a - rings_), F.least(F.lit(rings_), -a + rings_)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-        split = wide.select(*keys, "ring", F.col("q").alias("_q"), F.col("r").alias("_r"), q0.alias("q0"), r0.alias("r0"), near.alias("o")).select(*keys, "ring", "_q", "_r", (F.col("q0") + F.col("o.a")).alias("q"), (F.col("r0") + F.col("o.b")).alias("r"))
-        fx_, fy_ = _place(F.col("q"), F.col("r"), level)
-        pq, pr = grid.axial(fy_, fx_ / grid.SHRINK, coarse)
-        found = split.filter((pq == F.col("_q")) & (pr == F.col("_r"))).filter(touches(F.col("ring"), fx_, fy_, fine))
+    s, lats = grid.SIZE[level], F.transform("ring", lambda p: p["lat"])
+    up, width = 1.5 * s, grid.ROOT3 * s
+    low, high = F.ceil((F.array_min(lats) - s) / up - ROOM).cast("long"), F.floor((F.array_max(lats) + s) / up + ROOM).cast("long")
+    bands = rings.select(*keys, "ring", low.alias("_low"), high.alias("_high")).select("*", F.explode(F.sequence(F.floor(F.col("_low") / BAND), F.floor(F.col("_high") / BAND))).alias("_band"))
+    tasks = max(regions.sparkSession.sparkContext.defaultParallelism, int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bands = bands.repartition(tasks).withColumn("_spans", spans(F.col("ring"), s))
+    rows = bands.select(*keys, "_spans", F.explode(F.sequence(F.greatest("_low", F.col("_band") * BAND), F.least("_high", F.col("_band") * BAND + BAND - 1))).alias("r"))
+    west, east = _columns(F.col("_spans"), _place(F.lit(0), F.col("r"), level)[1])
+    column = lambda x: x / width - F.col("r") / 2
+    ends = rows.select("*", F.ceil(column(west) - ROOM).alias("_west"), F.floor(column(east) + ROOM).alias("_east")).filter("_west <= _east")
+    cells = ends.select(*keys, "_spans", "r", F.explode(F.sequence("_west", "_east")).alias("q"))
+    found = cells.filter(touches(F.col("_spans"), *_place(F.col("q"), F.col("r"), level)))
     lat, lon = grid.centroid(F.col("q"), F.col("r"), level)
     return found.select(*keys, grid.cell_id(F.col("q"), F.col("r"), level).alias("grid_id"), "q", "r", lat.alias("latitude"), lon.alias("longitude"))
 

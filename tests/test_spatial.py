@@ -163,6 +163,17 @@ def test_cells_that_a_polygon_touches(spark, level):
         assert got[k] == want
 
 
+@pytest.mark.parametrize("width,boxes", [(0.7, 400), (60.0, 1)])
+def test_polygons_are_dealt_to_all_tasks(spark, width, boxes):
+    """Many small boxes in one partition, and one large box: their cells come from several tasks, and few other cells are tried."""
+    lat, lon = F.lit(10.0) + F.col("k") % 20, F.lit(-100.0) + F.col("k") / 7
+    frame = spark.createDataFrame([(k,) for k in range(boxes)], "k int").coalesce(1).select("k", fill.box(lon, lat, lon + width, lat + width).alias("ring"))
+    since = _most_rows(spark, 10**9)[1]
+    by_task = [r["count"] for r in fill.polygon_cells(frame, ["k"], 5).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) == 4 and max(by_task) < 0.6 * sum(by_task)
+    assert sum(by_task) <= _most_rows(spark, since)[0] < 2 * sum(by_task)
+
+
 def test_blocks_hold_the_raster(spark, tmp_path):
     """Blocks written by region, replaced by partition, read back as rows and as the dense array; gaps are NaN."""
     rng = random.Random(6)
